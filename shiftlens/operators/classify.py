@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shiftlens.functions import types as ty
+from shiftlens.functions.durable import cut
 from shiftlens.functions.ranking import ordered_rank
 from shiftlens.schemas import DESTRUCTIVE, NEEDS_BACKFILL, severity_of, severity_rank
 
@@ -156,7 +157,12 @@ def rename_pairs(
 def classify_batch(
     raw: DataFrame, group: Sequence[str] = GROUP, order: Sequence[str] = ("name",), **rank_options: int
 ) -> DataFrame:
-    """Renames matched within each table, everything else as in single mode."""
+    """Renames matched within each table, everything else as in single mode.
+
+    The changes are written once: ranking reads them several times, and the diff behind them
+    is far larger than they are.
+    """
+    raw = cut(column_level(raw), "changes")
     pairs = rename_pairs(raw, group, order, **rank_options)
     renamed = F.when(F.col("kind") == "renamed", F.lit("column_renamed"))
     paired = _typed(pairs).withColumn("change_type", F.coalesce(renamed, "change_type"))

@@ -9,22 +9,12 @@ from shiftlens.operators import classify, diff, snapshots
 from shiftlens.operators.metrics import event_counters
 from shiftlens.plans import derive
 from shiftlens.plans import oracle_parts as o
+from shiftlens.plans.register import Registry
 
 from shiftlens.sources import contract
 
-QUERIES = {}
-ORACLE = {}
-
-
-def query(sql: str | None = None):
-    def register(fn):
-        QUERIES[fn.__name__] = fn
-        if sql is not None:
-            ORACLE[fn.__name__] = sql
-        return fn
-
-    return register
-
+registry = Registry()
+query = registry.query
 
 
 # --- diff -------------------------------------------------------------------
@@ -337,10 +327,6 @@ def top_event_per_table(spark: SparkSession, d: str) -> DataFrame:
     return classify.top_event(events, ["source_identifier", "table_identifier"])
 
 
-_GATE = """WITH sev(change_type, severity, rnk) AS (VALUES ('view','low',0),('click','low',0),('signup','medium',1),('purchase','high',2),('error','high',2))
-"""
-
-
 @query(
     "WITH "
     + o.SEVERITY

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from importlib import import_module
+from shiftlens.plans import change_queries, source_queries
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
-for _name in ("change_queries",):
-    _module = import_module(f"shiftlens.plans.{_name}")
-    QUERIES.update(_module.QUERIES)
-    ORACLE.update(_module.ORACLE)
+for _module in (change_queries, source_queries):
+    QUERIES.update(_module.registry.queries)
+    ORACLE.update(_module.registry.oracle)

@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def json_type(text: Column) -> Column:
-    """SQL type of one JSON value, from Spark's variant schema of it."""
-    seen = F.schema_of_variant(F.try_parse_json(text))
+DOCUMENT = "map<string,variant>"
+
+
+def value_type(value: Column) -> Column:
+    """SQL type of one variant value; NULL for a JSON null."""
+    seen = F.schema_of_variant(value)
     return (
-        F.when(seen.startswith("BIGINT"), "bigint")
+        F.when(seen == "VOID", F.lit(None).cast("string"))
+        .when(seen.startswith("BIGINT"), "bigint")
         .when(seen.startswith("DECIMAL"), "numeric")
         .when(seen == "DOUBLE", "double precision")
         .when(seen == "BOOLEAN", "boolean")
-        .when(seen == "VOID", "null")
         .when(seen.startswith("ARRAY") | seen.startswith("OBJECT"), "json")
         .otherwise("text")
     )
@@ -31,21 +34,14 @@ def observed_columns(rows: DataFrame, source: str, bucket: Column, payload: str)
     )
     totals = base.groupBy("source_identifier", "bucket").agg(F.count(F.lit(1)).alias("payloads"))
     pairs = base.select(
-        "source_identifier",
-        "bucket",
-        F.explode(F.from_json("__doc", "map<string,string>")).alias("name", "__text"),
-        "__doc",
-    )
-    raw = F.when(F.col("__text").isNull(), F.lit("null")).otherwise(
-        F.coalesce(json_type(F.get_json_object("__doc", F.concat(F.lit("$['"), "name", F.lit("']")))), F.lit("text"))
+        "source_identifier", "bucket", F.explode(F.from_json("__doc", DOCUMENT)).alias("name", "__value")
     )
-    typed = pairs.select("source_identifier", "bucket", "name", raw.alias("__type"))
-    real = F.when(F.col("__type") != "null", F.col("__type"))
+    typed = pairs.select("source_identifier", "bucket", "name", value_type(F.col("__value")).alias("__type"))
     keys = typed.groupBy("source_identifier", "bucket", "name").agg(
         F.count(F.lit(1)).alias("present"),
-        F.count(real).alias("non_null"),
-        F.min(real).alias("__low"),
-        F.max(real).alias("__high"),
+        F.count("__type").alias("non_null"),
+        F.min("__type").alias("__low"),
+        F.max("__type").alias("__high"),
     )
     return keys.join(totals, ["source_identifier", "bucket"]).select(
         "source_identifier",

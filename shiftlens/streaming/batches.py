@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from shiftlens.operators.classify import classify_single
 from shiftlens.operators.diff import history_diff
 from shiftlens.operators.limiter import rate_limit
 from shiftlens.operators.snapshots import latest, sequence
 from shiftlens.schemas import SPEC_FIELDS
-from shiftlens.sources.payload import json_type
+from shiftlens.sources.payload import DOCUMENT, value_type
 
 
 def run_batches(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str) -> None:
@@ -105,18 +105,15 @@ def payload_windows(rows: DataFrame, source: str, time: str, payload: str, width
     The row with an empty name counts the payloads. Rows later than ``lateness`` are dropped
     by the watermark; a window is emitted once, when it can no longer change.
     """
-    doc = F.col(payload)
-    keys = F.coalesce(F.json_object_keys(doc), F.array().cast("array<string>"))
+    nothing = F.struct(F.lit("").alias("key"), F.lit(None).cast("variant").alias("value"))
+    entries = F.map_entries(F.from_json(F.col(payload), DOCUMENT))
     named = rows.withWatermark(time, lateness).select(
         F.col(source).alias("source_identifier"),
         F.col(time),
-        doc.alias("__doc"),
-        F.explode(F.concat(F.array(F.lit("")), keys)).alias("name"),
-    )
-    value = F.get_json_object("__doc", F.concat(F.lit("$['"), F.col("name"), F.lit("']")))
-    real: Column = F.when((F.col("name") != "") & value.isNotNull(), F.coalesce(json_type(value), F.lit("text")))
+        F.explode(F.concat(F.array(nothing), F.coalesce(entries, F.array().cast("array<struct<key:string,value:variant>>")))).alias("__e"),
+    ).select("source_identifier", time, F.col("__e.key").alias("name"), F.col("__e.value").alias("__value"))
     return (
-        named.withColumn("__type", real)
+        named.withColumn("__type", value_type(F.col("__value")))
         .groupBy(F.window(time, width).alias("__w"), "source_identifier", "name")
         .agg(
             F.count(F.lit(1)).alias("present"),

@@ -135,12 +135,12 @@ def run_events(
 
 def model_preview(models: DataFrame, first: int = PREVIEW) -> DataFrame:
     """(event_id, preview): the first names, and how many more there are. Only ``first`` names are gathered."""
-    ranked = ordered_rank(models.select("event_id", "model"), ["event_id"], ["model"], "__k", "__n")
+    ranked = ordered_rank(models.select("event_id", "model"), ["event_id"], ["model"], "__k", "__size")
     kept = ranked.where(F.col("__k") <= first)
     names = kept.groupBy("event_id").agg(
-        F.array_join(F.array_sort(F.collect_list("model")), ", ").alias("__names"), F.max("__n").alias("__n")
+        F.array_join(F.array_sort(F.collect_list("model")), ", ").alias("__names"), F.max("__size").alias("__size")
     )
-    more = F.when(F.col("__n") > first, F.format_string(" (+%d more)", F.col("__n") - first)).otherwise("")
+    more = F.when(F.col("__size") > first, F.format_string(" (+%d more)", F.col("__size") - first)).otherwise("")
     return names.select("event_id", F.concat("__names", more).alias("preview"))
 
 

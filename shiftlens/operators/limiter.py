@@ -148,7 +148,7 @@ def rate_limit(
     keyed = events.withColumns(
         {
             "scope": F.col(scope).cast("string") if scope else F.lit("global"),
-            "t": F.unix_micros(time),
+            "t": F.unix_micros(F.col(time).cast("timestamp")),
             "id": F.col(event_id),
         }
     )

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from shiftlens.plans import change_queries, lineage_queries, source_queries
+from shiftlens.plans import change_queries, evaluation_queries, lineage_queries, policy_queries, source_queries, stream_queries
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
-for _module in (change_queries, source_queries, lineage_queries):
+for _module in (change_queries, source_queries, lineage_queries, policy_queries, evaluation_queries, stream_queries):
     QUERIES.update(_module.registry.queries)
     ORACLE.update(_module.registry.oracle)

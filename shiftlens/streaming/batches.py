@@ -53,7 +53,7 @@ def polling_step(store: str, events_path: str) -> Callable[[DataFrame, int], Non
 
     def step(batch: DataFrame, batch_id: int) -> None:
         rows = batch.select(*keys, "table_identifier", *SPEC_FIELDS)
-        schema = rows.schema.add("batch_id", "int")
+        schema = rows.schema.add("batch_id", "integer")
         stored = _earlier(batch, store, schema, batch_id).drop("batch_id")
         fresh = rows.join(stored.select("snapshot_id").distinct(), "snapshot_id", "left_anti").select(*rows.columns)
         _write(fresh, store, batch_id)

@@ -27,17 +27,20 @@ def reachable(
     src: Sequence[str],
     dst: Sequence[str],
     max_rounds: int = 10_000,
+    stored: bool = False,
 ) -> DataFrame:
     """Vertices reached from each seed by one edge or more: rows (ids, vertex), distinct.
 
-    Cycles end because a known (ids, vertex) row is not expanded again.
+    Cycles end because a known (ids, vertex) row is not expanded again. ``stored`` says the
+    edges are a distinct stored table already.
     """
     row = [*ids, *vertex]
     hop = edges.select(
         *[F.col(s).alias(f"__s{i}") for i, s in enumerate(src)],
         *[F.col(d).alias(f"__d{i}") for i, d in enumerate(dst)],
     )
-    hop = cut(hop.distinct(), "edges")
+    if not stored:
+        hop = cut(hop.distinct(), "edges")
 
     def step(frontier: DataFrame) -> DataFrame:
         on = reduce(

@@ -155,7 +155,7 @@ nedge AS (SELECT src, node dst FROM o UNION ALL SELECT src, node FROM l)
 
 
 def _lineage(spark: SparkSession, d: str) -> tuple[dict[str, DataFrame], cl.ColumnLineage]:
-    t = derive.projection_tables(spark, d)
+    t = {name: cut(df, name) for name, df in derive.projection_tables(spark, d).items()}
     return t, cl.column_lineage(t["nodes"], t["edges"], t["scopes"], t["projections"], t["source_columns"])
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from shiftlens.operators.classify import classify_single
 from shiftlens.operators.diff import history_diff
@@ -53,7 +53,7 @@ def polling_step(store: str, events_path: str) -> Callable[[DataFrame, int], Non
 
     def step(batch: DataFrame, batch_id: int) -> None:
         rows = batch.select(*keys, "table_identifier", *SPEC_FIELDS)
-        schema = rows.schema.add("batch_id", "integer")
+        schema = T.StructType([*rows.schema.fields, T.StructField("batch_id", T.IntegerType())])
         stored = _earlier(batch, store, schema, batch_id).drop("batch_id")
         fresh = rows.join(stored.select("snapshot_id").distinct(), "snapshot_id", "left_anti").select(*rows.columns)
         _write(fresh, store, batch_id)

@@ -66,15 +66,13 @@ def raw_changes(marked: DataFrame, prefix: str = "") -> DataFrame:
         _specs(F.col("schema")).alias("__after"),
     )
     names = F.array_union(F.col("__before.name"), F.col("__after.name"))
-    rows = both.select(
-        "topic", "offset", "table_identifier", "__before", "__after", F.explode(names).alias("name")
-    ).select(
-        "topic",
-        "offset",
-        "table_identifier",
-        "name",
-        _last_named(F.col("__before"), F.col("name")).alias("column_before"),
-        _last_named(F.col("__after"), F.col("name")).alias("column_after"),
+    pair = lambda n: F.struct(
+        n.alias("name"),
+        _last_named(F.col("__before"), n).alias("column_before"),
+        _last_named(F.col("__after"), n).alias("column_after"),
+    )
+    rows = both.select("topic", "offset", "table_identifier", F.explode(F.transform(names, pair)).alias("__c")).select(
+        "topic", "offset", "table_identifier", "__c.*"
     )
     b, a = F.col("column_before"), F.col("column_after")
     kind = F.when(b.isNull(), "added").when(a.isNull(), "removed").when(~b.eqNullSafe(a), "modified")

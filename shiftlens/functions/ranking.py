@@ -23,7 +23,7 @@ def ordered_rank(
     hot_rows: int = HOT_ROWS,
     pieces: int = PIECES,
 ) -> DataFrame:
-    """``row_number()`` over ``keys`` ordered by ``order`` (ascending; unique, non-null within a key).
+    """``row_number()`` over ``keys`` ordered by ``order`` (ascending, unique within a key; keys are not NULL).
 
     Keys above ``hot_rows`` are cut at about ``pieces`` splitters, chosen by a hash of the
     order columns: the choice is the same on every recomputation. Without hot keys the

@@ -50,16 +50,21 @@ def polling_step(store: str, events_path: str) -> Callable[[DataFrame, int], Non
     only sets its baseline.
     """
     keys = ["source_identifier", "snapshot_id", "captured_at"]
+    header_path, column_path = f"{store}/headers", f"{store}/columns"
 
     def step(batch: DataFrame, batch_id: int) -> None:
         rows = batch.select(*keys, "table_identifier", *SPEC_FIELDS)
-        schema = T.StructType([*rows.schema.fields, T.StructField("batch_id", T.IntegerType())])
-        stored = _earlier(batch, store, schema, batch_id).drop("batch_id")
-        fresh = rows.join(stored.select("snapshot_id").distinct(), "snapshot_id", "left_anti").select(*rows.columns)
-        _write(fresh, store, batch_id)
-        fresh = batch.sparkSession.read.schema(rows.schema).parquet(f"{store}/batch_id={batch_id}")
-        last = latest(stored.select(*keys).distinct()).select("snapshot_id")
-        together = fresh.unionByName(stored.join(last, "snapshot_id", "left_semi").select(*rows.columns))
+        numbered = lambda schema: T.StructType([*schema.fields, T.StructField("batch_id", T.IntegerType())])
+        headers = _earlier(batch, header_path, numbered(rows.select(*keys).schema), batch_id)
+        fresh = rows.join(headers.select("snapshot_id"), "snapshot_id", "left_anti").select(*rows.columns)
+        _write(fresh, column_path, batch_id)
+        fresh = batch.sparkSession.read.schema(rows.schema).parquet(f"{column_path}/batch_id={batch_id}")
+        _write(fresh.select(*keys).distinct(), header_path, batch_id)
+        # Only the newest stored snapshot of the arriving sources is read back, from its batch folder.
+        last = latest(headers.join(fresh.select("source_identifier").distinct(), "source_identifier", "left_semi"))
+        stored = _earlier(batch, column_path, numbered(rows.schema), batch_id)
+        before = stored.join(last.select("batch_id", "snapshot_id"), ["batch_id", "snapshot_id"], "left_semi")
+        together = fresh.unionByName(before.select(*rows.columns))
         headers = sequence(together.select(*keys).distinct())
         tables = together.select("source_identifier", "snapshot_id", "table_identifier").distinct()
         raw = history_diff(headers, tables, together.drop("captured_at"))
@@ -81,14 +86,14 @@ def limiter_step(
     def step(batch: DataFrame, batch_id: int) -> None:
         id_type = batch.schema["event_id"].dataType.simpleString()
         schema = f"scope string, t bigint, id {id_type}, batch_id int"
-        earlier = _earlier(batch, admitted_path, schema, batch_id)
+        prior = None
+        if batch_id:
+            oldest = F.unix_micros(F.min("detected_at").cast("timestamp"))
+            start = batch.agg(oldest).first()[0]
+            earlier = _earlier(batch, admitted_path, schema, batch_id)
+            prior = earlier.where(F.col("t") >= F.lit((start or 0) - window_seconds * 1_000_000)).select("scope", "t")
         judged, passed = rate_limit(
-            batch,
-            slot_taker,
-            scope=scope,
-            max_events=max_events,
-            window_seconds=window_seconds,
-            prior=earlier.select("scope", "t") if batch_id else None,
+            batch, slot_taker, scope=scope, max_events=max_events, window_seconds=window_seconds, prior=prior
         )
         _write(passed, admitted_path, batch_id)
         _write(judged, out_path, batch_id)

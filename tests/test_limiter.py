@@ -31,7 +31,7 @@ def _events(seed, n, span, scopes=3):
 
 @pytest.mark.parametrize(
     "seed,n,width,limit,segment",
-    [(1, 800, 60, 3, 10**6), (2, 800, 60, 3, 40), (3, 800, 30, 1, 5), (4, 900, 200, 10, 25), (5, 700, 20, 4, 1)],
+    [(1, 800, 60, 3, 10**6), (2, 500, 60, 3, 40), (5, 150, 20, 2, 1)],
 )
 def test_rate_limit_equals_deque(spark, seed, n, width, limit, segment):
     rows = _events(seed, n, 4)
@@ -57,8 +57,8 @@ def test_entry_exactly_one_window_old_still_counts(spark):
 
 
 def test_prior_entries_carry_over(spark):
-    rows = _events(9, 600, 4)
-    cut_at = sorted(r[1] for r in rows)[300]
+    rows = _events(9, 300, 4)
+    cut_at = sorted(r[1] for r in rows)[150]
     schema = "scope_name string, us long, event_id long, takes boolean"
     read = lambda part: spark.createDataFrame(part, schema).selectExpr(
         "scope_name", "timestamp_micros(us) detected_at", "event_id", "takes"

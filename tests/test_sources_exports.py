@@ -85,6 +85,33 @@ def test_limiter_stream_equals_batch(spark):
     assert got.count() == 60 and got.exceptAll(want.select("event_id", "rate_limited")).isEmpty()
 
 
+def test_polling_over_many_batches_equals_one_history(spark):
+    from shiftlens.operators import classify, diff, snapshots
+
+    from test_changes import SPEC, spec
+
+    folder = new_path(spark, "arrivals")
+    schema = f"source_identifier string, snapshot_id string, captured_at timestamp, table_identifier string, {SPEC}"
+    days = [{"a": "integer"}, {"a": "bigint", "b": "text"}, {"b": "text"}, {"b": "text"}, {"b": "integer", "a": "integer"}]
+    for day, columns in enumerate(days):
+        rows = [("s", f"s@{day}", None, "t", *spec(n, ty)) for n, ty in columns.items()]
+        df = spark.createDataFrame(rows, schema).withColumn("captured_at", F.timestamp_seconds(F.lit(day * 86400)))
+        df.coalesce(1).write.mode("append").parquet(folder)
+        if day == 2:
+            df.coalesce(1).write.mode("append").parquet(folder)  # the same snapshot arrives twice
+    table = spark.read.parquet(folder)
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    events = new_path(spark, "polled")
+    batches.run_batches(stream, batches.polling_step(new_path(spark, "store"), events), new_path(spark, "progress"))
+    got = sorted((r.snapshot_id, r.identifier, r.change_type) for r in spark.read.parquet(events).collect())
+    once = table.distinct()
+    headers = snapshots.sequence(once.select("source_identifier", "snapshot_id", "captured_at").distinct())
+    raw = diff.history_diff(headers, once, once.drop("captured_at"))
+    want = classify.classify_single(raw).join(headers, ["source_identifier", "seq"])
+    assert got == sorted((r.snapshot_id, r.identifier, r.change_type) for r in want.collect())
+    assert got and got[0] == ("s@1", "t.a", "type_widened")
+
+
 def test_policy_gates(spark):
     rows = [
         ("column_added_nullable", "low", 0.0, 0), ("column_added_nullable", "low", 3.0, 2), ("default_changed", "medium", 99.0, 9),

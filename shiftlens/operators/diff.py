@@ -68,19 +68,18 @@ def paired_columns(sided: DataFrame, position: str | None = None) -> DataFrame:
 def column_changes(paired: DataFrame, tables: DataFrame) -> DataFrame:
     """Added, removed and modified columns of tables present on both sides.
 
-    A modified column proves its table is on both sides, so only one-sided columns are
-    checked against the (small) table changes.
+    A modified column proves its table is on both sides, so only one-sided columns are checked
+    against the table changes. Both branches read one exchange.
     """
     b, a = F.col("column_before"), F.col("column_after")
-    kind = (
-        F.when(b.isNull(), "added")
-        .when(a.isNull(), "removed")
-        .when(~b.eqNullSafe(a), "modified")
+    modified = paired.where(b.isNotNull() & a.isNotNull() & ~b.eqNullSafe(a)).withColumn("kind", F.lit("modified"))
+    one_sided = paired.where(b.isNull() | a.isNull()).withColumn(
+        "kind", F.when(b.isNull(), "added").otherwise("removed")
     )
-    changed = paired.withColumn("kind", kind).where(F.col("kind").isNotNull())
-    return changed.join(
+    of_kept_tables = one_sided.join(
         tables.select(*STEP, "table_identifier"), [*STEP, "table_identifier"], "left_anti"
-    ).select(*CHANGE_COLUMNS)
+    )
+    return of_kept_tables.select(*CHANGE_COLUMNS).unionByName(modified.select(*CHANGE_COLUMNS))
 
 
 def history_diff(

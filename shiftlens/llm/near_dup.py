@@ -1,9 +1,10 @@
 """MinHash near-dedup with odd sketches.
 
-Each document's distinct word shingles give MinHash samples. Bands of samples choose candidates. The samples
-are also folded into a parity bitmap (an odd sketch): two bitmaps differ where the samples differ, so the
-population count of their XOR estimates a high similarity from 32 bytes. Candidates that the estimate does
-not rule out are confirmed on the full shingle sets.
+Each document's distinct word shingles give MinHash samples: the smallest values of many hash functions, whose bands
+choose candidates, and the smallest hashes of one function, which are folded into a parity bitmap (an odd
+sketch). Two bitmaps differ only where the samples differ, so the population count of their XOR is at most the samples'
+difference and close to it for similar sets. Candidates that it does not rule out are confirmed on the full shingle
+sets. For sets no larger than a sample, nothing above the threshold can be ruled out.
 
 Documents with equal sets form one class first, so exact copies cost one row each, whatever their number.
 Within a bucket of classes only links that can join two groups are tried: first every class against the
@@ -17,8 +18,6 @@ Defined cases: null or word-less text has an empty set and is linked with nothin
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -31,8 +30,9 @@ from shiftlens.llm.hashing import many_word_hashes, mix, shingle_hashes
 
 BANDS, ROWS = 32, 4  # a pair of similarity 0.85 shares no band with probability 5e-11, one of 0.8 with 6e-8
 SAMPLES = BANDS * ROWS
-BITS = 256
-SIGMAS = 6  # a candidate is dropped only if the estimate is so many deviations below the threshold
+SKETCHED, BITS = 1024, 1024
+SIGMAS = 6  # where sets are larger than their samples, a candidate goes only if it is so many deviations off
+MARKS = [f"s{i}" for i in range(BITS // 64)]
 ROUNDS_BELOW = 0.5  # pivot rounds go on while each at least halves the pairs that are left
 _A = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 _B = mix(np.arange(1001, SAMPLES + 1001, dtype=np.uint64)).astype(np.uint32)
@@ -55,18 +55,11 @@ def band_keys(low: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def odd_sketch(low: np.ndarray) -> np.ndarray:
-    """Four words of the parity bitmap: sample i flips the bit that its value and place choose."""
-    place = mix(low.astype(np.uint64) * np.uint64(SAMPLES) + np.arange(SAMPLES, dtype=np.uint64)) % np.uint64(BITS)
-    odd = (np.bincount(place.astype(np.int64), minlength=BITS) & 1).astype(np.uint8)
-    return np.packbits(odd, bitorder="little").view(np.int64)
-
-
-def most_differing(threshold: float) -> int:
-    """XOR bits up to which a pair of at least ``threshold`` cannot be ruled out."""
-    low = max(0.0, threshold - SIGMAS * math.sqrt(threshold * (1 - threshold) / SAMPLES))
-    bits = BITS / 2 * (1 - (1 - 2 / BITS) ** (2 * SAMPLES * (1 - low)))
-    return min(BITS, math.ceil(bits + SIGMAS * math.sqrt(BITS) / 4))
+def odd_sketch(found: np.ndarray) -> list[int]:
+    """Words of the parity bitmap: each of the ``SKETCHED`` smallest hashes (all of a smaller set) flips one bit."""
+    place = (mix(found[:SKETCHED]) % np.uint64(BITS)).astype(np.int64)
+    odd = (np.bincount(place, minlength=BITS) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64).tolist()
 
 
 def _sets(size: int):
@@ -89,7 +82,7 @@ def _key(found: np.ndarray) -> bytes:
     return np.array([a.sum() + np.uint64(len(found)), b.sum()], np.uint64).tobytes()
 
 
-SKETCH = "doc_id long, text_hash long, n_shingles long, set_key binary, bands array<long>, s0 long, s1 long, s2 long, s3 long"
+SKETCH = "doc_id long, text_hash long, n_shingles long, set_key binary, bands array<long>, " + ", ".join(f"{m} long" for m in MARKS)
 
 
 def sketches(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,13 +91,13 @@ def sketches(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: s
 
     def run(batches):
         for batch in batches:
-            ids, out = list(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash")), strict=True)), [[] for _ in range(9)]
+            ids, out = list(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash")), strict=True)), [[] for _ in range(5 + len(MARKS))]
             for i, found in sets(batch):
                 if len(found):
                     low = samples_of(found)
-                    row = (*ids[i], len(found), _key(found), band_keys(low), *odd_sketch(low).tolist())
+                    row = (*ids[i], len(found), _key(found), band_keys(low), *odd_sketch(found))
                 else:
-                    row = (*ids[i], 0, None, None, None, None, None, None)
+                    row = (*ids[i], 0, None, None, *[None] * len(MARKS))
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
             yield out
@@ -135,9 +128,17 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, tex
     return map_batches(chosen.select("set_key", "text"), run, "set_key binary, shingles array<long>").dropDuplicates(["set_key"])
 
 
-def _near(left: str, right: str, most: int):
-    differ = sum((F.bit_count(F.col(f"{left}{i}").bitwiseXOR(F.col(f"{right}{i}"))) for i in range(4)), F.lit(0))
-    return differ <= most
+def _not_ruled_out(left: str, right: str, threshold: float):
+    """Whether two sketches (columns with these prefixes) can belong to sets as similar as the threshold."""
+    per_cent = round(threshold * 100)
+    n, m = F.col(f"{left}n_shingles"), F.col(f"{right}n_shingles")
+    large, small = F.greatest(n, m), F.least(n, m)
+    common = (n + m) * per_cent / (100 + per_cent)  # of sets just as similar as asked for
+    sampled = common * F.least(F.lit(1.0), SKETCHED / large)
+    spread = F.when(large <= SKETCHED, 0.0).otherwise(F.sqrt(F.greatest(F.lit(1.0), sampled * (1 - sampled / SKETCHED))))
+    most = F.least(n, F.lit(SKETCHED)) + F.least(m, F.lit(SKETCHED)) - 2 * sampled + 2 * SIGMAS * spread
+    differ = sum((F.bit_count(F.col(f"{left}{k}").bitwiseXOR(F.col(f"{right}{k}"))) for k in MARKS), F.lit(0))
+    return (100 * small >= per_cent * large) & (differ <= most + 1e-6)
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -158,19 +159,17 @@ def _with_roots(members: DataFrame, links: DataFrame | None) -> DataFrame:
 
 def class_links(sketched: DataFrame, docs: DataFrame, threshold: float, size: int, id_col: str, text_col: str) -> DataFrame:
     """Confirmed links ``u``, ``v`` between set classes, enough to give every group of similar sets."""
-    most, marks = most_differing(threshold), ["s0", "s1", "s2", "s3"]
+    marks = ["n_shingles", *MARKS]
     classes = sketched.filter("n_shingles > 0").groupBy("set_key").agg(
         F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), *(F.first(c).alias(c) for c in marks))
     classes = cut(classes, "classes")
-    banded = classes.select("set_key", *marks, F.explode("bands").alias("band"))
+    banded = classes.select("set_key", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-    members = cut(banded.join(shared, "band"), "buckets")
+    buckets = cut(banded.join(shared, "band"), "buckets")
     # A class that agrees with many others in many bands is near the middle of its group: the best pivot.
-    weight = members.groupBy("set_key").agg(F.sum("n").alias("weight"), *(F.first(c).alias(c) for c in marks))
-    weight = cut(weight, "weights")
-    members = members.select("band", "set_key").join(weight, "set_key")
-    sets = shingle_sets(docs, classes.select("doc_id", "set_key").join(weight.select("set_key"), "set_key"), size, id_col, text_col)
-    sets = cut(sets, "sets")
+    weight = cut(buckets.groupBy("set_key").agg(F.sum("n").alias("weight")).join(classes.drop("bands"), "set_key"), "weights")
+    sets = cut(shingle_sets(docs, weight.select("doc_id", "set_key"), size, id_col, text_col), "sets")
+    members = buckets.select("band", "set_key").join(weight.drop("doc_id"), "set_key")
     members, links, before = cut(members, "members"), None, None
     while True:
         rooted = _with_roots(members, links)
@@ -184,13 +183,13 @@ def class_links(sketched: DataFrame, docs: DataFrame, threshold: float, size: in
         last = before is not None and left > ROUNDS_BELOW * before
         before = left
         if last:  # every pair that could still join two groups
-            other = open_.select("band", F.col("set_key").alias("v"), F.col("root").alias("v_root"), *(F.col(c).alias(f"v{c}") for c in marks))
-            pairs = open_.filter("root <> big").join(other, "band").filter(F.col("root") != F.col("v_root")).filter(_near("s", "vs", most))
+            other = open_.select("band", F.col("set_key").alias("v"), F.col("root").alias("v_root"), *(F.col(c).alias(f"v_{c}") for c in marks))
+            pairs = open_.filter("root <> big").join(other, "band").filter(F.col("root") != F.col("v_root")).filter(_not_ruled_out("", "v_", threshold))
         else:
             pivot = open_.groupBy("band").agg(F.max(F.struct("weight", "set_key", *marks)).alias("p"))
-            pairs = open_.join(pivot, "band").select("*", F.col("p.set_key").alias("v"), *(F.col(f"p.{c}").alias(f"v{c}") for c in marks))
+            pairs = open_.join(pivot, "band").select("*", F.col("p.set_key").alias("v"), *(F.col(f"p.{c}").alias(f"v_{c}") for c in marks))
             members = cut(open_.join(pivot.select("band", F.col("p.set_key").alias("set_key")), ["band", "set_key"], "left_anti").select(*members.columns), "members")
-            pairs = pairs.filter(F.col("set_key") != F.col("v")).filter(_near("s", "vs", most))
+            pairs = pairs.filter(F.col("set_key") != F.col("v")).filter(_not_ruled_out("", "v_", threshold))
         tried = pairs.select(F.least("set_key", "v").alias("u"), F.greatest("set_key", "v").alias("v")).distinct()
         found = _confirm(tried, sets, threshold)
         links = cut(found if links is None else links.union(found), "links")

@@ -36,7 +36,7 @@ TYPE_ALIASES = {
 
 def type_family(data_type: Column) -> Column:
     """Lower-cased type name without a trailing parenthesised parameter list."""
-    return F.regexp_replace(F.lower(F.trim(data_type)), r"\s*\(.*\)\s*$", "")
+    return F.regexp_replace(F.lower(F.regexp_replace(data_type, r"^\s+|\s+$", "")), r"\s*\(.*\)\s*$", "")
 
 
 def canonical_type(data_type: Column) -> Column:

@@ -101,9 +101,12 @@ def confusion(results: DataFrame, keys: Sequence[str] = ("method",)) -> DataFram
 
 
 def confusion_margins(cells: DataFrame) -> DataFrame:
-    """Cells with row, column and grand totals; a NULL label is a total."""
-    return cells.cube("expected", "predicted").agg(
-        F.sum("n").alias("n"), F.grouping_id("expected", "predicted").alias("margin")
+    """Cells of each method with row, column and grand totals; a NULL label is a total."""
+    return (
+        cells.cube("method", "expected", "predicted")
+        .agg(F.sum("n").alias("n"), F.grouping("method").alias("__all"), F.grouping_id("method", "expected", "predicted").alias("margin"))
+        .where(F.col("__all") == 0)
+        .drop("__all")
     )
 
 

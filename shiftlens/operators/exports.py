@@ -23,7 +23,6 @@ ACTION_LABEL = {
 }
 
 PREVIEW = 5
-OUTPUTS_PER_EVENT = 1000
 
 
 def _fixed(mapping: dict[str, str], key: Column) -> Column:
@@ -45,31 +44,28 @@ def parent_runs(runs: DataFrame, namespace: str) -> DataFrame:
     )
 
 
+def run_event_outputs(models: DataFrame, namespace: str) -> DataFrame:
+    """(event_id, namespace, name): the output datasets of each run event, one row for each model.
+
+    Rows, not an array: an event has as many outputs as its closure has models.
+    """
+    return models.select("event_id", F.lit(namespace).alias("namespace"), F.col("model").alias("name")).distinct()
+
+
 def run_events(
     events: DataFrame,
-    models: DataFrame,
     *,
     producer: str,
     namespace: str,
     drift_facet: str,
     job: str = "schema_change_detect",
     parents: DataFrame | None = None,
-    page_rows: int = OUTPUTS_PER_EVENT,
 ) -> DataFrame:
-    """(event_id, page, payload): one COMPLETE run event per drift event.
+    """(event_id, payload): one COMPLETE run event per drift event, whatever its size.
 
-    ``models`` are (event_id, model) rows. They become the outputs, in name order; an event with
-    more than ``page_rows`` of them is written as several run events of the same run, each with
-    its share, so no payload grows without bound and no output is lost.
+    Its outputs are the rows of ``run_event_outputs``.
     """
-    ranked = ordered_rank(models.select("event_id", "model"), ["event_id"], ["model"], "__k")
-    ns = F.lit(namespace)
-    pages = (
-        ranked.withColumn("page", F.floor((F.col("__k") - 1) / page_rows).cast("int"))
-        .groupBy("event_id", "page")
-        .agg(F.array_sort(F.collect_list("model")).alias("__models"))
-    )
-    out = events.join(pages, "event_id", "left")
+    ns, out = F.lit(namespace), events
     if parents is not None:
         out = out.join(parent_runs(parents, namespace), "event_id", "left")
         parent = F.when(
@@ -109,10 +105,6 @@ def run_events(
             ).alias("schema")
         ).alias("facets"),
     )
-    outputs = F.transform(
-        F.coalesce("__models", F.array().cast("array<string>")),
-        lambda m: F.struct(ns.alias("namespace"), m.alias("name")),
-    )
     payload = F.to_json(
         F.struct(
             F.lit("COMPLETE").alias("eventType"),
@@ -124,10 +116,9 @@ def run_events(
             ).alias("run"),
             F.struct(ns.alias("namespace"), F.lit(job).alias("name")).alias("job"),
             F.array(dataset).alias("inputs"),
-            outputs.alias("outputs"),
         )
     )
-    return out.select("event_id", F.coalesce("page", F.lit(0)).alias("page"), payload.alias("payload"))
+    return out.select("event_id", payload.alias("payload"))
 
 
 # --- alerts -----------------------------------------------------------------
@@ -211,7 +202,7 @@ def audit_rows(
 ) -> DataFrame:
     """One audit record per row; ``payload`` columns become a JSON object."""
     return df.select(
-        F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("occurred_at"),
+        F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("occurred_at"),
         F.lit(actor).alias("actor"),
         (F.lit(action) if isinstance(action, str) else action).alias("action"),
         F.col(target).alias("target"),

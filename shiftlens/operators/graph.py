@@ -26,7 +26,6 @@ def reachable(
     vertex: Sequence[str],
     src: Sequence[str],
     dst: Sequence[str],
-    max_rounds: int = 10_000,
     stored: bool = False,
 ) -> DataFrame:
     """Vertices reached from each seed by one edge or more: rows (ids, vertex), distinct.
@@ -54,8 +53,6 @@ def reachable(
 
     rounds = [cut(step(seeds.select(*row)), "reach")]
     while not rounds[-1].isEmpty():
-        if len(rounds) > max_rounds:
-            raise ValueError(f"no end after {max_rounds} rounds")
         rounds.append(cut(step(rounds[-1]).join(_union(rounds), row, "left_anti"), "reach"))
     return _union(rounds)
 

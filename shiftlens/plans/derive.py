@@ -10,17 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from shiftlens.schemas import SPEC_FIELDS
 
 
-# Tables whose rows cost much more to parse than to move.
-TEXT_TABLES = ("events", "documents", "pages", "conversations")
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One given table. A text table stored as fewer splits than there are cores is spread over them."""
-    df = spark.read.parquet(f"{folder}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in TEXT_TABLES and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    """One given table, read as stored."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def _pick(index: Column, values: list[str]) -> Column:

@@ -91,11 +91,10 @@ def _event_specs(events: DataFrame) -> DataFrame:
 @query(
     "WITH "
     + _EVENTS
-    + """SELECT event_id, 0 page, 'COMPLETE' event_type, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' event_time, identifier dataset, change_type, score,
+    + """SELECT event_id, 'COMPLETE' event_type, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' event_time, identifier dataset, change_type, score,
         CASE WHEN user_id % 3 = 0 THEN 'run' || user_id END parent_run, CASE WHEN user_id % 3 = 0 THEN 'elt' END parent_ns,
         CASE WHEN change_type <> 'column_added_nullable' THEN 'integer' ELSE 'bigint' END first_type,
-        CAST(CASE WHEN change_type IN ('column_added_nullable', 'column_dropped') THEN 1 ELSE 2 END AS INTEGER) fields,
-        models outputs, CASE WHEN models > 1 THEN 'm2' END second_output FROM dv"""
+        CAST(CASE WHEN change_type IN ('column_added_nullable', 'column_dropped') THEN 1 ELSE 2 END AS INTEGER) fields FROM dv"""
 )
 def run_event_fields(spark: SparkSession, d: str) -> DataFrame:
     """Scalars read back from the run-event payloads."""
@@ -108,12 +107,11 @@ def run_event_fields(spark: SparkSession, d: str) -> DataFrame:
         F.lit(None).cast("string").alias("parent_job_namespace"),
     )
     out = exports.run_events(
-        events, derive.event_models(spark, d), producer=PRODUCER, namespace="elt", drift_facet=f"{PRODUCER}#drift", parents=runs
+        events, producer=PRODUCER, namespace="elt", drift_facet=f"{PRODUCER}#drift", parents=runs
     )
     at = lambda path: F.get_json_object("payload", path)
     return out.select(
         "event_id",
-        "page",
         at("$.eventType").alias("event_type"),
         at("$.eventTime").alias("event_time"),
         at("$.inputs[0].name").alias("dataset"),
@@ -123,11 +121,15 @@ def run_event_fields(spark: SparkSession, d: str) -> DataFrame:
         at("$.run.facets.parent.job.namespace").alias("parent_ns"),
         at("$.inputs[0].facets.schema.fields[0].type").alias("first_type"),
         F.json_array_length(at("$.inputs[0].facets.schema.fields")).alias("fields"),
-        F.json_array_length(at("$.outputs")).alias("outputs"),
-        at("$.outputs[1].name").alias("second_output"),
     )
 
 
+@query("WITH " + _EVENTS + "SELECT event_id, 'elt' namespace, 'm' || k AS name FROM (SELECT event_id, unnest(range(1, models + 1)) k FROM dv)")
+def run_event_outputs(spark: SparkSession, d: str) -> DataFrame:
+    """Output datasets of the run events, one row each."""
+    return exports.run_event_outputs(derive.event_models(spark, d), "elt")
+
+
 @query(
     "WITH "
     + _EVENTS
@@ -239,10 +241,9 @@ def pr_counters(spark: SparkSession, d: str) -> DataFrame:
     return metrics.pr_counters(_decided(spark, d))
 
 
-@query("SELECT event_type component, CAST(count(*) AS BIGINT) n FROM events WHERE event_type IN ('error', 'signup') GROUP BY 1")
+@query("SELECT event_type component, CAST(count(*) AS BIGINT) n FROM events GROUP BY 1")
 def error_counters(spark: SparkSession, d: str) -> DataFrame:
-    e = derive.table(spark, d, "events").where(F.col("event_type").isin("error", "signup"))
-    return metrics.error_counters(e.withColumnRenamed("event_type", "component"))
+    return metrics.error_counters(derive.table(spark, d, "events").withColumnRenamed("event_type", "component"))
 
 
 def _bounds_sql(bounds) -> str:
@@ -260,9 +261,9 @@ def histogram_buckets(spark: SparkSession, d: str) -> DataFrame:
 
 
 _DRAFTS = """
-dr AS (SELECT event_id, user_id, CASE WHEN user_id % 2 = 0 THEN 'a' ELSE 'b' END provider, 'model' || (user_id % 4) model,
+dr AS (SELECT o_orderkey event_id, o_custkey user_id, CASE WHEN o_custkey % 2 = 0 THEN 'a' ELSE 'b' END provider, 'model' || (o_custkey % 4) model,
     o_orderkey % 1000 + 100 tokens_in, o_custkey % 300 tokens_out, o_orderstatus <> 'F' ok
-    FROM orders JOIN events ON event_id = o_orderkey),
+    FROM orders),
 pr(provider, model, ri, ro) AS (VALUES ('a', 'model0', 3.0, 15.0), ('b', 'model1', 0.15, 0.6), ('b', 'model3', 2.5, 10.0)),
 co AS (SELECT dr.*, (tokens_in * coalesce(ri, CASE provider WHEN 'a' THEN 3.0 ELSE 0.15 END) + tokens_out * coalesce(ro, CASE provider WHEN 'a' THEN 15.0 ELSE 0.6 END)) / 1000000.0 cost
     FROM dr LEFT JOIN pr USING (provider, model))
@@ -270,11 +271,11 @@ co AS (SELECT dr.*, (tokens_in * coalesce(ri, CASE provider WHEN 'a' THEN 3.0 EL
 
 
 def _drafts(spark: SparkSession, d: str) -> DataFrame:
-    e, o = derive.table(spark, d, "events"), derive.table(spark, d, "orders")
-    return o.join(e, F.col("event_id") == F.col("o_orderkey")).select(
-        "event_id",
-        F.when(F.col("user_id") % 2 == 0, "a").otherwise("b").alias("provider"),
-        F.concat(F.lit("model"), F.col("user_id") % 4).alias("model"),
+    """A draft for every order."""
+    return derive.table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("event_id"),
+        F.when(F.col("o_custkey") % 2 == 0, "a").otherwise("b").alias("provider"),
+        F.concat(F.lit("model"), F.col("o_custkey") % 4).alias("model"),
         (F.col("o_orderkey") % 1000 + 100).alias("tokens_in"),
         (F.col("o_custkey") % 300).alias("tokens_out"),
         (F.col("o_orderstatus") != "F").alias("ok"),
@@ -301,10 +302,9 @@ def cost_rollup(spark: SparkSession, d: str) -> DataFrame:
     return metrics.cost_rollup(_costs(spark, d)).withColumn("cost_usd", F.round("cost_usd", 4))
 
 
-@query("WITH " + _DRAFTS + "SELECT user_id % 50 event_id, CAST(count(*) AS BIGINT) attempts, round(CAST(sum(cost) AS DOUBLE), 4) total_cost_usd, bool_or(ok) succeeded FROM co GROUP BY 1")
+@query("WITH " + _DRAFTS + "SELECT event_id % 50 event_id, CAST(count(*) AS BIGINT) attempts, round(CAST(sum(cost) AS DOUBLE), 4) total_cost_usd, bool_or(ok) succeeded FROM co GROUP BY 1")
 def cost_per_event(spark: SparkSession, d: str) -> DataFrame:
-    users = derive.table(spark, d, "events").select("event_id", (F.col("user_id") % 50).alias("u"))
-    grouped = _costs(spark, d).join(users, "event_id").drop("event_id").withColumnRenamed("u", "event_id")
+    grouped = _costs(spark, d).withColumn("event_id", F.col("event_id") % 50)
     return metrics.cost_per_event(grouped).withColumn("total_cost_usd", F.round("total_cost_usd", 4))
 
 

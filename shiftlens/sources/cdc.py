@@ -104,8 +104,11 @@ def avro_columns(decoded: DataFrame, prefix: str = "") -> DataFrame:
 
 
 def canonical_schema(record_schema: Column) -> Column:
-    """Key-order-free text of a record schema: equal texts mean structurally equal schemas."""
-    return F.to_json(F.parse_json(record_schema))
+    """Key-order-free text of a record schema: equal texts mean structurally equal schemas.
+
+    A lenient message whose schema is no strict JSON is compared as it is written.
+    """
+    return F.coalesce(F.to_json(F.try_parse_json(record_schema)), record_schema)
 
 
 def current_schemas(decoded: DataFrame) -> DataFrame:

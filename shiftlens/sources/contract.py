@@ -9,7 +9,7 @@ from shiftlens.schemas import DESTRUCTIVE, severity_of, severity_rank
 
 def trim_strings(df: DataFrame) -> DataFrame:
     return df.select(
-        *[F.trim(c).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes]
+        *[F.regexp_replace(c, r"^\s+|\s+$", "").alias(c) if t == "string" else F.col(c) for c, t in df.dtypes]
     )
 
 

@@ -127,17 +127,17 @@ def test_policy_gates(spark):
     ]
 
 
-def test_run_event_pages_hold_every_output(spark):
+def test_one_run_event_and_every_output(spark):
     events = spark.sql(
         "select 'e' event_id, timestamp '2024-01-01 00:00:00' detected_at, 'raw.t.c' identifier, 'column_dropped' change_type, 'high' severity, "
         "1.0D confidence, 7.0D blast_radius_score, false fan_out_conservative, named_struct('name', 'c', 'data_type', 'text') column_before, "
         "cast(null as struct<name:string,data_type:string>) column_after"
     )
     models = spark.sql("select 'e' event_id, concat('m', lpad(id, 3, '0')) model from range(25)")
-    pages = exports.run_events(events, models, producer="p", namespace="n", drift_facet="f", page_rows=10).orderBy("page").collect()
-    names = [o["name"] for p in pages for o in json.loads(p.payload)["outputs"]]
-    assert len(pages) == 3 and names == [f"m{i:03d}" for i in range(25)]
-    first = json.loads(pages[0].payload)
+    (event,) = exports.run_events(events, producer="p", namespace="n", drift_facet="f").collect()
+    outputs = exports.run_event_outputs(models, "n").orderBy("name").collect()
+    assert [tuple(o) for o in outputs] == [("e", "n", f"m{i:03d}") for i in range(25)]
+    first = json.loads(event.payload)
     assert first["eventType"] == "COMPLETE" and "parent" not in first["run"]["facets"]
     assert first["inputs"][0]["facets"]["schema"]["fields"] == [{"name": "c", "type": "text"}]
 

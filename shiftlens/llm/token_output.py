@@ -6,8 +6,9 @@ table, the table (i64 doc_id, u8 known, u32 ids of each), then the ids as ``rang
 values of a binary column of a table, so Spark commits them, a lost executor's part is written again, and any store
 that Spark reads can hold them. ``part`` and ``seq`` give their order.
 
-Spaces between two non-spaces are always boundaries of the byte-level pre-tokeniser, so a text is the concatenation of
-words that are encoded once each by the library and remembered.
+Between a letter, digit or mark and a character of another kind the byte-level pre-tokeniser always ends a match, so a text
+is the concatenation of words that are encoded once each by the library and remembered. Words are named by a hash of their bytes; a name that
+stands for two words of different length is found, and those words are encoded again. Both are array operations on many texts at once.
 
 Defined cases: null and empty texts have the end id only; a null ``doc_id`` sorts first and stays null; equal rows are all
 written; a text larger than a file makes a larger file; an empty table has no file and gives no rows.
@@ -16,27 +17,54 @@ written; a text larger than a file makes a larger file; an empty table has no fi
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shiftlens.functions.durable import new_path
 from shiftlens.llm import range_coder
-from shiftlens.llm.common import map_batches, texts
+from shiftlens.llm.common import map_batches, slices, texts
+from shiftlens.llm.hashing import span_hashes
 
 MAGIC = b"TIDF0001"
 FILE_IDS = 4_000_000
 END = 2
-CACHED = 300_000
-_SPLIT = re.compile(r"(?<=\S) (?=\S)")
+CACHED = 1_000_000  # words that a worker remembers
+LONGEST = 1024  # bytes of a remembered word
 FILES = "part int, seq int, n_docs long, n_ids long, file binary"
 
+# Classes of bytes: 1 letters, 2 digits, 3 marks, 4 white space, 5 the apostrophe; 0 is anything else.
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[0x21:0x7F] = 3
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]], _CLASS[0x30:0x3A], _CLASS[[0x20, *range(0x09, 0x0E)]], _CLASS[0x27] = 1, 2, 4, 5
+# Whether a match surely ends between two classes. An apostrophe may begin a contraction with the letter after it.
+_ENDS = np.zeros((6, 6), bool)
+_ENDS[1, [2, 3, 4, 5]] = _ENDS[2, [1, 3, 4, 5]] = _ENDS[3, [1, 2, 4]] = True
+_ENDS[5, [2, 4]] = True
+
+
+def word_starts(data: np.ndarray) -> np.ndarray:
+    """Whether a match of the pre-tokeniser surely begins at each byte but the first, whatever stands elsewhere."""
+    kind = _CLASS[data]
+    out = _ENDS.ravel()[kind[:-1] * np.uint8(6) + kind[1:]]
+    # a space after a character outside ASCII that is no white space, told by the lead bytes of those that are
+    at = np.flatnonzero((data[1:] == 0x20) & (data[:-1] >= 0x80)) + 1
+    out[at[(data[np.maximum(at - 2, 0)] != 0xC2) & ~np.isin(data[np.maximum(at - 3, 0)], (0xE1, 0xE2, 0xE3))] - 1] = True
+    return out
+
+
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """All places of the ranges, one range after the other."""
+    reached = np.cumsum(count)
+    return np.arange(int(reached[-1]) if len(reached) else 0) + np.repeat(first - (reached - count), count)
+
 
 class Words:
     """Ids of texts, word by word, with the tokenizers library."""
@@ -47,63 +75,153 @@ class Words:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = []
-        for text in texts:
-            first, *rest = _SPLIT.split(text)
-            split.append([first, *map(" ".__add__, rest)])
-        if len(self.known) > CACHED:
-            self.known.clear()
-        new = list({w for words in split for w in words} - self.known.keys())
-        for word, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(found.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
-
-
-def pack(docs: list[tuple[int | None, bytes]]) -> bytes:
+        vocabulary = self.tokenizer.get_vocab()  # one character of a token stands for one byte
+        self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        self.bytes_of[list(vocabulary.values())] = [len(token) for token in vocabulary]
+        self.forget()
+
+    def forget(self) -> None:
+        self.names, self.pool = np.empty(0, np.uint64), np.empty(0, "<u4")
+        self.first, self.count, self.size = (np.empty(0, np.int64) for _ in range(3))  # place and number of ids, bytes
+
+    def _ids(self, words: list[bytes]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return [np.array(x.ids, "<u4") for x in found]
+
+    def _encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words and the number of each.
+
+        Words that end in plain characters go to the library together, each after a line break: that is a match of its own
+        before a word or before its leading space.
+        """
+        plain = [bool(_CLASS[w[-1]] not in (0, 4)) and (_CLASS[w[0]] not in (0, 4) or w[0] == 0x20 and len(w) > 1 and _CLASS[w[1]] not in (0, 4)) for w in words]
+        together = [i for i, p in enumerate(plain) if p]
+        alone = [i for i, p in enumerate(plain) if not p]
+        count, order, parts = np.zeros(len(words), np.int64), [], [np.empty(0, "<u4")]
+        for at in range(0, len(together), 4096):
+            some = together[at : at + 4096]
+            ids = self._ids([b"".join(b"\n" + words[i] for i in some)])[0]
+            ends = np.cumsum([len(words[i]) + 1 for i in some])
+            reached = np.cumsum(self.bytes_of[ids])
+            breaks = np.searchsorted(reached, np.concatenate(([0], ends[:-1])) + 1)
+            cuts = np.searchsorted(reached, ends)
+            if cuts[-1] != len(ids) - 1 or (reached[cuts] != ends).any() or (self.bytes_of[ids[breaks]] != 1).any():
+                alone += some  # a token over two words
+                continue
+            count[some] = cuts - breaks
+            parts.append(np.delete(ids, breaks))
+            order += some
+        for i, ids in zip(alone, self._ids([words[i] for i in alone]), strict=True):
+            count[i] = len(ids)
+            parts.append(ids)
+        order = np.array(order + alone, np.int64)
+        # back into the order of the words
+        ids, first = np.concatenate(parts), np.zeros(len(words), np.int64)
+        first[order] = np.cumsum(count[order]) - count[order]
+        return ids[_ranges(first, count)], count
+
+    def _learn(self, names: np.ndarray, words: list[bytes]) -> None:
+        ids, count = self._encode_words(words)
+        first = len(self.pool) + np.cumsum(count) - count
+        order = np.argsort(both := np.concatenate((self.names, names)), kind="stable")
+        self.names, self.pool = both[order], np.concatenate((self.pool, ids))
+        self.first, self.count = np.concatenate((self.first, first))[order], np.concatenate((self.count, count))[order]
+        self.size = np.concatenate((self.size, np.fromiter(map(len, words), np.int64, len(words))))[order]
+
+    def _known(self, names: np.ndarray) -> np.ndarray:
+        if not len(self.names):
+            return np.full(len(names), -1)
+        at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+        return np.where(self.names[at] == names, at, -1)
+
+    def encode(self, texts: list[bytes], tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each followed by ``tail``, one after the other, and the number of each."""
+        raw = b"".join(texts)
+        data = np.frombuffer(raw, np.uint8)
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        ends = np.cumsum(size)
+        begins = ends - size
+        mark = np.zeros(len(data) + 1, bool)
+        if len(data):
+            mark[1:-1] = word_starts(data)
+        mark[begins] = True
+        starts = np.flatnonzero(mark[: len(data)])
+        stops = np.append(starts[1:], len(data))[: len(starts)]
+        if len(self.names) > CACHED:
+            self.forget()
+        first, count = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        short = np.flatnonzero(stops - starts <= LONGEST)
+        names, one, which = np.unique(span_hashes(data, starts[short], stops[short]), return_index=True, return_inverse=True)
+        new = np.flatnonzero(self._known(names) < 0)
+        if len(new):
+            self._learn(names[new], [raw[starts[i] : stops[i]] for i in short[one[new]].tolist()])
+        at = self._known(names)[which]
+        first[short], count[short] = self.first[at], self.count[at]
+        clash = np.zeros(len(starts), bool)
+        clash[short] = self.size[at] != (stops - starts)[short]
+        alone = np.flatnonzero(clash | (stops - starts > LONGEST))
+        extra, count[alone] = self._encode_words([raw[starts[i] : stops[i]] for i in alone.tolist()])
+        first[alone] = len(self.pool) + np.cumsum(count[alone]) - count[alone]
+        pool = np.concatenate((self.pool, extra, tail)) if len(alone) or len(tail) else self.pool
+        after = np.searchsorted(starts, ends)  # the tail's place among the words
+        first, count = np.insert(first, after, len(pool) - len(tail)), np.insert(count, after, len(tail))
+        upto = np.cumsum(count)[after + np.arange(len(texts))]
+        return pool[_ranges(first, count)], np.diff(upto, prepend=0)
+
+
+@lru_cache(maxsize=1)
+def words_of(definition: str) -> Words:
+    """One for all tasks of a worker, so that a word is encoded once."""
+    return Words(definition)
+
+
+_ROW = np.dtype([("doc", "<i8"), ("known", "u1"), ("n", "<u4")])
+
+
+def pack(docs: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
     """One file of documents and their ids."""
-    table = np.array([(d or 0, d is not None, len(ids) // 4) for d, ids in docs], np.dtype([("doc", "<i8"), ("known", "u1"), ("n", "<u4")])).tobytes()
-    coded = range_coder.encode(np.frombuffer(b"".join(ids for _, ids in docs), "<u4"))
-    return MAGIC + struct.pack("<II", len(docs), zlib.crc32(table)) + table + coded
+    table = np.zeros(len(docs), _ROW)
+    table["doc"], table["known"], table["n"] = [d or 0 for d in docs], [d is not None for d in docs], counts
+    head = table.tobytes()
+    return MAGIC + struct.pack("<II", len(docs), zlib.crc32(head)) + head + range_coder.encode(ids)
 
 
-def unpack(data: bytes) -> list[tuple[int | None, bytes]]:
-    """Documents and ids of a file; raises if a checksum is wrong."""
+def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+    """Documents, the number of ids of each, and all ids of a file; raises if a checksum is wrong."""
     n, check = struct.unpack_from("<II", data, 8)
-    end = 16 + 13 * n
+    end = 16 + _ROW.itemsize * n
     if data[:8] != MAGIC or zlib.crc32(data[16:end]) != check:
         raise ValueError("not a file of documents, or its table is damaged")
-    table = np.frombuffer(data[16:end], np.dtype([("doc", "<i8"), ("known", "u1"), ("n", "<u4")]))
-    ids = range_coder.decode(data[end:]).astype("<u4").tobytes()
-    ends = 4 * np.cumsum(table["n"], dtype=np.int64)
-    return [(int(d) if k else None, ids[e - 4 * int(n) : e]) for d, k, n, e in zip(table["doc"], table["known"], table["n"], ends.tolist(), strict=True)]
+    table = np.frombuffer(data[16:end], _ROW)
+    docs = [d if k else None for d, k in zip(table["doc"].tolist(), table["known"].tolist(), strict=True)]
+    return docs, table["n"].astype(np.int64), range_coder.decode(data[end:]).astype("<u4")
 
 
 def token_files(docs: DataFrame, path: str | None = None, end: int | None = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` as files in ascending order of ``doc_id``. ``path``: the tokenizer's definition, read by the driver."""
     with open(path or public_tokenizers.path("byte_bpe_50k.json")) as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())  # a few MB
-    tail = b"" if end is None else np.array([end], "<u4").tobytes()
+    tail = np.array([] if end is None else [end], "<u4")
 
     def run(batches):
-        words, held, size, seq = Words(shared.value), [], 0, 0
-        part = TaskContext.get().partitionId()
+        words, part, seq = words_of(shared.value), TaskContext.get().partitionId(), 0
+        docs, counts, held, size = [], [], [], 0
 
         def file():
-            return [[part], [seq], [len(held)], [size], [pack(held)]]
+            return [[part], [seq], [len(docs)], [size], [pack(docs, np.concatenate(counts), np.concatenate(held))]]
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                ids = batch.column("doc_id").slice(at, 256).to_pylist()
-                for doc, coded in zip(ids, words.encode(batch.column("text").slice(at, 256).to_pylist()), strict=True):
-                    held.append((doc, coded + tail))
-                    size += len(coded + tail) // 4
-                    if size >= FILE_IDS:
-                        yield file()
-                        held, size, seq = [], 0, seq + 1
-        if held:
+            for start, stop in slices(batch, "text"):
+                text = batch.column("text").slice(start, stop - start).cast(pa.binary()).to_pylist()
+                ids, count = words.encode(text, tail)
+                docs += batch.column("doc_id").slice(start, stop - start).to_pylist()
+                counts.append(count)
+                held.append(ids)
+                size += len(ids)
+                if size >= FILE_IDS:
+                    yield file()
+                    docs, counts, held, size, seq = [], [], [], 0, seq + 1
+        if docs:
             yield file()
 
     ordered = texts(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
@@ -129,12 +247,11 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part, seq, data in zip(*(batch.column(c).to_pylist() for c in ("part", "seq", "file")), strict=True):
-                docs, at = unpack(data), 0
+                docs, counts, ids = unpack(data)
+                starts, raw = np.concatenate(([0], np.cumsum(counts))), ids.tobytes()
                 for group in range(0, len(docs), 1024):
-                    some = docs[group : group + 1024]
-                    starts = np.cumsum([at] + [len(ids) // 4 for _, ids in some])
-                    at = int(starts[-1])
-                    yield [[part] * len(some), [seq] * len(some), [d for d, _ in some], starts[:-1], [ids for _, ids in some]]
+                    some, edge = docs[group : group + 1024], starts[group : group + 1025].tolist()
+                    yield [[part] * len(some), [seq] * len(some), some, edge[:-1], [raw[4 * a : 4 * b] for a, b in zip(edge[:-1], edge[1:], strict=True)]]
 
     rows = map_batches(files.select("part", "seq", "file"), run, "part int, seq int, doc_id long, in_file long, ids binary")
     both = rows.join(placed, (F.col("part") == F.col("p")) & (F.col("seq") == F.col("s")))

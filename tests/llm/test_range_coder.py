@@ -48,3 +48,24 @@ def test_files_are_in_order_and_equal_the_library(spark, odd):
     known = [d for d, *_ in got if d is not None]
     assert known == sorted(known) and [d for d, *_ in got][:2] == [None, None]
     assert token_output.read_files(spark, token_output.write_files(odd.limit(0))).count() == 0
+
+
+def test_words_equal_the_library_on_awkward_texts():
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("byte_bpe_50k.json")) as f:
+        definition = f.read()
+    library = Tokenizer.from_str(definition)
+    library.encode_special_tokens = True
+    # white space of all kinds, contractions, control characters, joiners, marks, a special token and long words
+    parts = ["\x00", "\x1c", "\x85", "\x7f", "\t", "\n", "\r\n", " ", "  ", " ", " ", "　", "᠎", "​", "﻿", "a", "b", "9", "a1", "1a", " it"]
+    parts += ["é", "é ", "é", "中", "か", "\U0001f600", "“", "”", ".", "...", "-", "--", "'", "'s", "don't", "<|endoftext|>", "x" * 1100]
+    dice, words, end = random.Random(5), token_output.Words(definition), np.array([2], "<u4")
+    for _ in range(400):
+        some = ["".join(dice.choices(parts, k=dice.randint(0, 25))) for _ in range(dice.randint(0, 6))]
+        ids, count = words.encode([x.encode() for x in some], end)
+        want = [[*library.encode(x, add_special_tokens=False).ids, 2] for x in some]
+        assert ids.tolist() == sum(want, []) and count.tolist() == [len(x) for x in want]

@@ -55,12 +55,13 @@ def _last_named(specs: Column, name: Column) -> Column:
 def raw_changes(marked: DataFrame, prefix: str = "") -> DataFrame:
     """Column changes of every message that follows another schema of its topic.
 
-    Both schemas are in the row, so the diff needs no join and no shuffle. The first schema
-    of a topic has nothing before it and yields nothing.
+    A topic moves between few schemas, so every pair of schemas is read and compared once and
+    joined back to its messages. The first schema of a topic has nothing before it and yields nothing.
     """
-    both = marked.where(F.col("is_change") & F.col("previous").isNotNull()).select(
-        "topic",
-        "offset",
+    pair_of = ["topic", "previous", "schema"]
+    changed = marked.where(F.col("is_change") & F.col("previous").isNotNull()).select(*pair_of, "offset")
+    both = changed.select(*pair_of).distinct().select(
+        *pair_of,
         topic_table(F.col("topic"), prefix).alias("table_identifier"),
         _specs(F.col("previous")).alias("__before"),
         _specs(F.col("schema")).alias("__after"),
@@ -71,12 +72,13 @@ def raw_changes(marked: DataFrame, prefix: str = "") -> DataFrame:
         _last_named(F.col("__before"), n).alias("column_before"),
         _last_named(F.col("__after"), n).alias("column_after"),
     )
-    rows = both.select("topic", "offset", "table_identifier", F.explode(F.transform(names, pair)).alias("__c")).select(
-        "topic", "offset", "table_identifier", "__c.*"
+    rows = both.select(*pair_of, "table_identifier", F.explode(F.transform(names, pair)).alias("__c")).select(
+        *pair_of, "table_identifier", "__c.*"
     )
     b, a = F.col("column_before"), F.col("column_after")
     kind = F.when(b.isNull(), "added").when(a.isNull(), "removed").when(~b.eqNullSafe(a), "modified")
-    return rows.withColumn("kind", kind).where(F.col("kind").isNotNull())
+    found = rows.withColumn("kind", kind).where(F.col("kind").isNotNull())
+    return changed.join(found, pair_of).select("topic", "offset", "table_identifier", "name", "column_before", "column_after", "kind")
 
 
 def change_events(marked: DataFrame, prefix: str = "") -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from shiftlens.functions.ranking import ordered_rank
 from shiftlens.schemas import SPEC_FIELDS
@@ -26,22 +27,32 @@ def new_snapshots(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     )
 
 
-def append(incoming: DataFrame, path: str) -> None:
-    """Append snapshot headers to a Parquet store; writing the same ids again changes nothing."""
-    spark = incoming.sparkSession
-    stored = spark.read.schema(incoming.schema).option("ignoreMissingFiles", "true")
+def stored(spark: SparkSession, schema: T.StructType | str, path: str) -> DataFrame:
+    """What a Parquet store holds; nothing if it does not exist yet."""
     try:
-        fresh = new_snapshots(incoming, stored.parquet(path))
-    except Exception as missing:  # first run: the store does not exist yet
-        if "PATH_NOT_FOUND" not in str(missing):
+        return spark.read.schema(schema).option("ignoreMissingFiles", "true").option("basePath", path).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        fresh = first_per_id(incoming).select(*incoming.columns)
-    fresh.write.mode("append").parquet(path)
+        return spark.createDataFrame([], schema)
+
+
+def append(incoming: DataFrame, path: str) -> None:
+    """Append snapshot headers to a Parquet store; writing the same ids again changes nothing."""
+    held = stored(incoming.sparkSession, incoming.schema, path)
+    new_snapshots(incoming, held).write.mode("append").parquet(path)
 
 
 def append_columns(columns: DataFrame, path: str) -> None:
-    """Column rows, laid out by source so one source's history is one pruned folder."""
-    columns.write.mode("append").partitionBy("source_identifier").parquet(path)
+    """Column rows of snapshots not stored before, laid out by source so one source's history is one pruned folder.
+
+    Writing a snapshot again changes nothing. Rows are dealt by source and snapshot, so a task
+    writes few folders and a large source is written by many.
+    """
+    keys = ["source_identifier", "snapshot_id"]
+    held = stored(columns.sparkSession, columns.schema, path).select(*keys).distinct()
+    fresh = columns.join(held, keys, "left_anti").select(*columns.columns)
+    fresh.repartition(*keys).write.mode("append").partitionBy("source_identifier").parquet(path)
 
 
 # --- lookups ----------------------------------------------------------------
@@ -63,9 +74,14 @@ def counts(snapshots: DataFrame) -> DataFrame:
     return snapshots.rollup("source_identifier").agg(F.count(F.lit(1)).alias("snapshots"))
 
 
+def table_lookup(columns: DataFrame, table: str) -> DataFrame:
+    """Columns of that table in order, per snapshot; no row for a snapshot without it."""
+    return columns.where(F.col("table_identifier") == table)
+
+
 def column_lookup(columns: DataFrame, table: str, name: str) -> DataFrame:
     """First column of that name in that table, per snapshot; none when absent."""
-    hit = columns.where((F.col("table_identifier") == table) & (F.col("name") == name))
+    hit = table_lookup(columns, table).where(F.col("name") == name)
     keys = ["source_identifier", "snapshot_id"]
     rest = [c for c in columns.columns if c not in (*keys, "ordinal_position")]
     first = F.min(F.struct("ordinal_position", *rest))

@@ -401,9 +401,14 @@ def _staged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return orders, customers
 
 
-@query("SELECT o_orderkey order_id, o_custkey customer_id, o_totalprice amount, o_orderstatus status FROM orders")
+@query("SELECT o_orderkey order_id, o_custkey customer_id, o_totalprice amount, o_orderstatus status, strftime(o_orderdate, '%Y-%m-%d') created_on FROM orders")
 def staging_orders(spark: SparkSession, d: str) -> DataFrame:
-    return _staged(spark, d)[0].drop("created_at")
+    return _staged(spark, d)[0].withColumn("created_on", F.date_format("created_at", "yyyy-MM-dd")).drop("created_at")
+
+
+@query("SELECT c_custkey customer_id, c_name AS name, c_mktsegment email, c_nationkey created_at FROM customer")
+def staging_customers(spark: SparkSession, d: str) -> DataFrame:
+    return _staged(spark, d)[1]
 
 
 @query(

@@ -1,7 +1,8 @@
 """Streams whose step is a whole batch job: polling cycles, rate limiting, payload schemas.
 
-Each micro-batch writes its own ``batch_id`` folder, overwriting it on a retry, and reads only
-the folders before it: a batch that runs twice leaves one result.
+Each micro-batch writes its own folder, named by the stream's id and the batch, overwriting it on a retry, and reads
+only the folders before it: a batch that runs twice leaves one result. A stream keeps its id in its checkpoint; one
+with a new checkpoint has a new id, so what earlier streams left in the store stays and comes before its own.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from shiftlens.operators.classify import classify_single
 from shiftlens.operators.diff import history_diff
 from shiftlens.operators.limiter import rate_limit
-from shiftlens.operators.snapshots import latest, sequence
+from shiftlens.operators.snapshots import latest, sequence, stored
 from shiftlens.schemas import SPEC_FIELDS
 from shiftlens.sources.payload import DOCUMENT, value_type
 
@@ -28,15 +29,25 @@ def run_batches(stream: DataFrame, step: Callable[[DataFrame, int], None], check
     query.awaitTermination()
 
 
-def _earlier(df_like: DataFrame, path: str, schema, batch_id: int) -> DataFrame:
-    spark = df_like.sparkSession
-    if batch_id == 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("basePath", path).parquet(path).where(F.col("batch_id") < batch_id)
+PLACE = [T.StructField("run_id", T.StringType()), T.StructField("batch_id", T.IntegerType())]
 
 
-def _write(df: DataFrame, path: str, batch_id: int) -> None:
-    df.drop("batch_id").write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def _run(batch: DataFrame) -> str:
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "none"
+
+
+def _earlier(batch: DataFrame, path: str, schema: T.StructType, batch_id: int) -> DataFrame:
+    """Rows of earlier streams and of this one's earlier batches, with ``run_id`` and ``batch_id``."""
+    held = stored(batch.sparkSession, T.StructType([*schema.fields, *PLACE]), path)
+    return held.where((F.col("run_id") != _run(batch)) | (F.col("batch_id") < batch_id))
+
+
+def _folder(batch: DataFrame, path: str, batch_id: int) -> str:
+    return f"{path}/run_id={_run(batch)}/batch_id={batch_id}"
+
+
+def _write(df: DataFrame, batch: DataFrame, path: str, batch_id: int) -> None:
+    df.drop("run_id", "batch_id").write.mode("overwrite").parquet(_folder(batch, path, batch_id))
 
 
 # --- polling ----------------------------------------------------------------
@@ -54,23 +65,22 @@ def polling_step(store: str, events_path: str) -> Callable[[DataFrame, int], Non
 
     def step(batch: DataFrame, batch_id: int) -> None:
         rows = batch.select(*keys, "table_identifier", *SPEC_FIELDS)
-        numbered = lambda schema: T.StructType([*schema.fields, T.StructField("batch_id", T.IntegerType())])
-        headers = _earlier(batch, header_path, numbered(rows.select(*keys).schema), batch_id)
+        headers = _earlier(batch, header_path, rows.select(*keys).schema, batch_id)
         fresh = rows.join(headers.select("snapshot_id"), "snapshot_id", "left_anti").select(*rows.columns)
-        _write(fresh, column_path, batch_id)
-        fresh = batch.sparkSession.read.schema(rows.schema).parquet(f"{column_path}/batch_id={batch_id}")
-        _write(fresh.select(*keys).distinct(), header_path, batch_id)
+        _write(fresh, batch, column_path, batch_id)
+        fresh = batch.sparkSession.read.schema(rows.schema).parquet(_folder(batch, column_path, batch_id))
+        _write(fresh.select(*keys).distinct(), batch, header_path, batch_id)
         # Only the newest stored snapshot of the arriving sources is read back, from its batch folder.
         last = latest(headers.join(fresh.select("source_identifier").distinct(), "source_identifier", "left_semi"))
-        stored = _earlier(batch, column_path, numbered(rows.schema), batch_id)
-        before = stored.join(last.select("batch_id", "snapshot_id"), ["batch_id", "snapshot_id"], "left_semi")
+        held = _earlier(batch, column_path, rows.schema, batch_id)
+        before = held.join(last.select("run_id", "batch_id", "snapshot_id"), ["run_id", "batch_id", "snapshot_id"], "left_semi")
         together = fresh.unionByName(before.select(*rows.columns))
         headers = sequence(together.select(*keys).distinct())
         tables = together.select("source_identifier", "snapshot_id", "table_identifier").distinct()
         raw = history_diff(headers, tables, together.drop("captured_at"))
         named = headers.select("source_identifier", "seq", "snapshot_id", "captured_at")
         events = classify_single(raw).join(named, ["source_identifier", "seq"])
-        _write(events.drop("seq"), events_path, batch_id)
+        _write(events.drop("seq"), batch, events_path, batch_id)
 
     return step
 
@@ -85,18 +95,15 @@ def limiter_step(
 
     def step(batch: DataFrame, batch_id: int) -> None:
         id_type = batch.schema["event_id"].dataType.simpleString()
-        schema = f"scope string, t bigint, id {id_type}, batch_id int"
-        prior = None
-        if batch_id:
-            oldest = F.unix_micros(F.min("detected_at").cast("timestamp"))
-            start = batch.agg(oldest).first()[0]
-            earlier = _earlier(batch, admitted_path, schema, batch_id)
-            prior = earlier.where(F.col("t") >= F.lit((start or 0) - window_seconds * 1_000_000)).select("scope", "t")
+        schema = T.StructType.fromDDL(f"scope string, t bigint, id {id_type}")
+        start = batch.agg(F.unix_micros(F.min("detected_at").cast("timestamp"))).first()[0]
+        earlier = _earlier(batch, admitted_path, schema, batch_id)
+        prior = earlier.where(F.col("t") >= F.lit((start or 0) - window_seconds * 1_000_000)).select("scope", "t")
         judged, passed = rate_limit(
             batch, slot_taker, scope=scope, max_events=max_events, window_seconds=window_seconds, prior=prior
         )
-        _write(passed, admitted_path, batch_id)
-        _write(judged, out_path, batch_id)
+        _write(passed, batch, admitted_path, batch_id)
+        _write(judged, batch, out_path, batch_id)
 
     return step
 
@@ -105,37 +112,39 @@ def limiter_step(
 
 
 def payload_windows(rows: DataFrame, source: str, time: str, payload: str, width: str, lateness: str) -> DataFrame:
-    """(source_identifier, window_start, name, present, non_null, low, high) per closed window.
+    """(source_identifier, window_start, is_total, name, present, non_null, low, high) per closed window.
 
-    The row with an empty name counts the payloads. Rows later than ``lateness`` are dropped
+    The row with ``is_total`` counts the payloads; a key of no letters is a name like any other. Rows later than ``lateness`` are dropped
     by the watermark; a window is emitted once, when it can no longer change.
     """
-    nothing = F.struct(F.lit("").alias("key"), F.lit(None).cast("variant").alias("value"))
-    entries = F.map_entries(F.from_json(F.col(payload), DOCUMENT))
+    entry = "array<struct<is_total:boolean,key:string,value:variant>>"
+    nothing = F.struct(F.lit(True).alias("is_total"), F.lit("").alias("key"), F.lit(None).cast("variant").alias("value"))
+    found = F.map_entries(F.from_json(F.col(payload), DOCUMENT))
+    entries = F.transform(found, lambda e: F.struct(F.lit(False).alias("is_total"), e["key"].alias("key"), e["value"].alias("value")))
     named = rows.withWatermark(time, lateness).select(
         F.col(source).alias("source_identifier"),
         F.col(time),
-        F.explode(F.concat(F.array(nothing), F.coalesce(entries, F.array().cast("array<struct<key:string,value:variant>>")))).alias("__e"),
-    ).select("source_identifier", time, F.col("__e.key").alias("name"), F.col("__e.value").alias("__value"))
+        F.explode(F.concat(F.array(nothing), F.coalesce(entries, F.array().cast(entry)))).alias("__e"),
+    ).select("source_identifier", time, F.col("__e.is_total").alias("is_total"), F.col("__e.key").alias("name"), F.col("__e.value").alias("__value"))
     return (
         named.withColumn("__type", value_type(F.col("__value")))
-        .groupBy(F.window(time, width).alias("__w"), "source_identifier", "name")
+        .groupBy(F.window(time, width).alias("__w"), "source_identifier", "is_total", "name")
         .agg(
             F.count(F.lit(1)).alias("present"),
             F.count("__type").alias("non_null"),
             F.min("__type").alias("low"),
             F.max("__type").alias("high"),
         )
-        .select("source_identifier", F.col("__w.start").alias("window_start"), "name", "present", "non_null", "low", "high")
+        .select("source_identifier", F.col("__w.start").alias("window_start"), "is_total", "name", "present", "non_null", "low", "high")
     )
 
 
 def window_columns(windows: DataFrame) -> DataFrame:
     """Closed windows -> column rows (type, nullability, missing share), as the batch capture gives them."""
-    totals = windows.where(F.col("name") == "").select(
+    totals = windows.where("is_total").select(
         "source_identifier", "window_start", F.col("present").alias("payloads")
     )
-    return windows.where(F.col("name") != "").join(totals, ["source_identifier", "window_start"]).select(
+    return windows.where("not is_total").join(totals, ["source_identifier", "window_start"]).select(
         "source_identifier",
         "window_start",
         "name",

@@ -3,8 +3,10 @@
 import json
 
 from shiftlens.functions import types
-from shiftlens.operators import column_lineage, dashboards, exports, graph
+from shiftlens.functions.durable import new_path
+from shiftlens.operators import column_lineage, dashboards, exports, graph, snapshots
 from shiftlens.sources import cdc
+from shiftlens.streaming import batches
 from pyspark.sql import functions as F
 
 
@@ -55,3 +57,30 @@ def test_table_names_of_a_long_query(spark):
     sql = " ".join(f"FROM t{i} JOIN s.{chr(34)}u{i}{chr(34)}," for i in range(400))
     names = spark.createDataFrame([(sql,)], "q string").select(dashboards.table_refs(F.col("q")).alias("r")).first().r
     assert names == [x for i in range(400) for x in (f"t{i}", f"u{i}")] and json.dumps(names)
+
+
+def test_columns_of_a_stored_snapshot_are_not_appended_again(spark):
+    path, keys = new_path(spark, "columns"), "snapshot_id string, source_identifier string, name string"
+    snapshots.append_columns(spark.createDataFrame([("a@1", "a", "x"), ("a@1", "a", "y")], keys), path)
+    snapshots.append_columns(spark.createDataFrame([("a@1", "a", "x"), ("b@1", "b", "z")], keys), path)
+    assert sorted(tuple(r) for r in spark.read.parquet(path).select("source_identifier", "name").collect()) == [("a", "x"), ("a", "y"), ("b", "z")]
+
+
+def test_a_new_checkpoint_keeps_what_the_store_holds(spark):
+    folder, passed, judged = (new_path(spark, n) for n in ("limited", "passed", "judged"))
+    schema = "event_id long, s long, takes boolean"
+    step = batches.limiter_step(passed, judged, "takes", max_events=2, window_seconds=30)
+    for start in (0, 10):  # two streams, each with a checkpoint and a folder of its own
+        here = f"{folder}/{start}"
+        rows = [(start + i, start + i, True) for i in range(3)]
+        spark.createDataFrame(rows, schema).selectExpr("event_id", "timestamp_seconds(s) detected_at", "takes").write.parquet(here)
+        batches.run_batches(spark.readStream.schema(spark.read.parquet(here).schema).parquet(here), step, new_path(spark, "progress"))
+    got = {r.event_id: r.rate_limited for r in spark.read.parquet(judged).collect()}
+    assert got == {0: False, 1: False, 2: True, 10: True, 11: True, 12: True}
+
+
+def test_an_empty_json_key_is_a_column(spark):
+    rows = spark.createDataFrame([("s", 0, '{"": 1, "a": 2}'), ("s", 1, '{"a": 2}')], "src string, t long, doc string")
+    timed = rows.selectExpr("src", "timestamp_seconds(t) ts", "doc")
+    found = batches.window_columns(batches.payload_windows(timed, "src", "ts", "doc", "1 day", "1 hour")).collect()
+    assert sorted((r.name, r.nullable, r.payloads) for r in found) == [("", True, 2), ("a", False, 2)]

@@ -163,7 +163,8 @@ def templates(keyed: DataFrame) -> DataFrame:
         F.min("parent").alias("parent"), F.max("is_text").alias("is_text"), F.count("*").alias("pages"), F.sum("n").alias("total"),
         F.sum(F.xxhash64("page", "n").cast("decimal(38,0)")).alias("vector"))
     hosts = keyed.groupBy("host").agg(F.count("*").alias("host_pages"))
-    often = seen.filter(F.col("pages") >= LEAST_PAGES).join(hosts, "host").filter(F.col("pages") >= SUPPORT * F.col("host_pages"))
+    # written, as it is read twice and the pages behind it should be parsed once
+    often = cut(seen.filter(F.col("pages") >= LEAST_PAGES).join(hosts, "host").filter(F.col("pages") >= SUPPORT * F.col("host_pages")), "often")
     size = often.groupBy("host", "vector").agg(F.count("*").alias("tokens"))
     valid = often.join(size, ["host", "vector"]).filter(
         (F.col("tokens") >= LEAST_TOKENS) | F.col("is_text") & (F.col("pages") == F.col("total")) & (F.col("pages") >= NEARLY_ALL * F.col("host_pages")))

@@ -32,7 +32,7 @@ from shiftlens.functions.durable import cut
 from shiftlens.llm.common import map_batches, texts
 
 CHUNK, OVERLAP = 16_384, 256
-CACHED = 300_000  # distinct matches that a task remembers
+CACHED = 500_000  # distinct matches that a worker remembers
 
 
 def read_ranks(path: str | None = None) -> dict[bytes, int]:
@@ -95,6 +95,18 @@ class Encoder:
         return b"".join(map(self.cache.__getitem__, self.pattern.findall(text)))
 
 
+_KEPT: dict[str, Encoder] = {}
+
+
+def encoder_of(ranks: dict[bytes, int], pattern: str) -> Encoder:
+    """The worker's encoder: one for all its tasks, so that a match is merged once."""
+    kept = _KEPT.get(pattern)
+    if kept is None or kept.cache.ranks is not ranks:
+        _KEPT.clear()
+        kept = _KEPT[pattern] = Encoder(ranks, pattern)
+    return kept
+
+
 class Decoder:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.token = {rank: token for token, rank in ranks.items()}
@@ -168,7 +180,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, pattern: str
     shared = docs.sparkSession.sparkContext.broadcast(ranks or read_ranks())
 
     def run(batches):
-        encoder = Encoder(shared.value, pattern)
+        encoder = encoder_of(shared.value, pattern)
         for batch in batches:
             keys = [batch.column(c).to_pylist() for c in batch.schema.names if c != "text"]
             yield [*keys, [encoder.encode(x) for x in batch.column("text").to_pylist()]]

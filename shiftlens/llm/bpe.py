@@ -4,8 +4,9 @@ A long text is cut into chunks of ``CHUNK`` characters that reach ``OVERLAP`` ch
 chunks of all documents are pre-tokenised in parallel, each from its own start. A match depends only on the text
 that follows it, so where two neighbours have a boundary in common, both go on alike: there the chunks are stitched,
 and the pieces between the stitches are encoded in parallel and joined by their number. A boundary counts only if the
-match before it ended before its chunk did. Where an overlap holds no common boundary (one match longer than the
-overlap), the rest of that document from the last stitch on is one piece.
+match before it ended before its chunk did, and if no white space stands before it: matches of white space look at the
+character after them, which a piece that ends there no longer has. Where an overlap holds no common boundary (one match
+longer than the overlap), the rest of that document from the last stitch on is one piece.
 
 Each match of the pattern is encoded separately: merges of lowest rank first, leftmost among equals. Decoding
 concatenates the raw bytes of the ids.
@@ -110,7 +111,7 @@ def boundaries(pattern, chunk: str, last: bool) -> tuple[list[int], list[int]]:
         at = m.start()
         if at < OVERLAP:
             head.append(at)
-        if at >= CHUNK and not last:
+        if at >= CHUNK and not last and not chunk[at - 1].isspace():
             tail.append(at - CHUNK)
     return head, tail
 

@@ -36,3 +36,17 @@ def test_long_texts_are_stitched_from_several_pieces(spark):
 def test_odd_rows_and_no_rows(odd):
     assert bpe.encode(odd).count() == odd.count()
     assert bpe.decode(bpe.encode(odd.limit(0))).count() == 0
+
+
+def test_white_space_around_a_chunk_edge_is_matched_as_in_the_whole_text(spark):
+    breaks = ["\n\n", "\n\n\n", "\n \n", "\r\n\r\n", " \n", "\t\t", "  ", "\n\n ", "\u00a0\u00a0", "\u3000\n", "'ll", "\x1c\x1c"]
+    ranks = bpe.read_ranks()
+    texts = ["a b " * 5_000]
+    for white in breaks:
+        for shift in range(-2, 3 + len(white)):
+            edge = bpe.CHUNK - shift
+            texts.append(("word " * edge)[: edge - 1] + "d" + white + "The next paragraph. " * 30)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {tuple(r) for r in bpe.digests(bpe.decode(bpe.encode(docs))).collect()}
+    assert got == {_want(ranks, *t) for t in enumerate(texts)}
+    assert bpe.pieces(bpe.texts(docs).withColumn("version", F.xxhash64("text"))).count() == 2 * len(texts)

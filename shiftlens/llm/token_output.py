@@ -10,13 +10,17 @@ Between a letter, digit or mark and a character of another kind the byte-level p
 is the concatenation of words that are encoded once each by the library and remembered. Words are named by a hash of their bytes; a name that
 stands for two words of different length is found, and those words are encoded again. Both are array operations on many texts at once.
 
+The strings of the definition's added tokens are their ids, as the library gives them: texts are split at them before the words.
+
 Defined cases: null and empty texts have the end id only; a null ``doc_id`` sorts first and stays null; equal rows are all
 written; a text larger than a file makes a larger file; an empty table has no file and gives no rows.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from functools import lru_cache
@@ -74,7 +78,12 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = True  # a word is ordinary text; ``encode_whole`` splits at the added tokens
+        added = json.loads(definition).get("added_tokens") or []
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+            raise ValueError("added tokens that take white space or need whole words are not split at")
+        self.added = {t["content"].encode(): t["id"] for t in added}
+        self.added_pattern = re.compile(b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True))))
         vocabulary = self.tokenizer.get_vocab()  # one character of a token stands for one byte
         self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         self.bytes_of[list(vocabulary.values())] = [len(token) for token in vocabulary]
@@ -168,6 +177,25 @@ class Words:
         upto = np.cumsum(count)[after + np.arange(len(texts))]
         return pool[_ranges(first, count)], np.diff(upto, prepend=0)
 
+    def encode_whole(self, texts: list[bytes], tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` of texts in which the strings of added tokens are their ids."""
+        if not any(token in text for text in texts for token in self.added):
+            return self.encode(texts, tail)
+        parts, after, first = [], [], []  # parts between added tokens, the ids behind each, and the first part of each text
+        for text in texts:
+            first.append(len(parts))
+            at = 0
+            for m in self.added_pattern.finditer(text):
+                parts.append(text[at : m.start()])
+                after.append([self.added[m[0]]])
+                at = m.end()
+            parts.append(text[at:])
+            after.append(tail)
+        ids, count = self.encode(parts, tail[:0])
+        more = np.fromiter(map(len, after), np.int64, len(after))
+        ids = np.insert(ids, np.repeat(np.cumsum(count), more), np.concatenate(after))
+        return ids, np.add.reduceat(count + more, first)
+
 
 @lru_cache(maxsize=1)
 def words_of(definition: str) -> Words:
@@ -213,7 +241,7 @@ def token_files(docs: DataFrame, path: str | None = None, end: int | None = END,
         for batch in batches:
             for start, stop in slices(batch, "text"):
                 text = batch.column("text").slice(start, stop - start).cast(pa.binary()).to_pylist()
-                ids, count = words.encode(text, tail)
+                ids, count = words.encode_whole(text, tail)
                 docs += batch.column("doc_id").slice(start, stop - start).to_pylist()
                 counts.append(count)
                 held.append(ids)

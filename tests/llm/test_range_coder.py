@@ -69,3 +69,30 @@ def test_words_equal_the_library_on_awkward_texts():
         ids, count = words.encode([x.encode() for x in some], end)
         want = [[*library.encode(x, add_special_tokens=False).ids, 2] for x in some]
         assert ids.tolist() == sum(want, []) and count.tolist() == [len(x) for x in want]
+
+
+def test_added_tokens_are_their_ids_as_in_the_untouched_library(spark):
+    import random
+    import zlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path) as f:
+        words = token_output.Words(f.read())
+    library = Tokenizer.from_file(path)
+    parts = ["<|endoftext|>", "<|endoftext|>", "<|endof", "text|>", "<", "|>", " ", "  ", "\n\n", "end", " x", "é", "9", "'s", "...", "\u3000"]
+    dice = random.Random(7)
+    for tail in ([2], [], [2, 3]):
+        for _ in range(200):
+            some = ["".join(dice.choices(parts, k=dice.randint(0, 12))) for _ in range(dice.randint(0, 6))]
+            ids, count = words.encode_whole([x.encode() for x in some], np.array(tail, "<u4"))
+            want = [[*library.encode(x, add_special_tokens=False).ids, *tail] for x in some]
+            assert ids.tolist() == sum(want, []) and count.tolist() == [len(x) for x in want]
+    texts = ["end <|endoftext|> x", "<|endoftext|>", "", "plain"]
+    want = [[*library.encode(x, add_special_tokens=False).ids, 2] for x in texts]
+    got = sorted(tuple(r) for r in token_output.checksums(token_output.read_files(spark, token_output.write_files(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))).collect())
+    assert want[0][2] == 50256
+    assert [(d, n, c) for d, _, n, c in got] == [(d, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for d, x in enumerate(want)]
+    assert [start for _, start, _, _ in got] == [sum(map(len, want[:d])) for d in range(len(texts))]

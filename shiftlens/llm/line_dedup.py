@@ -2,14 +2,15 @@
 
 Each line has a hash; a rolling hash over the last ``WINDOW`` line hashes ends a chunk where it is 0 modulo
 ``MEAN``, so boundaries move with the content and an inserted or removed line changes only the chunks
-around it. Chunks of several lines that occur more than once in all documents are removed, but for the
+around it. A last line alone belongs to the chunk before it; that chunk is looked for without the line too, as in other
+documents it may end there. Chunks of several lines that occur more than once in all documents are removed, but for the
 first place (smallest doc_id, then position), after their bytes were found equal to the first's.
 
 The first chunk of a document and the one after a changed line may start elsewhere in two copies of a
 passage; the chunks that follow agree again, as a boundary depends on ``WINDOW`` lines only.
 
-Defined cases: null and empty text have no line and stay as they are; lines end at ``\\n`` only; one-line chunks
-are never removed, so a document of one line stays; a repeat inside one document counts; equal rows
+Defined cases: null and empty text have no line and stay as they are; lines end at ``\\n`` only; a document of
+one line is a chunk that is never removed; a repeat inside one document counts; equal rows
 (``doc_id`` and text) are one document; other texts under the same ``doc_id`` are ordered by a hash of the text;
 rows without a ``doc_id`` stay as they are; chunks with equal names but other bytes stay; an empty table
 gives no rows.
@@ -31,8 +32,11 @@ MEAN = 2
 LEAST = 2  # lines of a chunk
 
 
-def chunks_of(text: bytes, window: int = WINDOW, mean: int = MEAN, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """First and end line of each chunk, line start bytes (one more at the end), and chunk names."""
+def chunks_of(text: bytes, window: int = WINDOW, mean: int = MEAN, least: int = LEAST, shorter: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """First and end line of each chunk, line start bytes (one more at the end), and chunk names.
+
+    With ``shorter``, the last chunk follows once more without the closing lines that are too few for a chunk of their own.
+    """
     data = np.frombuffer(text, np.uint8)
     breaks = np.flatnonzero(data == 10)
     starts = np.concatenate(([0], breaks + 1))
@@ -46,11 +50,14 @@ def chunks_of(text: bytes, window: int = WINDOW, mean: int = MEAN, least: int =
     marks = np.flatnonzero(rolling % np.uint64(mean) == 0) + 1
     first, edges = 0, [0]
     for mark in marks.tolist():
-        if mark - first >= least and mark < len(starts):
+        if mark - first >= least and len(starts) - mark >= least:
             edges.append(mark)
             first = mark
     edges.append(len(starts))
     first, end = np.array(edges[:-1]), np.array(edges[1:])
+    cuts = marks[(marks - edges[-2] >= least) & (marks < len(starts))] if shorter else marks[:0]
+    if len(cuts):
+        first, end = np.append(first, first[-1]), np.append(end, cuts[0])
     return first, end, np.concatenate((starts, [len(data) + 1])), run_names(hashes, first, end)
 
 
@@ -65,7 +72,7 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         for batch in batches:
             parts = []
             for doc, version, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "version", "text")), strict=True):
-                first, end, _, (n0, n1) = chunks_of(text.encode())
+                first, end, _, (n0, n1) = chunks_of(text.encode(), shorter=True)
                 many = end - first >= LEAST
                 count = int(many.sum())
                 parts.append((n0[many], n1[many], np.full(count, doc), np.full(count, version), first[many], end[many]))
@@ -117,11 +124,14 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return kept.select(*(F.col(left).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
 
 
+def lines_of(parts) -> set[int]:
+    """Lines of the chunks ``parts``."""
+    return {i for p in (parts if parts is not None else ()) for i in range(p["first"], p["end"])}
+
+
 def without_lines(text: str, parts) -> str:
     """``text`` without the lines of the chunks ``parts``."""
-    gone: set[int] = set()
-    for p in parts if parts is not None else ():
-        gone.update(range(p["first"], p["end"]))
+    gone = lines_of(parts)
     return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone) if gone else text
 
 
@@ -132,7 +142,7 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             out: list[list] = [[] for _ in range(4)]
             for doc, text, null, parts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "is_null", "parts")), strict=True):
-                gone = sum(p["end"] - p["first"] for p in parts or [])
+                gone = len(lines_of(parts))
                 for column, value in zip(out, (doc, None if null else without_lines(text, parts), text.count("\n") + 1 if text else 0, gone), strict=True):
                     column.append(value)
             yield out

@@ -8,8 +8,8 @@ belongs to a valid class too, up to the root. The valid classes are the host's t
 
 From each page the template's slots are taken as follows. Where the template has an article (or main) element, that slot is
 the text; else every slot is. Slots of menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments are left out, named by their element or by words of their class, id or role, as are text runs of the
-template itself: those that occur once on nearly all of at least ``MANY_PAGES`` pages of the host and lie outside the article slot.
+comments are left out, named by their element or by words of their class, id or role (inside an article only containers, by
+a whole class or id that names a box), as are text runs of the template itself: those that occur once on nearly all of at least ``MANY_PAGES`` pages of the host and lie outside the article slot.
 
 Character references are decoded; white space inside a block is one space; ``br`` is white space; blocks are joined by a
 line break.
@@ -45,11 +45,14 @@ ENDS_PARAGRAPH = {"address", "article", "aside", "blockquote", "div", "dl", "fie
 LEAVES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "tr", "blockquote", "pre", "figcaption", "caption", "address"}
 ARTICLE = {"article", "main"}
 BOILERPLATE = {"head", "nav", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "svg", "canvas", "object", "audio", "video"} | RAW
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "popup", "promo", "promotion", "related", "respond", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
+# With these a word of WORDS is the name of a box, not of a subject.
+BOXES = {"area", "bar", "block", "box", "button", "buttons", "container", "content", "form", "icons", "inner", "item", "items", "links", "list", "outer", "panel", "section", "slot", "unit", "wrap", "wrapper"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "alert", "dialog"}
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -64,13 +67,29 @@ class Node:
         self.tag, self.path, self.slot, self.article, self.dropped = tag, path, slot, article, dropped
 
 
+def attributes_of(source: str) -> dict[str, str]:
+    """Attributes of a tag by their whole names, values consumed in order; of equal names the first counts."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(source):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
+def _names_box(name: str) -> bool:
+    words = set(re.split("[-_]+", name))
+    return not words.isdisjoint(WORDS) and words <= WORDS | BOXES
+
+
 def _is_boilerplate(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
     if tag in BOILERPLATE or tag == "header" and not in_article or "hidden" in attributes:
         return True
     if attributes.get("role", "").lower() in ROLES:
         return True
-    named = _WORD.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower())
-    return tag not in ARTICLE | {"html", "body"} and not WORDS.isdisjoint(named) or tag not in {"html", "body", "article", "main", "h1"} and "header" in named and not in_article
+    names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
+    if in_article:  # ids of headings and sections are often made of their subject
+        return tag not in ARTICLE | HEADINGS | INLINE | {"p"} and any(map(_names_box, names.split()))
+    named = _WORD.findall(names)
+    return tag not in ARTICLE | {"html", "body"} and not WORDS.isdisjoint(named) or tag not in {"html", "body", "article", "main", "h1"} and "header" in named
 
 
 def tokens(page: str) -> Iterator[tuple[str, Node, str]]:
@@ -99,7 +118,7 @@ def tokens(page: str) -> Iterator[tuple[str, Node, str]]:
             if depth and stack[depth].tag in ends:
                 for _ in range(len(stack) - depth):
                     yield "close", stack.pop(), stack[-1].tag
-        attributes = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(found[3] or found[6] or "")}
+        attributes = attributes_of(found[3] or found[6] or "")
         around = stack[-1]
         name = " ".join(filter(None, (tag, attributes.get("class"), attributes.get("id"))))
         article = around.article or tag in ARTICLE

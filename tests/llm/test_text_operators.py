@@ -190,3 +190,23 @@ def test_vectors_that_take_no_part(spark):
 def test_odd_rows_and_no_rows(odd, operator):
     operator(odd).collect()
     assert operator(odd.limit(0)).count() == 0
+
+
+def test_attributes_are_read_by_their_whole_names():
+    read = html_extract.attributes_of
+    assert read(""" style="overflow:hidden" aria-hidden='false' href="/hidden-gems" data-id="ad" width="5" ID=x id=y""") == {
+        "style": "overflow:hidden", "aria-hidden": "false", "href": "/hidden-gems", "data-id": "ad", "width": "5", "id": "x"}
+    assert read(" hidden class = 'a b' href=/p?id=ad /") == {"hidden": "", "class": "a b", "href": "/p?id=ad"}
+    assert read(" class=\"\" id='say \"hidden\"'/") == {"class": "", "id": 'say "hidden"'}
+
+
+def test_article_text_with_ordinary_attributes_stays():
+    kept = [
+        '<div style="overflow:hidden">{}</div>', '<div aria-hidden="false">{}</div>', '<p><a href="/hidden-gems">{}</a></p>', '<p><a href="/p?id=ad">{}</a></p>', '<p data-class="ad">{}</p>',
+        '<h2 id="market-share">{}</h2>', '<h3 id="social-impact">{}</h3>', '<h2 id="share">{}</h2>', '<section id="related-work"><p>{}</p></section>', '<p id="notice">{}</p>', '<div class="market-share">{}</div>',
+    ]
+    gone = ['<div hidden>{}</div>', '<p hidden="">{}</p>', '<div class="x ad">{}</div>', '<div id="comments">{}</div>', '<div class="share-buttons">{}</div>', '<ul class="social_links"><li>{}</ul>', '<aside>{}</aside>', '<div role="search">{}</div>']
+    body = "".join(shape.format(f"{word} {i}") for word, shapes in (("kept", kept), ("gone", gone)) for i, shape in enumerate(shapes))
+    text = html_extract.extract_page(f"<body><div id='ad-top'>gone</div><article>{body}</article></body>", html_extract.Template(None))
+    assert text == "\n".join(f"kept {i}" for i in range(len(kept)))
+    assert html_extract.extract_page('<div style="overflow:hidden">a</div><div hidden>b</div><div class="ad-slot">c</div>', html_extract.Template(None)) == "a"

@@ -1,130 +1,193 @@
-"""Trailing-window rate limit, exact and without one long sequential pass per scope.
+"""Trailing-window rate limit, exact, on a bounded number of rows for each window of time.
 
 An event is let through while fewer than N events let through before it lie within the last W
-seconds (an event exactly W old still counts). That is a fold over time, but:
-
-* an empty W-bucket empties the window, so stretches between empty buckets are independent;
-* a stretch is cut into segments of bounded rows, and round r folds segment r of every stretch
-  of every scope at once, starting from the at most N events let through just before it;
-* a single bucket too big for a task is thinned first: nothing let through inside a W-bucket
-  expires in it, so only the first N rows after its start and after each of the at most N
-  known expiry times can be let through. Spark keeps top-N per piece on the map side.
-
+seconds (an event exactly W old still counts). What a window holds depends on the one before, so
+the fold over time is a chain; it takes at most N steps a window, because each step jumps to the
+next event let through. Two things keep it from reading every event:
+
+* time is cut into cells, ``PIECES`` a window. A cell holds at most N events let through, and nothing let
+  through in it expires in it, so its first N + 1 rows (kept per task before the shuffle) are all it
+  can need, unless a place in the window falls free inside the cell, after the last row kept;
+* such cells are found by the fold itself. All of them, of all scopes, are cut ``PIECES`` times finer and folded
+  again. The earliest one of a scope is exact one level later and a cell of one microsecond never
+  needs more, so the rounds end; without crowded cells the first round is the last.
+
+A fold reads at most (N + 1) * PIECES rows a window, and as many more for each cell cut finer, sorted and in
+batches; its memory is one batch. Stretches between empty windows are independent and folded apart.
 Whether any other event meets a full window is then an equi-join with at most 2N rows per bucket.
+
+Rows with equal scope, time and id are one event.
 """
 
 from __future__ import annotations
 
-from bisect import insort
-from functools import reduce
+from collections import deque
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from shiftlens.functions.durable import cut
 
-SEGMENT_ROWS = 500_000
+PIECES = 256
 _MICROS = 1_000_000
+_NEVER = -(2**62)
 
 
-def _folder(n: int, width: int):
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["t", "id"], kind="stable")
-        window = sorted(rows["prior"].iloc[0])
-        keep = []
-        for t in rows["t"]:
-            while window and window[0] < t - width:
-                del window[0]
-            keep.append(len(window) < n)
-            if keep[-1]:
-                insort(window, t)
-        return rows.loc[keep, ["scope", "stretch", "t", "id"]]
+class Slots:
+    """The last ``n`` times let through, and a walk over sorted times that takes the free ones."""
 
-    return fold
+    def __init__(self, n: int, width: int, taken: list[int] | None = None) -> None:
+        self.width = width
+        self.taken = deque(taken or [], maxlen=n)
+        self.before = (0, _NEVER, -1)  # time of the row before, to what time rows after it may be missing, its level
 
+    def free(self) -> int:
+        """A row is let through if its time is above this one."""
+        return self.taken[0] + self.width if len(self.taken) == self.taken.maxlen else _NEVER
 
-def _stretches(candidates: DataFrame, segment_rows: int) -> DataFrame:
-    """(scope, bucket, stretch, segment, big): where each bucket belongs; one row per non-empty bucket."""
-    sizes = candidates.groupBy("scope", "bucket").agg(F.count(F.lit(1)).alias("rows"))
-    by_time = Window.partitionBy("scope").orderBy("bucket")
-    marked = sizes.withColumn("gap", F.col("bucket") - F.lag("bucket").over(by_time) > 1)
-    marked = marked.withColumn(
-        "stretch", F.sum(F.when(F.col("gap"), 1).otherwise(0)).over(by_time)
-    ).withColumn("big", F.col("rows") > segment_rows)
-    inside = Window.partitionBy("scope", "stretch").orderBy("bucket")
-    before = F.coalesce(F.sum("rows").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    marked = marked.withColumn("__slot", F.floor(before / segment_rows))
-    starts = (
-        (F.lag("__slot").over(inside) != F.col("__slot")) | F.col("big") | F.lag("big").over(inside)
-    )
-    marked = marked.withColumn("__start", F.coalesce(starts, F.lit(False)))
-    first = F.row_number().over(inside) == 1
-    segment = F.sum(F.when(F.col("__start") & ~F.col("__first"), 1).otherwise(0)).over(inside)
-    return (
-        marked.withColumn("__first", first)
-        .withColumn("segment", segment)
-        .select("scope", "bucket", "stretch", "segment", "big")
-    )
+    def _doubt(self, row: tuple[int, int, int]) -> list[tuple[int, int]]:
+        return [(row[0], row[2])] if row[1] > self.free() else []
 
+    def walk(self, times: np.ndarray, missing: np.ndarray | None = None, levels: np.ndarray | None = None) -> tuple[list[int], list[tuple[int, int]]]:
+        """Places let through, and the rows (time, level) after which one that was left out may have been.
 
-def _thin(rows: DataFrame, n: int, width: int) -> DataFrame:
-    """First n rows of each piece between known expiry times."""
-    piece = F.size(F.filter("prior", lambda a: a + width < F.col("t")))
-    order = Window.partitionBy("scope", "stretch", "__piece").orderBy("t", "id")
-    return (
-        rows.withColumn("__piece", piece)
-        .withColumn("__n", F.row_number().over(order))
-        .where(F.col("__n") <= n)
-        .drop("__piece", "__n")
-    )
+        ``missing`` is, for each row, the time up to which rows after it may have been left out.
+        """
+        passed, doubts, at = [], [], 0
+        while True:
+            i = max(at, int(np.searchsorted(times, self.free(), "right")))
+            if i >= len(times):
+                break
+            if missing is not None:
+                doubts += self._doubt((int(times[i - 1]), int(missing[i - 1]), int(levels[i - 1])) if i else self.before)
+            passed.append(i)
+            self.taken.append(int(times[i]))
+            at = i + 1
+        if missing is not None and len(times):
+            self.before = (int(times[-1]), int(missing[-1]), int(levels[-1]))
+        return passed, doubts
 
+    def end(self) -> list[tuple[int, int]]:
+        return self._doubt(self.before)
 
-def admit(
-    candidates: DataFrame, n: int, width: int, prior: DataFrame | None = None, segment_rows: int = SEGMENT_ROWS
-) -> DataFrame:
-    """Rows (scope, t, id) let through, from candidates (scope, t in microseconds, id).
 
-    ``prior`` holds (scope, t) let through before the first candidate.
-    """
-    placed = candidates.select("scope", "t", "id", F.floor(F.col("t") / width).alias("bucket"))
-    plan = cut(_stretches(placed, segment_rows), "stretches")
-    rounds = plan.agg(F.max("segment")).first()[0]
-    if rounds is None:
-        return candidates.select("scope", "t", "id").limit(0)
-    rows = placed.join(plan, ["scope", "bucket"])
-    if rounds > 0:
-        rows = cut(rows.repartitionByRange("segment", "scope", "t"), "segments")
-    fold = _folder(n, width)
-    spec = candidates.select("scope", F.lit(0).cast("long").alias("stretch"), "t", "id").schema
+def _widths(width: int, pieces: int) -> list[int]:
+    """Cell widths from a piece of a window down to a microsecond."""
+    out = [max(1, width // pieces)]
+    while out[-1] > 1:
+        out.append(max(1, out[-1] // pieces))
+    return out
+
+
+def _width_of(level: Column, widths: list[int]) -> Column:
+    return F.get(F.array(*[F.lit(w).cast("long") for w in widths]), level)
 
+
+def _first(rows: DataFrame, n: int, level: int, width: int) -> DataFrame:
+    """First n + 1 rows of every cell; the last of them carries the level, as more may follow."""
+    cell = F.floor(F.col("t") / F.lit(width))
+    place = F.dense_rank().over(Window.partitionBy("scope", "__cell").orderBy("t", "id"))
+    kept = rows.withColumn("__cell", cell).withColumn("__n", place).where(F.col("__n") <= n + 1)
+    return kept.select("scope", "t", "id", F.when(F.col("__n") == n + 1, F.lit(level)).alias("level"))
+
+
+def _chain(n: int, width: int, widths: list[int], schema: T.StructType):
+    """Fold of rows sorted by (scope, stretch, earlier first, time, id), batch by batch."""
+    arrow = to_arrow_schema(schema)
+    step = np.array(widths, np.int64)
+
+    def found(scope, times, ids, levels) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([scope] * len(times), arrow.field(0).type), pa.array(times, pa.int64()), ids, pa.array(levels, pa.int32())], schema=arrow
+        )
+
+    def in_doubt(scope, doubts) -> pa.RecordBatch:
+        return found(scope, [t for t, _ in doubts], pa.nulls(len(doubts), arrow.field(2).type), [k for _, k in doubts])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, slots = None, Slots(n, width)
+        for batch in batches:
+            scopes, stretches = batch.column("scope").to_pylist(), batch.column("stretch").to_numpy()
+            times = batch.column("t").to_numpy()
+            earlier = batch.column("earlier").to_numpy(zero_copy_only=False).astype(bool)
+            level = batch.column("level").fill_null(-1).to_numpy()
+            cell = step[np.maximum(level, 0)]
+            missing = np.where(level < 0, _NEVER, (times // cell + 1) * cell - 1)
+            turn = [0, *(i for i in range(1, len(scopes)) if stretches[i] != stretches[i - 1] or scopes[i] != scopes[i - 1]), len(scopes)]
+            for a, b in zip(turn, turn[1:]):
+                if a == b:
+                    continue
+                if key != (scopes[a], stretches[a]):
+                    if key and (doubts := slots.end()):
+                        yield in_doubt(key[0], doubts)
+                    key, slots = (scopes[a], stretches[a]), Slots(n, width)
+                old = int(earlier[a:b].sum())
+                slots.taken.extend(times[a : a + old].tolist())
+                passed, doubts = slots.walk(times[a + old : b], missing[a + old : b], level[a + old : b])
+                if passed:
+                    at = np.array(passed) + a + old
+                    yield found(key[0], times[at], batch.column("id").take(pa.array(at)), pa.nulls(len(at), pa.int32()))
+                if doubts:
+                    yield in_doubt(key[0], doubts)
+        if key and (doubts := slots.end()):
+            yield in_doubt(key[0], doubts)
+
+    return run
+
+
+def _folded(kept: DataFrame, prior: DataFrame | None, n: int, width: int, widths: list[int]) -> DataFrame:
+    """(scope, t, id, level): rows let through, and with a level the rows whose cell has to be cut finer."""
+    id_type = kept.schema["id"].dataType
+    rows = kept.withColumn("earlier", F.lit(False))
     if prior is not None:
         recent = Window.partitionBy("scope").orderBy(F.desc("t"))
         newest = prior.withColumn("__n", F.row_number().over(recent)).where(F.col("__n") <= n)
-        prior = newest.groupBy("scope").agg(F.collect_list("t").alias("__prior"))
-    last = Window.partitionBy("scope", "stretch").orderBy(F.desc("t"), F.desc("id"))
-    nothing = F.array().cast("array<bigint>")
-    done, carried = [], None
-    for r in range(rounds + 1):
-        part = rows.where(F.col("segment") == r)
-        before = nothing
-        if carried is not None:
-            part = part.join(carried, ["scope", "stretch"], "left")
-            before = F.concat(before, F.coalesce("__carried", nothing))
-        if prior is not None:
-            part = part.join(prior, "scope", "left")
-            before = F.concat(before, F.coalesce("__prior", nothing))
-        part = part.select("scope", "stretch", "t", "id", "big", before.alias("prior"))
-        part = part.where(~F.col("big")).unionByName(_thin(part.where("big"), n, width)).drop("big")
-        done.append(cut(part.groupBy("scope", "stretch").applyInPandas(fold, spec), "admitted"))
-        # Only the last bucket's rows reach the next segment: older ones expire before it starts.
-        carried = (
-            done[-1]
-            .withColumn("__n", F.row_number().over(last))
-            .where(F.col("__n") <= n)
-            .groupBy("scope", "stretch")
-            .agg(F.collect_list("t").alias("__carried"))
-        )
-    return reduce(DataFrame.unionByName, done).select("scope", "t", "id")
+        nothing = [F.lit(None).cast(id_type).alias("id"), F.lit(None).cast("int").alias("level")]
+        rows = rows.unionByName(newest.select("scope", "t", *nothing, F.lit(True).alias("earlier")))
+    rows = rows.withColumn("bucket", F.floor(F.col("t") / width))
+    by_time = Window.partitionBy("scope").orderBy("bucket")
+    gap = F.when(F.col("bucket") - F.lag("bucket").over(by_time) > 1, 1).otherwise(0)
+    stretches = rows.select("scope", "bucket").distinct().withColumn("gap", gap)
+    stretches = stretches.select("scope", "bucket", F.sum("gap").over(by_time).alias("stretch"))
+    placed = rows.join(stretches, ["scope", "bucket"]).select("scope", "stretch", "t", "id", "level", "earlier")
+    ready = placed.repartition("scope", "stretch").sortWithinPartitions("scope", "stretch", F.desc("earlier"), "t", "id")
+    schema = T.StructType([*kept.select("scope", "t", "id").schema.fields, T.StructField("level", T.IntegerType())])
+    return ready.mapInArrow(_chain(n, width, widths, schema), schema)
+
+
+def _finer(kept: DataFrame, rows: DataFrame, cells: DataFrame, n: int, widths: list[int], levels: list[int]) -> DataFrame:
+    """Kept rows with the named cells cut into cells of the next level."""
+    at = kept.withColumn("cell", F.floor(F.col("t") / _width_of(F.col("level"), widths)))
+    known = at.join(cells.withColumn("__met", F.lit(True)), ["scope", "level", "cell"], "left")
+    out = known.select("scope", "t", "id", F.when(F.col("__met").isNull(), F.col("level")).alias("level"))
+    for level in levels:
+        here = cells.where(F.col("level") == level).select("scope", F.col("cell").alias("__at"))
+        inside = rows.withColumn("__at", F.floor(F.col("t") / F.lit(widths[level]))).join(here, ["scope", "__at"], "left_semi")
+        out = out.unionByName(_first(inside.select("scope", "t", "id"), n, level + 1, widths[level + 1]))
+    return out.groupBy("scope", "t", "id").agg(F.max("level").alias("level"))
+
+
+def admit(candidates: DataFrame, n: int, width: int, prior: DataFrame | None = None, pieces: int = PIECES) -> DataFrame:
+    """Rows (scope, t, id) let through, from candidates (scope, t in microseconds, id).
+
+    ``prior`` holds (scope, t) let through before the first candidate.
+    """
+    rows, widths = candidates.select("scope", "t", "id"), _widths(width, pieces)
+    kept = cut(_first(rows, n, 0, widths[0]).groupBy("scope", "t", "id").agg(F.max("level").alias("level")), "first-rows")
+    stored = False
+    while True:
+        found = cut(_folded(kept, prior, n, width, widths), "folded")
+        doubts = found.where(F.col("level").isNotNull())
+        cells = doubts.select("scope", "level", F.floor(F.col("t") / _width_of(F.col("level"), widths)).alias("cell")).distinct()
+        levels = sorted(r["level"] for r in doubts.select("level").distinct().collect())
+        if not levels:
+            return found.select("scope", "t", "id")
+        if not stored:
+            rows, stored = cut(rows, "candidates"), True
+        kept = cut(_finer(kept, rows, cells, n, widths, levels), "finer-rows")
 
 
 def rate_limit(
@@ -137,7 +200,7 @@ def rate_limit(
     max_events: int = 10,
     window_seconds: int = 3600,
     prior: DataFrame | None = None,
-    segment_rows: int = SEGMENT_ROWS,
+    pieces: int = PIECES,
 ) -> tuple[DataFrame, DataFrame]:
     """(events with ``rate_limited``, rows let through).
 
@@ -152,7 +215,7 @@ def rate_limit(
             "id": F.col(event_id),
         }
     )
-    passed = admit(keyed.where(F.col(slot_taker)).select("scope", "t", "id"), max_events, width, prior, segment_rows)
+    passed = admit(keyed.where(F.col(slot_taker)).select("scope", "t", "id"), max_events, width, prior, pieces)
     taken = passed.select("scope", "t", "id", F.lit(False).alias("earlier"))
     if prior is not None:
         blank = F.lit(None).cast(taken.schema["id"].dataType).alias("id")

@@ -64,13 +64,43 @@ def limited_events(spark: SparkSession, d: str, scope: str | None) -> DataFrame:
     return policy.decide(judged, policy.has_impact("models"), limited=F.col("rate_limited"))
 
 
-@query()
+def limiter_sql(scope: str) -> str:
+    """CTE ``lim`` (event_id, scope, full): a walk over the events that take a place, one by one, then a look back for every event."""
+    return f"""
+tk AS (SELECT {scope} scope, event_id id, epoch_us(ts) t, destr OR severity IN ('high', 'medium') OR models > 0 takes FROM dv),
+cn AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY t, id) rn FROM tk WHERE takes),
+walk AS (
+    SELECT scope, rn, t, id, true let, [t] w FROM cn WHERE rn = 1
+    UNION ALL
+    SELECT scope, rn, t, id, NOT f, CASE WHEN f THEN w ELSE list_append(w, t)[-{policy.MAX_EVENTS}:] END
+    FROM (SELECT cn.*, w, len(w) = {policy.MAX_EVENTS} AND w[1] >= cn.t - {policy.WINDOW_SECONDS * 1_000_000} f FROM walk JOIN cn ON cn.scope = walk.scope AND cn.rn = walk.rn + 1)),
+lt AS (SELECT scope, t, id, true let FROM walk WHERE let),
+sl AS (SELECT scope, id, t, list(CASE WHEN let THEN t END) FILTER (let) OVER (PARTITION BY scope ORDER BY t, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) seen
+    FROM tk LEFT JOIN lt USING (scope, t, id)),
+lim AS (SELECT id event_id, scope, len(coalesce(seen, [])) >= {policy.MAX_EVENTS} AND seen[-{policy.MAX_EVENTS}] >= t - {policy.WINDOW_SECONDS * 1_000_000} lim_full FROM sl)
+"""
+
+
+@query(
+    "WITH RECURSIVE "
+    + _EVENTS
+    + ","
+    + limiter_sql("'global'")
+    + """SELECT event_id, CASE WHEN lim_full THEN 'alert_only' ELSE action END action, CASE WHEN lim_full THEN 'rate limit exceeded (>10/3600s)' ELSE reason END reason,
+    CASE WHEN lim_full THEN 'rate-limited' ELSE labels END labels FROM dd JOIN lim USING (event_id)"""
+)
 def rate_limited_decisions(spark: SparkSession, d: str) -> DataFrame:
     """One global window of ten per hour over all events."""
     return limited_events(spark, d, None).select("event_id", "action", "reason", F.array_join("labels", ",").alias("labels"))
 
 
-@query()
+@query(
+    "WITH RECURSIVE "
+    + _EVENTS
+    + ","
+    + limiter_sql("team")
+    + "SELECT event_id, team, CASE WHEN lim_full THEN 'alert_only' ELSE action END action, coalesce(lim_full, false) rate_limited FROM dd JOIN lim USING (event_id)"
+)
 def rate_limited_by_team(spark: SparkSession, d: str) -> DataFrame:
     return limited_events(spark, d, "team").select("event_id", "team", "action", "rate_limited")
 

@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from shiftlens.functions.durable import new_path
 from shiftlens.operators import policy
 from shiftlens.plans import derive
+from shiftlens.plans.policy_queries import _EVENTS, limiter_sql
 from shiftlens.plans.register import Registry
 from shiftlens.plans.source_queries import _DOCS, _MSG, payload_rows_of
-from shiftlens.streaming import batches, cdc
+from shiftlens.streaming import batches, cdc, limiter
 
 registry = Registry()
 query = registry.query
@@ -44,16 +45,22 @@ def payload_stream(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query()
+@query(
+    "WITH RECURSIVE "
+    + _EVENTS
+    + ","
+    + limiter_sql("team")
+    + """SELECT event_id, team, coalesce(lim_full, false) rate_limited FROM dv JOIN lim USING (event_id)
+    WHERE (epoch_us(ts) // 600000000 + 1) * 600000000 <= (SELECT max(epoch_us(ts)) - 3600000000 FROM events)"""
+)
 def limiter_stream(spark: SparkSession, d: str) -> DataFrame:
-    """The hourly limit per team, carried across micro-batches."""
+    """The hourly limit per team as keyed state; the last hour's events are still in it."""
     events = derive.drift_events_of(events_stream(spark, d)).withColumn(
         "takes_slot", policy.takes_slot(policy.has_impact("models"))
     )
-    passed, judged = new_path(spark, "admitted"), new_path(spark, "judged")
-    step = batches.limiter_step(passed, judged, "takes_slot", scope="team")
-    batches.run_batches(events, step, new_path(spark, "limiter-progress"))
-    return spark.read.parquet(judged).select("event_id", "team", "rate_limited")
+    stream = limiter.limited_stream(events, "takes_slot", scope="team", lateness="1 hour", cell_seconds=600)
+    judged = cdc.run_to_table(stream, new_path(spark, "judged"), new_path(spark, "limiter-progress"))
+    return judged.select("event_id", F.col("scope").alias("team"), "rate_limited")
 
 
 _POLL = """

@@ -1,10 +1,11 @@
-"""The segmented rate limit against one deque over all events."""
+"""The rate limit on cells against one deque over all events."""
 
 import random
 from collections import deque
 
 import pytest
 
+from shiftlens.operators import limiter
 from shiftlens.operators.limiter import rate_limit
 
 
@@ -30,16 +31,16 @@ def _events(seed, n, span, scopes=3):
 
 
 @pytest.mark.parametrize(
-    "seed,n,width,limit,segment",
-    [(1, 800, 60, 3, 10**6), (2, 500, 60, 3, 40), (5, 150, 20, 2, 1)],
+    "seed,n,width,limit,pieces",
+    [(1, 800, 60, 3, 256), (2, 500, 60, 3, 40), (5, 150, 20, 2, 1000)],
 )
-def test_rate_limit_equals_deque(spark, seed, n, width, limit, segment):
+def test_rate_limit_equals_deque(spark, seed, n, width, limit, pieces):
     rows = _events(seed, n, 4)
     df = spark.createDataFrame(rows, "scope_name string, us long, event_id long, takes boolean").selectExpr(
         "scope_name", "timestamp_micros(us) detected_at", "event_id", "takes"
     )
     judged, passed = rate_limit(
-        df, "takes", scope="scope_name", max_events=limit, window_seconds=width, segment_rows=segment
+        df, "takes", scope="scope_name", max_events=limit, window_seconds=width, pieces=pieces
     )
     got = {r.event_id: r.rate_limited for r in judged.collect()}
     want = _fold(rows, limit, width * 1_000_000)
@@ -63,8 +64,44 @@ def test_prior_entries_carry_over(spark):
     read = lambda part: spark.createDataFrame(part, schema).selectExpr(
         "scope_name", "timestamp_micros(us) detected_at", "event_id", "takes"
     )
-    options = dict(scope="scope_name", max_events=3, window_seconds=60, segment_rows=30)
+    options = dict(scope="scope_name", max_events=3, window_seconds=60, pieces=30)
     first, passed = rate_limit(read([r for r in rows if r[1] < cut_at]), "takes", **options)
     second, _ = rate_limit(read([r for r in rows if r[1] >= cut_at]), "takes", prior=passed.select("scope", "t"), **options)
     got = {r.event_id: r.rate_limited for r in [*first.collect(), *second.collect()]}
     assert got == _fold(rows, 3, 60_000_000)
+
+
+def _crowded(seed, n, scopes):
+    """Bursts of microseconds, ties, and places that fall free inside a burst."""
+    rng = random.Random(seed)
+    rows, t = [], 0
+    for i in range(n):
+        t += rng.choice([0, 0, 1, 3, 50, 700] if rng.random() < 0.995 else [30_000_000, 59_999_000, 61_000_000])
+        rows.append((f"s{rng.randrange(scopes)}", t, i, rng.random() < 0.9))
+    return rows
+
+
+@pytest.mark.parametrize("seed,limit,pieces", [(1, 3, 8), (2, 1, 64), (3, 7, 16)])
+def test_crowded_cells_are_cut_finer(spark, seed, limit, pieces):
+    rows = _crowded(seed, 6000, 2)
+    df = spark.createDataFrame(rows, "scope_name string, us long, event_id long, takes boolean").selectExpr(
+        "scope_name", "timestamp_micros(us) detected_at", "event_id", "takes"
+    )
+    judged, _ = rate_limit(df, "takes", scope="scope_name", max_events=limit, window_seconds=60, pieces=pieces)
+    assert {r.event_id: r.rate_limited for r in judged.collect()} == _fold(rows, limit, 60_000_000)
+
+
+def test_a_fold_reads_few_rows_of_a_crowded_window(spark):
+    rows = spark.range(200_000).selectExpr("'s' scope", "id * 15 t", "id")
+    kept = limiter._first(rows, 10, 0, limiter._widths(3_600_000_000, 256)[0])
+    assert kept.count() == 11
+
+
+def test_repeated_events_and_no_events(spark):
+    rows = [("s", 5, 1, True)] * 4 + [("s", 6, 2, True), ("s", 7, 3, True)]
+    df = spark.createDataFrame(rows, "scope_name string, us long, event_id long, takes boolean").selectExpr(
+        "scope_name", "timestamp_micros(us) detected_at", "event_id", "takes"
+    )
+    judged, _ = rate_limit(df, "takes", scope="scope_name", max_events=2, window_seconds=60)
+    assert sorted((r.event_id, r.rate_limited) for r in judged.collect()) == [(1, False)] * 4 + [(2, False), (3, True)]
+    assert rate_limit(df.limit(0), "takes")[0].count() == 0

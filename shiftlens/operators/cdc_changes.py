@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shiftlens.functions.ranking import chunked_lag
 from shiftlens.operators.classify import classify_single
-from shiftlens.sources.cdc import FIELD, canonical_schema, field_type, topic_table
+from shiftlens.sources.cdc import FIELD, canonical_schema, field_type, order_columns, topic_table
 
 OFFSETS_PER_CHUNK = 100_000
 
@@ -17,12 +17,15 @@ OFFSETS_PER_CHUNK = 100_000
 def mark_changes(decoded: DataFrame, chunk: int = OFFSETS_PER_CHUNK) -> DataFrame:
     """Per decoded message: the schema before it in its topic, and whether it is a change.
 
-    Only the message just before counts, so A, B, A is three changes. Offsets are unique in a
-    topic, so a chunk of offsets bounds the window whatever share of the rows the topic holds.
+    Only the message just before counts, so A, B, A is three changes. A topic is read partition by
+    partition, each by offset; offsets are unique in a partition, so a chunk of offsets bounds the
+    window whatever share of the rows the topic holds.
     """
-    slim = decoded.select("topic", "offset", canonical_schema(F.col("record_schema")).alias("schema"))
-    lagged = chunked_lag(slim, ["topic"], F.floor(F.col("offset") / chunk), "offset", "schema", "previous")
-    return lagged.withColumn("is_change", ~F.col("schema").eqNullSafe(F.col("previous")))
+    at = order_columns(decoded)
+    cell = F.struct(*at[:-1], F.floor(F.col("offset") / chunk).alias("chunk"))
+    slim = decoded.select("topic", F.struct(*at).alias("place"), cell.alias("cell"), canonical_schema(F.col("record_schema")).alias("schema"))
+    lagged = chunked_lag(slim, ["topic"], F.col("cell"), "place", "schema", "previous")
+    return lagged.select("topic", *[F.col(f"place.{c}").alias(c) for c in at], "schema", "previous", (~F.col("schema").eqNullSafe(F.col("previous"))).alias("is_change"))
 
 
 def _specs(schema: Column) -> Column:
@@ -58,8 +61,8 @@ def raw_changes(marked: DataFrame, prefix: str = "") -> DataFrame:
     A topic moves between few schemas, so every pair of schemas is read and compared once and
     joined back to its messages. The first schema of a topic has nothing before it and yields nothing.
     """
-    pair_of = ["topic", "previous", "schema"]
-    changed = marked.where(F.col("is_change") & F.col("previous").isNotNull()).select(*pair_of, "offset")
+    pair_of, at = ["topic", "previous", "schema"], order_columns(marked)
+    changed = marked.where(F.col("is_change") & F.col("previous").isNotNull()).select(*pair_of, *at)
     both = changed.select(*pair_of).distinct().select(
         *pair_of,
         topic_table(F.col("topic"), prefix).alias("table_identifier"),
@@ -78,11 +81,11 @@ def raw_changes(marked: DataFrame, prefix: str = "") -> DataFrame:
     b, a = F.col("column_before"), F.col("column_after")
     kind = F.when(b.isNull(), "added").when(a.isNull(), "removed").when(~b.eqNullSafe(a), "modified")
     found = rows.withColumn("kind", kind).where(F.col("kind").isNotNull())
-    return changed.join(found, pair_of).select("topic", "offset", "table_identifier", "name", "column_before", "column_after", "kind")
+    return changed.join(found, pair_of).select("topic", *at, "table_identifier", "name", "column_before", "column_after", "kind")
 
 
 def change_events(marked: DataFrame, prefix: str = "") -> DataFrame:
-    return classify_single(raw_changes(marked, prefix), ["topic", "offset", "table_identifier"], ["name"])
+    return classify_single(raw_changes(marked, prefix), ["topic", *order_columns(marked), "table_identifier"], ["name"])
 
 
 def stream_counters(messages: DataFrame, marked: DataFrame, events: DataFrame) -> DataFrame:

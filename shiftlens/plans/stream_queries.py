@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shiftlens.functions.durable import new_path
 from shiftlens.operators import policy
+from shiftlens.operators.classify import classify_single
 from shiftlens.plans import derive
 from shiftlens.plans.policy_queries import _EVENTS, limiter_sql
 from shiftlens.plans.register import Registry
-from shiftlens.plans.source_queries import _DOCS, _MSG, payload_rows_of
+from shiftlens.plans.source_queries import _DOCS, _MSG, PREFIX, payload_rows_of
+from shiftlens.sources.cdc import avro_columns
 from shiftlens.streaming import batches, cdc, limiter
 
 registry = Registry()
@@ -45,6 +47,46 @@ def payload_stream(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    "WITH "
+    + _DOCS
+    + """, st AS (SELECT src, bucket, lag(bucket) OVER (PARTITION BY src ORDER BY bucket) prev FROM (SELECT DISTINCT src, bucket FROM doc)
+        WHERE strptime(bucket, '%Y-%m-%d') + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)),
+    x AS (SELECT obs.*, st.bucket nb FROM obs JOIN st ON obs.src = st.src AND obs.bucket = st.prev),
+    y AS (SELECT obs.* FROM obs JOIN st USING (src, bucket) WHERE prev IS NOT NULL),
+    j AS (SELECT coalesce(x.src, y.src) src, coalesce(x.nb, y.bucket) bucket, coalesce(x.nm, y.nm) nm,
+        CASE WHEN x.nm IS NULL THEN CASE WHEN y.nl THEN 'column_added_nullable' ELSE 'column_added_not_null_no_default' END WHEN y.nm IS NULL THEN 'column_dropped'
+            WHEN x.nl AND NOT y.nl THEN 'nullability_tightened' WHEN x.ty <> y.ty THEN CASE WHEN x.ty = 'bigint' AND y.ty = 'numeric' THEN 'type_widened'
+                WHEN x.ty = 'numeric' AND y.ty = 'bigint' THEN 'type_narrowed' ELSE 'type_incompatible' END END ct
+        FROM x FULL JOIN y ON x.src = y.src AND x.nb = y.bucket AND x.nm = y.nm)
+    SELECT src source_identifier, bucket, nm AS name, ct change_type FROM j WHERE ct IS NOT NULL"""
+)
+def payload_stream_drift(spark: SparkSession, d: str) -> DataFrame:
+    """Drift events from each closed day to the next one of its source, compared in the stream."""
+    rows = payload_rows_of(events_stream(spark, d)).withColumn("ts", F.col("ts").cast("timestamp"))
+    raw = batches.payload_drift(batches.payload_windows(rows, "source", "ts", "doc", "1 day", "1 hour"))
+    group = ["source_identifier", "window_start", "table_identifier"]
+    events = cdc.run_to_table(classify_single(raw, group), new_path(spark, "drift"), new_path(spark, "drift-progress"))
+    return events.select(
+        "source_identifier", F.date_format("window_start", "yyyy-MM-dd").alias("bucket"), F.substring_index("identifier", ".", -1).alias("name"), "change_type"
+    )
+
+
+@query(
+    "WITH "
+    + _MSG
+    + """, l AS (SELECT * FROM dec QUALIFY row_number() OVER (PARTITION BY topic ORDER BY off DESC) = 1)
+    SELECT topic, off "offset", nm AS name, ty data_type FROM (
+        SELECT topic, off, 'id' nm, 'integer' ty FROM l UNION ALL SELECT topic, off, 'amount', aty FROM l
+        UNION ALL SELECT topic, off, 'at', tty FROM l UNION ALL SELECT topic, off, 'email', 'text' FROM l WHERE em)"""
+)
+def cdc_state_schema(spark: SparkSession, d: str) -> DataFrame:
+    """The schema of every topic as the stream's state holds it."""
+    progress = new_path(spark, "cdc-progress")
+    cdc.run_to_table(cdc.marked_stream(derive.messages_of(events_stream(spark, d))), new_path(spark, "cdc"), progress)
+    return avro_columns(cdc.current_state(spark, progress), PREFIX).select("topic", "offset", "name", "data_type")
+
+
 @query(
     "WITH RECURSIVE "
     + _EVENTS

@@ -113,3 +113,8 @@ def severity_rank(severity: Column) -> Column:
 def spec_struct(prefix: str = "") -> Column:
     """Column-spec struct from flat columns named like the spec fields."""
     return F.struct(*[F.col(f"{prefix}{f}").alias(f) for f in SPEC_FIELDS])
+
+
+def spec_of(fields: dict[str, Column]) -> Column:
+    """Column-spec struct from the given fields; the others are NULL."""
+    return F.struct(*[fields.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in COLUMN_SPEC.fields])

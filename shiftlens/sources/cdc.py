@@ -111,12 +111,18 @@ def canonical_schema(record_schema: Column) -> Column:
     return F.coalesce(F.to_json(F.try_parse_json(record_schema)), record_schema)
 
 
+def order_columns(messages: DataFrame) -> list[str]:
+    """Columns that put the messages of a topic in order: the offset, within its partition where there is one."""
+    return ["partition", "offset"] if "partition" in messages.columns else ["offset"]
+
+
 def current_schemas(decoded: DataFrame) -> DataFrame:
     """Latest decoded schema of each topic (partial aggregation; no window)."""
-    newest = F.max(F.struct("offset", "record_schema"))
+    at = order_columns(decoded)
+    newest = F.max(F.struct(*at, "record_schema"))
     return (
         decoded.groupBy("topic")
         .agg(newest.alias("__newest"))
-        .select("topic", F.col("__newest.offset").alias("offset"), F.col("__newest.record_schema").alias("record_schema"))
+        .select("topic", *[F.col(f"__newest.{c}").alias(c) for c in (*at, "record_schema")])
         .withColumn("fields", F.from_json("record_schema", f"struct<fields:array<{FIELD}>>")["fields"])
     )

@@ -7,16 +7,19 @@ with a new checkpoint has a new id, so what earlier streams left in the store st
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from shiftlens.operators.classify import classify_single
 from shiftlens.operators.diff import history_diff
 from shiftlens.operators.limiter import rate_limit
 from shiftlens.operators.snapshots import latest, sequence, stored
-from shiftlens.schemas import SPEC_FIELDS
+from shiftlens.schemas import SPEC_FIELDS, spec_of
 from shiftlens.sources.payload import DOCUMENT, value_type
+from shiftlens.streaming.cdc import STATE_PROVIDER
 
 
 def run_batches(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str) -> None:
@@ -153,3 +156,86 @@ def window_columns(windows: DataFrame) -> DataFrame:
         (1 - F.col("non_null") / F.col("payloads")).alias("missing_share"),
         "payloads",
     )
+
+
+class LastWindow(StatefulProcessor):
+    """Holds the last closed schema of a source; a closing window is compared with it, name by name."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._closed = handle.getValueState("closed", "start timestamp, names array<string>, types array<string>, nullables array<boolean>")
+
+    @staticmethod
+    def _schema(rows: pd.DataFrame) -> dict[str, tuple[str | None, bool]]:
+        """name -> (type, nullable) of one window's counts, as :func:`window_columns` gives them."""
+        payloads = int(rows.loc[rows["is_total"], "present"].iloc[0])
+        named = rows[~rows["is_total"]]
+        kinds = [low if isinstance(low, str) and low == high else "text" for low, high in zip(named["low"], named["high"], strict=True)]
+        return dict(zip(named["name"], zip(kinds, (named["non_null"] < payloads).tolist(), strict=True), strict=True))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        arrived = pd.concat(list(rows))
+        before = None
+        if self._closed.exists():
+            at, names, types, nullables = self._closed.get()
+            before = pd.Timestamp(at), dict(zip(names, zip(types, nullables, strict=True), strict=True))
+        for start, window in arrived.groupby("window_start"):  # in order of time
+            after = self._schema(window)
+            if before is not None:
+                yield self._compared(key[0], start, before, after)
+            before = start, after
+        names = list(before[1])
+        self._closed.update((before[0].to_pydatetime(), names, [before[1][n][0] for n in names], [before[1][n][1] for n in names]))
+
+    @staticmethod
+    def _compared(source: str, start: pd.Timestamp, before: tuple[pd.Timestamp, dict], after: dict) -> pd.DataFrame:
+        at, old = before
+        changed = [n for n in {**old, **after} if old.get(n) != after.get(n)]
+        side = lambda schema, i: [schema[n][i] if n in schema else None for n in changed]
+        columns = {
+            "source_identifier": [source] * len(changed),
+            "window_start": [start] * len(changed),
+            "previous_start": [at] * len(changed),
+            "name": changed,
+            "type_before": side(old, 0),
+            "nullable_before": side(old, 1),
+            "type_after": side(after, 0),
+            "nullable_after": side(after, 1),
+        }
+        return pd.DataFrame({c: pd.Series(v, dtype=None if c.endswith("_start") else object) for c, v in columns.items()})
+
+    def close(self) -> None:
+        pass
+
+
+_COMPARED = """source_identifier string, window_start timestamp, previous_start timestamp, name string,
+    type_before string, nullable_before boolean, type_after string, nullable_after boolean"""
+
+
+def payload_drift(windows: DataFrame) -> DataFrame:
+    """Changes from window to window of each source, out of the stream of :func:`payload_windows`.
+
+    A second stateful step behind the window counts: a window reaches it once, when the watermark has closed it, and is
+    compared with the source's last closed window; windows in which a source was silent are passed over. The first
+    window of a source only sets its baseline. Rows are raw changes that ``classify_single`` takes, with
+    ``window_start`` and ``previous_start``.
+    """
+    windows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
+    found = windows.groupBy("source_identifier").transformWithStateInPandas(
+        statefulProcessor=LastWindow(), outputStructType=_COMPARED, outputMode="Append", timeMode="None"
+    )
+
+    def spec(side: str):
+        made = {"name": F.col("name"), "data_type": F.col(f"type_{side}"), "nullable": F.col(f"nullable_{side}"), "is_primary_key": F.lit(False), "ordinal_position": F.lit(0)}
+        return F.when(F.col(f"nullable_{side}").isNotNull(), spec_of(made))
+
+    kind = F.when(F.col("nullable_before").isNull(), "added").when(F.col("nullable_after").isNull(), "removed").otherwise("modified")
+    return found.select(
+        "source_identifier",
+        "window_start",
+        "previous_start",
+        F.lit("payload").alias("table_identifier"),
+        kind.alias("kind"),
+        "name",
+        spec("before").alias("column_before"),
+        spec("after").alias("column_after"),
+    )

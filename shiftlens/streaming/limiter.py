@@ -44,10 +44,10 @@ class KeyedLimiter(StatefulProcessor):
         self._window = handle.getListState("window", "t bigint")
         self._held = handle.getMapState("held", "cell bigint", f"t array<bigint>, id array<{self.id_type}>, takes array<boolean>")
 
-    def _timer(self, micros: int) -> None:
-        """The scope's next timer, unless an earlier one is set."""
+    def _timer(self, micros: int, watermark: int) -> None:
+        """The scope's next timer, unless an earlier one is still to come; those up to the watermark are just being handled."""
         at = -(-micros // 1000)
-        if not any(t <= at for t in self._handle.listTimers()):
+        if not any(watermark < t <= at for t in self._handle.listTimers()):
             self._handle.registerTimer(at)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -62,11 +62,12 @@ class KeyedLimiter(StatefulProcessor):
                 known.add(cell)
                 first = cell if first is None else min(first, cell)
         if first is not None:
-            self._timer((first + 1) * self.cell)
+            self._timer((first + 1) * self.cell, timerValues.getCurrentWatermarkInMs())
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        closed = timerValues.getCurrentWatermarkInMs() * 1000 // self.cell  # cells below have ended
+        watermark = timerValues.getCurrentWatermarkInMs()
+        closed = watermark * 1000 // self.cell  # cells below have ended
         slots = Slots(self.n, self.width, [t for (t,) in self._window.get()] if self._window.exists() else [])
         held = {cell: rows for (cell,), rows in self._held.iterator()}
         due = sorted(c for c in held if c < closed)
@@ -80,17 +81,17 @@ class KeyedLimiter(StatefulProcessor):
         else:
             for cell in due:
                 self._held.removeKey((cell,))
-            self._timer((min(held) + 1) * self.cell)
+            self._timer((min(held) + 1) * self.cell, watermark)
         if due and slots.taken:
             self._window.put([(t,) for t in slots.taken])
         if slots.taken and slots.taken[-1] + self.width < closed * self.cell:
             self._window.clear()
         elif slots.taken:
-            self._timer(slots.taken[-1] + self.width + self.cell)
+            self._timer(slots.taken[-1] + self.width + self.cell, watermark)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
         self._window.put([(int(t),) for t in sorted(initialState["t"])[-self.n :]])
-        self._timer(int(initialState["t"].max()) + self.width + self.cell)
+        self._timer(int(initialState["t"].max()) + self.width + self.cell, timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shiftlens.functions.types import type_family  # noqa: F401  (re-exported for callers)
 from shiftlens.operators.classify import classify_batch, top_event
 
 # Residues of the hashed id that are held out, label of "no prediction".
@@ -77,10 +76,13 @@ def _ratio(top: Column, bottom: Column) -> Column:
 
 
 def recall_precision(results: DataFrame, keys: Sequence[str] = ("method",)) -> DataFrame:
-    """Detection recall, classification recall and precision per method, in one grouping."""
+    """Detection recall, classification recall and precision per method, in one grouping.
+
+    Predicting nothing where nothing is expected is correct, but no detection.
+    """
     total = F.count(F.lit(1))
     detected = F.count("predicted_change_type")
-    correct = F.count_if(F.col("predicted_change_type") == F.col("expected_change_type"))
+    correct = F.count_if(F.col("predicted_change_type").eqNullSafe(F.col("expected_change_type")))
     return results.groupBy(*keys).agg(
         total.alias("total"),
         detected.alias("detected"),
@@ -92,10 +94,10 @@ def recall_precision(results: DataFrame, keys: Sequence[str] = ("method",)) -> D
 
 
 def confusion(results: DataFrame, keys: Sequence[str] = ("method",)) -> DataFrame:
-    """(expected, predicted, n) cells."""
+    """(expected, predicted, n) cells; a scenario that expects nothing has the label of no prediction."""
     return results.groupBy(
         *keys,
-        F.col("expected_change_type").alias("expected"),
+        F.coalesce("expected_change_type", F.lit(NONE)).alias("expected"),
         F.coalesce("predicted_change_type", F.lit(NONE)).alias("predicted"),
     ).agg(F.count(F.lit(1)).alias("n"))
 
@@ -117,7 +119,7 @@ def severity_macro_f1(results: DataFrame, keys: Sequence[str] = ("method",)) ->
     """
     cells = results.groupBy(
         *keys,
-        F.col("expected_severity").alias("e"),
+        F.coalesce("expected_severity", F.lit(NONE)).alias("e"),
         F.coalesce("predicted_severity", F.lit(NONE)).alias("p"),
     ).agg(F.count(F.lit(1)).alias("n"))
     hit = F.col("e") == F.col("p")

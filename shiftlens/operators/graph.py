@@ -1,4 +1,4 @@
-"""Graph closure and levels as iterated joins over edge tables.
+"""Closure of few seeds and levels as iterated joins over edge tables; ``reach`` has the closure of many seeds.
 
 Each round is one shuffle join of the newest rows only, written to the shared folder, so a
 lost executor costs one round and the plan never grows. Hub nodes are left to AQE's skew join;
@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from shiftlens.functions.durable import cut
+from shiftlens.operators.reach import numbered, peel
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -75,30 +76,9 @@ def descendants(
 def levels(nodes: DataFrame, edges: DataFrame, node: Sequence[str], src: Sequence[str], dst: Sequence[str]) -> DataFrame:
     """Longest-path level per node from 0; nodes on or behind a cycle get NULL.
 
-    Each round peels the nodes without remaining incoming edges; rounds = depth of the graph.
+    Vertices are numbered once; a round reads the links of one level's vertices and rewrites only what they arrive at.
     """
-    spell = lambda cols: [F.col(c).alias(n) for c, n in zip(cols, node, strict=True)]
-    left = cut(
-        nodes.select(*node).unionByName(edges.select(*spell(src))).unionByName(edges.select(*spell(dst))).distinct(),
-        "peel",
-    )
-    links = cut(
-        edges.select(
-            *[F.col(c).alias(f"__s{i}") for i, c in enumerate(src)],
-            *[F.col(c).alias(f"__d{i}") for i, c in enumerate(dst)],
-        ).distinct(),
-        "peel",
-    )
-    done, level = [], 0
-    while True:
-        targets = links.select(*[F.col(f"__d{i}").alias(n) for i, n in enumerate(node)]).distinct()
-        ready = cut(left.join(targets, list(node), "left_anti"), "peel")
-        if ready.isEmpty():
-            break
-        done.append(ready.withColumn("level", F.lit(level)))
-        left = cut(left.join(ready, list(node), "left_anti"), "peel")
-        sources = ready.select(*[F.col(n).alias(f"__s{i}") for i, n in enumerate(node)])
-        links = cut(links.join(sources, [f"__s{i}" for i in range(len(node))], "left_anti"), "peel")
-        level += 1
-    stuck = left.withColumn("level", F.lit(None).cast("int"))
-    return _union([*done, stuck])
+    ids, links = numbered(edges, node, src, dst, nodes)
+    placed, left = peel(ids.select(F.col("id").alias("node")), links)
+    every = placed.unionByName(left.withColumn("level", F.lit(None).cast("int")))
+    return every.join(ids, every["node"] == ids["id"]).select(*node, "level")

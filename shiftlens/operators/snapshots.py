@@ -1,4 +1,4 @@
-"""Snapshot store: append once, latest, counts, sequence numbers, run summaries."""
+"""Snapshots: new ones, latest, counts, sequence numbers, run summaries; ``store`` keeps them."""
 
 from __future__ import annotations
 
@@ -37,24 +37,6 @@ def stored(spark: SparkSession, schema: T.StructType | str, path: str) -> DataFr
         return spark.createDataFrame([], schema)
 
 
-def append(incoming: DataFrame, path: str) -> None:
-    """Append snapshot headers to a Parquet store; writing the same ids again changes nothing."""
-    held = stored(incoming.sparkSession, incoming.schema, path)
-    new_snapshots(incoming, held).write.mode("append").parquet(path)
-
-
-def append_columns(columns: DataFrame, path: str) -> None:
-    """Column rows of snapshots not stored before, laid out by source so one source's history is one pruned folder.
-
-    Writing a snapshot again changes nothing. Rows are dealt by source and snapshot, so a task
-    writes few folders and a large source is written by many.
-    """
-    keys = ["source_identifier", "snapshot_id"]
-    held = stored(columns.sparkSession, columns.schema, path).select(*keys).distinct()
-    fresh = columns.join(held, keys, "left_anti").select(*columns.columns)
-    fresh.repartition(*keys).write.mode("append").partitionBy("source_identifier").parquet(path)
-
-
 # --- lookups ----------------------------------------------------------------
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shiftlens.functions import types as ty
-from shiftlens.operators import classify, diff, snapshots
+from shiftlens.functions.durable import new_path
+from shiftlens.operators import classify, diff, snapshots, store
 from shiftlens.operators.metrics import event_counters
 from shiftlens.plans import derive
 from shiftlens.plans import oracle_parts as o
@@ -157,34 +158,62 @@ def idempotent_append(spark: SparkSession, d: str) -> DataFrame:
     return snapshots.new_snapshots(incoming, stored).drop("captured_at")
 
 
+@query(
+    "WITH "
+    + o.HISTORY
+    + """SELECT src source_identifier, src || '@' || strftime(d, '%Y-%m-%d') snapshot_id, CAST(count(*) AS BIGINT) column_rows,
+    d = max(d) OVER (PARTITION BY src) newest FROM he GROUP BY src, d"""
+)
+def snapshot_store(spark: SparkSession, d: str) -> DataFrame:
+    """Every snapshot with its columns, stored in three appends of which the last brings nothing new."""
+    headers, columns = derive.history_headers(spark, d), derive.history_columns(spark, d)
+    held = store.SnapshotStore(spark, new_path(spark, "store"))
+    for some in (headers.where(F.dayofmonth("captured_at") % 3 == 0), headers, headers):
+        held.append(some, columns)
+    rows = held.columns(columns.schema).groupBy("source_identifier", "snapshot_id").agg(F.count(F.lit(1)).alias("column_rows"))
+    newest = held.latest_columns(headers.schema, columns.schema).select("snapshot_id").distinct().withColumn("newest", F.lit(True))
+    out = held.headers(headers.schema).join(rows, ["source_identifier", "snapshot_id"]).join(newest, "snapshot_id", "left")
+    return out.select("source_identifier", "snapshot_id", "column_rows", F.coalesce("newest", F.lit(False)).alias("newest"))
+
+
 @query(
     o.changes()
-    + "SELECT src source_identifier, tbl table_identifier, nm AS name, ty data_type, nl nullable, df \"default\", pk is_primary_key, n ordinal_position, ml character_max_length, en enum_text FROM aft"
+    + """SELECT src source_identifier, tbl table_identifier, nm AS name, ty data_type, nl nullable, df "default", pk is_primary_key, n ordinal_position, ml character_max_length,
+    np numeric_precision, ns numeric_scale, en enum_text FROM aft"""
 )
 def document_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Every field of every column row, through its document and back."""
     curr = derive.catalogue_pair(spark, d).where("is_curr")
     keys = ("source_identifier", "table_identifier")
     back = snapshots.from_documents(snapshots.to_documents(curr, *keys), *keys)
-    return back.select(
-        *keys, "name", "data_type", "nullable", "default", "is_primary_key", "ordinal_position", "character_max_length",
-        F.array_join("enum_values", ",").alias("enum_text"),
-    )
+    return back.withColumn("enum_text", F.array_join("enum_values", ",")).drop("enum_values")
 
 
 @query(
     "WITH "
     + o.HISTORY
-    + "SELECT src source_identifier, src || '@' || strftime(d, '%Y-%m-%d') snapshot_id, nm AS name, ty data_type FROM hc WHERE tbl = 'raw.click' AND nm = 'k3'"
+    + """SELECT src source_identifier, src || '@' || strftime(d, '%Y-%m-%d') snapshot_id, nm AS name, any_value(CAST(substr(nm, 2) AS INTEGER)) ordinal_position,
+    min((['integer','bigint','numeric(10,2)','text'])[v + 1]) data_type FROM (SELECT *, 'k' || kk nm FROM he) WHERE tbl = 'raw.click' AND nm = 'k3' GROUP BY src, d, nm"""
 )
 def column_lookup(spark: SparkSession, d: str) -> DataFrame:
-    columns = derive.history_columns(spark, d)
-    hit = columns.where((F.col("table_identifier") == "raw.click") & (F.col("name") == "k3"))
-    keys = ["source_identifier", "snapshot_id", "table_identifier"]
-    last = hit.groupBy(*keys).agg(
-        F.max(F.struct("position", "ordinal_position", "name", "data_type", "nullable")).alias("s")
+    """One column in every snapshot, out of all stored rows; repeated rows of a column are told apart by their fields."""
+    columns = derive.history_columns(spark, d).drop("position", "captured_at").select(
+        "source_identifier", "snapshot_id", "table_identifier", "ordinal_position", "name", "data_type"
     )
-    unique = last.select(*keys, "s.ordinal_position", "s.name", "s.data_type", "s.nullable")
-    return snapshots.column_lookup(unique, "raw.click", "k3").select("source_identifier", "snapshot_id", "name", "data_type")
+    found = snapshots.column_lookup(columns, "raw.click", "k3")
+    return found.select("source_identifier", "snapshot_id", "name", "ordinal_position", "data_type")
+
+
+@query(
+    "WITH "
+    + o.HISTORY
+    + """SELECT src source_identifier, src || '@' || strftime(d, '%Y-%m-%d') snapshot_id, 'k' || kk AS name, (['integer','bigint','numeric(10,2)','text'])[v + 1] data_type,
+    event_id % 2 = 0 nullable, CAST(kk AS INTEGER) ordinal_position FROM he WHERE tbl = 'raw.purchase'"""
+)
+def table_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """All rows of one table in every snapshot."""
+    found = snapshots.table_lookup(derive.history_columns(spark, d), "raw.purchase")
+    return found.select("source_identifier", "snapshot_id", "name", "data_type", "nullable", "ordinal_position")
 
 
 # --- type predicates --------------------------------------------------------

@@ -460,7 +460,7 @@ def scenarios(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(expected rows, raw changes): one scenario per order, its changes numbered by column name.
 
     The expectation is the event of the scenario's first change in single mode, so a method that
-    pairs renames or prefers severity is judged differently from it.
+    pairs renames or prefers severity is judged differently from it. An order without an event expects none.
     """
     from shiftlens.operators.classify import classify_single
 
@@ -472,7 +472,6 @@ def scenarios(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     first = singles.groupBy("scenario_id").agg(
         F.min(F.struct("emission.position", "change_type", "severity")).alias("e")
     )
-    expected = first.select(
-        "scenario_id", F.col("e.change_type").alias("expected_change_type"), F.col("e.severity").alias("expected_severity")
-    )
+    expected = table(spark, d, "orders").select(F.concat(F.lit("raw.t"), "o_orderkey").alias("scenario_id")).join(first, "scenario_id", "left")
+    expected = expected.select("scenario_id", F.col("e.change_type").alias("expected_change_type"), F.col("e.severity").alias("expected_severity"))
     return expected, keyed

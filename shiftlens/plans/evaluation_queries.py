@@ -16,7 +16,8 @@ query = registry.query
 _HELD = "CAST('0x' || substr(sha256({0}), 1, 8) AS BIGINT) % 10 IN (7, 8, 9)"
 
 _RESULTS = o.changes(
-    """expd AS (SELECT tbl id, change_type ect, severity es FROM single QUALIFY row_number() OVER (PARTITION BY tbl ORDER BY n) = 1),
+    """fst AS (SELECT tbl id, change_type ect, severity es FROM single QUALIFY row_number() OVER (PARTITION BY tbl ORDER BY n) = 1),
+    expd AS (SELECT 'raw.t' || o_orderkey id, ect, es FROM orders LEFT JOIN fst ON id = 'raw.t' || o_orderkey),
     best AS (SELECT tbl id, change_type ct, severity s FROM batch QUALIFY row_number() OVER (PARTITION BY tbl ORDER BY rnk DESC, emit, ord) = 1),
     vt AS (SELECT tbl id, CASE kind WHEN 'removed' THEN 'high' ELSE 'medium' END s FROM raw WHERE kind <> 'added' QUALIFY row_number() OVER (PARTITION BY tbl ORDER BY n) = 1),
     mtall AS (SELECT tbl, n, CASE WHEN kind = 'removed' THEN 'high' WHEN kind = 'modified' AND bnl AND NOT anl THEN 'medium'
@@ -25,9 +26,10 @@ _RESULTS = o.changes(
     res AS (SELECT 'rule' AS method, id, ect, es, ct pct, s ps FROM expd LEFT JOIN best USING (id)
         UNION ALL SELECT 'value_test', id, ect, es, CASE WHEN s IS NOT NULL THEN 'unknown' END, s FROM expd LEFT JOIN vt USING (id)
         UNION ALL SELECT 'model_test', id, ect, es, CASE WHEN s IS NOT NULL THEN 'unknown' END, s FROM expd LEFT JOIN mt USING (id)),
-    rp AS (SELECT method, CAST(count(*) AS BIGINT) total, CAST(count(pct) AS BIGINT) detected, CAST(count_if(pct = ect) AS BIGINT) correct FROM res GROUP BY 1),
-    cls AS (SELECT method, es c FROM res UNION SELECT method, coalesce(ps, '<none>') FROM res),
-    pc AS (SELECT cls.method, c, count_if(es = c AND ps = c) tp, count_if(es <> c AND coalesce(ps, '<none>') = c) fp, count_if(es = c AND coalesce(ps, '<none>') <> c) fn
+    rp AS (SELECT method, CAST(count(*) AS BIGINT) total, CAST(count(pct) AS BIGINT) detected, CAST(count_if(pct IS NOT DISTINCT FROM ect) AS BIGINT) correct FROM res GROUP BY 1),
+    cls AS (SELECT method, coalesce(es, '<none>') c FROM res UNION SELECT method, coalesce(ps, '<none>') FROM res),
+    pc AS (SELECT cls.method, c, count_if(coalesce(es, '<none>') = c AND coalesce(ps, '<none>') = c) tp, count_if(coalesce(es, '<none>') <> c AND coalesce(ps, '<none>') = c) fp,
+        count_if(coalesce(es, '<none>') = c AND coalesce(ps, '<none>') <> c) fn
         FROM cls JOIN res USING (method) GROUP BY 1, 2),
     f1 AS (SELECT method, round(avg(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END), 6) f FROM pc GROUP BY 1)"""
 )
@@ -67,15 +69,15 @@ def recall_precision(spark: SparkSession, d: str) -> DataFrame:
     return scores.withColumns({c: F.round(c, 6) for c in ratios})
 
 
-@query(_RESULTS + "SELECT method, ect expected, coalesce(pct, '<none>') predicted, CAST(count(*) AS BIGINT) n FROM res GROUP BY 1, 2, 3")
+@query(_RESULTS + "SELECT method, coalesce(ect, '<none>') expected, coalesce(pct, '<none>') predicted, CAST(count(*) AS BIGINT) n FROM res GROUP BY 1, 2, 3")
 def confusion(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.confusion(_results(spark, d))
 
 
 @query(
     _RESULTS
-    + """SELECT method, ect expected, coalesce(pct, '<none>') predicted, CAST(count(*) AS BIGINT) n, CAST(grouping_id(ect, coalesce(pct, '<none>')) AS BIGINT) margin
-    FROM res GROUP BY method, CUBE (ect, coalesce(pct, '<none>'))"""
+    + """SELECT method, ec expected, pc predicted, CAST(count(*) AS BIGINT) n, CAST(grouping_id(ec, pc) AS BIGINT) margin
+    FROM (SELECT method, coalesce(ect, '<none>') ec, coalesce(pct, '<none>') pc FROM res) GROUP BY method, CUBE (ec, pc)"""
 )
 def confusion_margins(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.confusion_margins(evaluate.confusion(_results(spark, d)))
@@ -89,9 +91,10 @@ def macro_f1(spark: SparkSession, d: str) -> DataFrame:
 @query(
     _RESULTS
     + f""", h AS (SELECT * FROM res WHERE {_HELD.format('id')}),
-    hrp AS (SELECT method, CAST(count(*) AS BIGINT) total, CAST(count(pct) AS BIGINT) detected, CAST(count_if(pct = ect) AS BIGINT) correct, avg(length(id)) lat FROM h GROUP BY 1),
-    hcls AS (SELECT method, es c FROM h UNION SELECT method, coalesce(ps, '<none>') FROM h),
-    hpc AS (SELECT hcls.method, c, count_if(es = c AND ps = c) tp, count_if(es <> c AND coalesce(ps, '<none>') = c) fp, count_if(es = c AND coalesce(ps, '<none>') <> c) fn
+    hrp AS (SELECT method, CAST(count(*) AS BIGINT) total, CAST(count(pct) AS BIGINT) detected, CAST(count_if(pct IS NOT DISTINCT FROM ect) AS BIGINT) correct, avg(length(id)) lat FROM h GROUP BY 1),
+    hcls AS (SELECT method, coalesce(es, '<none>') c FROM h UNION SELECT method, coalesce(ps, '<none>') FROM h),
+    hpc AS (SELECT hcls.method, c, count_if(coalesce(es, '<none>') = c AND coalesce(ps, '<none>') = c) tp, count_if(coalesce(es, '<none>') <> c AND coalesce(ps, '<none>') = c) fp,
+        count_if(coalesce(es, '<none>') = c AND coalesce(ps, '<none>') <> c) fn
         FROM hcls JOIN h USING (method) GROUP BY 1, 2),
     hf1 AS (SELECT method, avg(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END) f FROM hpc GROUP BY 1)
     SELECT method, total, detected, correct, round(detected / total, 6) drift_recall, round(correct / total, 6) classification_recall,

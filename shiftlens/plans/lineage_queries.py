@@ -82,13 +82,14 @@ def source_lookup(spark: SparkSession, d: str) -> DataFrame:
     FROM req LEFT JOIN s ON s.seed = req.seed"""
 )
 def impact_summary(spark: SparkSession, d: str) -> DataFrame:
-    nodes, edges, closure = _closure(spark, d)
-    located = lineage.find_sources(_requests(spark, d), nodes)
+    """Counts by masks: no row for each source and node below it."""
+    nodes, edges = derive.graph(spark, d)
+    located = cut(lineage.find_sources(_requests(spark, d), nodes), "located")
+    seeds = located.where(F.col("node_id").isNotNull()).select("project", F.col("node_id").alias("seed"))
     fan_out = derive.table(spark, d, "orders").where(F.col("o_orderkey") % 100 == 0).select(
         F.lit("tpc").alias("project"), F.concat(F.lit("model.o"), "o_orderkey").alias("node_id")
     )
-    out = lineage.impact_summary(located, lineage.impact_nodes(closure, nodes), closure, fan_out)
-    return out.drop("project", "node_id")
+    return lineage.summary(located, lineage.impact_counts(seeds, nodes, edges, fan_out)).drop("project", "node_id")
 
 
 @query(

@@ -4,7 +4,7 @@ import json
 
 from shiftlens.functions import types
 from shiftlens.functions.durable import new_path
-from shiftlens.operators import column_lineage, dashboards, exports, graph, snapshots
+from shiftlens.operators import column_lineage, dashboards, exports, graph, store
 from shiftlens.sources import cdc
 from shiftlens.streaming import batches
 from pyspark.sql import functions as F
@@ -60,10 +60,12 @@ def test_table_names_of_a_long_query(spark):
 
 
 def test_columns_of_a_stored_snapshot_are_not_appended_again(spark):
-    path, keys = new_path(spark, "columns"), "snapshot_id string, source_identifier string, name string"
-    snapshots.append_columns(spark.createDataFrame([("a@1", "a", "x"), ("a@1", "a", "y")], keys), path)
-    snapshots.append_columns(spark.createDataFrame([("a@1", "a", "x"), ("b@1", "b", "z")], keys), path)
-    assert sorted(tuple(r) for r in spark.read.parquet(path).select("source_identifier", "name").collect()) == [("a", "x"), ("a", "y"), ("b", "z")]
+    held, keys = store.SnapshotStore(spark, new_path(spark, "columns")), "snapshot_id string, source_identifier string, name string"
+    headers = lambda ids: spark.createDataFrame([(i, i[0], 1) for i in ids], "snapshot_id string, source_identifier string, captured_at long")
+    first = spark.createDataFrame([("a@1", "a", "x"), ("a@1", "a", "y")], keys)
+    held.append(headers(["a@1"]), first)
+    held.append(headers(["a@1", "b@1"]), spark.createDataFrame([("a@1", "a", "x"), ("b@1", "b", "z")], keys))
+    assert sorted((r.source_identifier, r.name) for r in held.columns(first.schema).collect()) == [("a", "x"), ("a", "y"), ("b", "z")]
 
 
 def test_a_new_checkpoint_keeps_what_the_store_holds(spark):

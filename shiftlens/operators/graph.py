@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from shiftlens.functions.durable import cut
-from shiftlens.operators.reach import numbered, peel
+from shiftlens.operators import reach
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -74,11 +74,6 @@ def descendants(
 
 
 def levels(nodes: DataFrame, edges: DataFrame, node: Sequence[str], src: Sequence[str], dst: Sequence[str]) -> DataFrame:
-    """Longest-path level per node from 0; nodes on or behind a cycle get NULL.
-
-    Vertices are numbered once; a round reads the links of one level's vertices and rewrites only what they arrive at.
-    """
-    ids, links = numbered(edges, node, src, dst, nodes)
-    placed, left = peel(ids.select(F.col("id").alias("node")), links)
-    every = placed.unionByName(left.withColumn("level", F.lit(None).cast("int")))
-    return every.join(ids, every["node"] == ids["id"]).select(*node, "level")
+    """Longest-path level per node from 0; nodes on or behind a cycle get NULL."""
+    stored = reach.store(edges, node, src, dst, nodes)
+    return reach.levels(stored).join(stored.names(), "id").select(*node, "level")

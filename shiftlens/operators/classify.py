@@ -186,6 +186,18 @@ def top_event(events: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def key_array_changes(table_sides: DataFrame) -> DataFrame:
+    """Opt-in: (step, which, keys_before, keys_after) of tables on both sides whose ``primary_key`` or ``partition_keys`` array differs, in members or order."""
+    step = ("source_identifier", "seq", "table_identifier")
+    side = lambda curr: F.max(F.when(F.col("is_curr") == curr, F.struct("primary_key", "partition_keys")))
+    both = table_sides.groupBy(*step).agg(side(False).alias("__b"), side(True).alias("__a")).where("__b is not null and __a is not null")
+    arrays = F.array(
+        *[F.struct(F.lit(w).alias("which"), F.col(f"__b.{w}").alias("keys_before"), F.col(f"__a.{w}").alias("keys_after")) for w in ("primary_key", "partition_keys")]
+    )
+    rows = both.select(*step, F.explode(arrays).alias("__k")).select(*step, "__k.*")
+    return rows.where(~F.col("keys_before").eqNullSafe(F.col("keys_after")))
+
+
 def partition_key_changes(table_sides: DataFrame) -> DataFrame:
     """Opt-in: tables on both sides whose partition-key array differs."""
     step = ("source_identifier", "seq", "table_identifier")

@@ -228,7 +228,7 @@ def identifier_parts(identifier: Column) -> tuple[Column, Column, Column]:
     return parts, table, F.element_at(parts, -1)
 
 
-def proposal_headers(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+def proposal_headers(events: DataFrame, title_prefix: str = "[drift] ", label: str = "drift") -> tuple[DataFrame, DataFrame]:
     """(headers, rejected rows with a reason). Only nullable additions are drafted."""
     parts, table, column = identifier_parts(F.col("identifier"))
     reason = (
@@ -240,8 +240,8 @@ def proposal_headers(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     headers = checked.where(F.col("reason").isNull()).select(
         "event_id",
         F.concat(F.lit("drift/"), F.lower("event_id")).alias("branch"),
-        F.format_string("[schema-drift] Add nullable column `%s` to `%s`", column, table).alias("title"),
-        F.array(F.lit("schema-drift"), F.concat(F.lit("severity:"), F.col("severity"))).alias("labels"),
+        F.concat(F.lit(title_prefix), F.format_string("Add nullable column `%s` to `%s`", column, table)).alias("title"),
+        F.array(F.lit(label), F.concat(F.lit("severity:"), F.col("severity"))).alias("labels"),
         F.lit(True).alias("is_draft"),
     )
     return headers, checked.where(F.col("reason").isNotNull()).select("event_id", "change_type", "reason")

@@ -10,8 +10,7 @@ BLAST_RADIUS_CAP = 25.0
 MAX_EVENTS = 10
 WINDOW_SECONDS = 3600
 
-# Reason text of the kill switch.
-KILL_REASON = "kill switch active (DRIFT_KILL_SWITCH=1)"
+KILL_REASON = "kill switch active"
 
 
 def has_impact(*counts: str) -> Column:
@@ -40,6 +39,7 @@ def decide(
     limited: Column | None = None,
     max_events: int = MAX_EVENTS,
     window_seconds: int = WINDOW_SECONDS,
+    kill_reason: str = KILL_REASON,
 ) -> DataFrame:
     """Adds ``action``, ``reason`` and ``labels``; gates apply in the order they are written.
 
@@ -63,8 +63,9 @@ def decide(
         .otherwise("open_pr")
     )
     over_cap = F.format_string("blast_radius %.1f > cap %.1f", score, F.lit(float(cap)))
+    # The reason texts.
     reason = (
-        F.when(killed, KILL_REASON)
+        F.when(killed, kill_reason)
         .when(limited, f"rate limit exceeded (>{max_events}/{window_seconds:.0f}s)")
         .when(destructive, F.format_string("destructive change '%s' requires human review", change))
         .when(severity == "high", "HIGH severity")

@@ -404,6 +404,18 @@ def contract_quarantine(spark: SparkSession, d: str) -> DataFrame:
     return bad.select("p_partkey", F.array_join("reasons", ",").alias("reasons"))
 
 
+@query(
+    """WITH t AS (SELECT 'src' || (l_orderkey % 8) source_identifier, 'raw.t' || l_orderkey table_identifier, sum(l_partkey) s FROM lineitem GROUP BY l_orderkey)
+    SELECT source_identifier, table_identifier, 'partition_keys' which, 'c1' keys_before, 'c2' keys_after FROM t WHERE s % 5 = 0
+    UNION ALL SELECT source_identifier, table_identifier, 'primary_key', 'c1,c2', CASE WHEN s % 7 = 0 THEN 'c2,c1' ELSE 'c1' END FROM t WHERE s % 7 < 2"""
+)
+def key_array_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Tables whose primary or partition key array differs, in members or order."""
+    changed = classify.key_array_changes(derive.table_sides(spark, d))
+    text = lambda c: F.array_join(c, ",").alias(c)
+    return changed.select("source_identifier", "table_identifier", "which", text("keys_before"), text("keys_after"))
+
+
 @query(
     """SELECT 'src' || (l_orderkey % 8) source_identifier, 'raw.t' || l_orderkey table_identifier, 'partition_key_changed' change_type,
     'high' severity, 'c1' keys_before, 'c2' keys_after FROM lineitem GROUP BY l_orderkey HAVING sum(l_partkey) % 5 = 0"""

@@ -102,12 +102,15 @@ def pair_changes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def table_sides(spark: SparkSession, d: str) -> DataFrame:
-    """Partition keys per table and side."""
+    """Partition and primary keys per table and side; the order of a primary key may turn."""
     per_table = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_partkey").alias("s"))
-    keys = lambda c: F.array(F.lit(c))
-    before = F.struct(F.lit(False).alias("is_curr"), keys("c1").alias("partition_keys"))
+    keys = lambda *c: F.array(*[F.lit(x) for x in c])
+    before = F.struct(F.lit(False).alias("is_curr"), keys("c1").alias("partition_keys"), keys("c1", "c2").alias("primary_key"))
+    turned = F.when(F.col("s") % 7 == 0, keys("c2", "c1")).when(F.col("s") % 7 == 1, keys("c1")).otherwise(keys("c1", "c2"))
     after = F.struct(
-        F.lit(True).alias("is_curr"), F.when(F.col("s") % 5 == 0, keys("c2")).otherwise(keys("c1")).alias("partition_keys")
+        F.lit(True).alias("is_curr"),
+        F.when(F.col("s") % 5 == 0, keys("c2")).otherwise(keys("c1")).alias("partition_keys"),
+        turned.alias("primary_key"),
     )
     return per_table.select(
         F.concat(F.lit("src"), F.col("l_orderkey") % 8).alias("source_identifier"),

@@ -379,26 +379,32 @@ def model_dashboards(spark: SparkSession, d: str) -> DataFrame:
     + _GRAPH
     + ","
     + _WORDS
-    + """, im AS (SELECT seed, substr(node, 7) model FROM clo WHERE node LIKE 'model.%' AND seed LIKE 'source.geo.%'),
+    + ","
+    + _REQUESTS
+    + """, im AS (SELECT seed, substr(node, 7) model FROM clo WHERE node LIKE 'model.%'),
     dd AS (SELECT DISTINCT seed, id, tier FROM im JOIN good USING (model)),
-    s AS (SELECT seed, count_if(node LIKE 'model.%') models, count_if(node LIKE 'exposure.%') exposures FROM clo WHERE seed LIKE 'source.geo.%' GROUP BY 1),
-    x AS (SELECT seed, count(*) n, count_if(tier = 'critical') c FROM dd GROUP BY 1)
-    SELECT 'geo.r' || substr(seed, 13) source_identifier, CAST(models AS BIGINT) models, CAST(exposures AS BIGINT) exposures,
-        CAST(coalesce(n, 0) AS BIGINT) dashboards, CAST(coalesce(c, 0) AS BIGINT) critical_dashboards, coalesce(c, 0) > 0 critical_gate,
-        CAST(models + 3 * coalesce(n, 0) + 10 AS DOUBLE) weighted_score
-    FROM s LEFT JOIN x USING (seed)"""
+    s AS (SELECT seed, count_if(node LIKE 'model.%') models, count_if(node LIKE 'exposure.%') exposures FROM clo GROUP BY 1),
+    x AS (SELECT seed, count(*) n, count_if(tier = 'critical') c FROM dd GROUP BY 1),
+    ft AS (SELECT seed, count(*) f FROM im JOIN orders ON model = 'o' || o_orderkey WHERE o_orderkey % 50 = 0 GROUP BY 1),
+    sv AS (SELECT *, CASE length(source_identifier) % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END sev FROM req)
+    SELECT source_identifier, CAST(coalesce(models, 0) AS BIGINT) models, CAST(coalesce(exposures, 0) AS BIGINT) exposures, CAST(coalesce(n, 0) AS BIGINT) dashboards,
+        CAST(coalesce(c, 0) AS BIGINT) critical_dashboards, CAST(coalesce(f, 0) AS BIGINT) ml_features, coalesce(c, 0) > 0 critical_gate,
+        CAST(coalesce(models, 0) + 3 * coalesce(n, 0) + CASE WHEN f > 0 THEN 5 ELSE 0 END + CASE sev WHEN 'high' THEN 10 WHEN 'medium' THEN 3 ELSE 1 END AS DOUBLE) weighted_score
+    FROM sv LEFT JOIN s USING (seed) LEFT JOIN x USING (seed) LEFT JOIN ft USING (seed)"""
 )
 def impact_enriched(spark: SparkSession, d: str) -> DataFrame:
+    """Every request with its models, exposures, dashboards and features, counted in one pass of masks."""
     nodes, edges = derive.graph(spark, d)
-    requests = derive.table(spark, d, "region").select(
-        F.lit("tpc").alias("project"), F.concat(F.lit("geo.r"), "r_regionkey").alias("source_identifier")
-    )
-    located = lineage.find_sources(requests, nodes)
-    closure = lineage.node_closure(located.select("project", F.col("node_id").alias("seed")), edges)
-    impacted = lineage.impact_nodes(closure, nodes)
-    boards = dashboards.impact_dashboards(impacted, dashboards.dashboard_refs(cards(spark, d)))
-    out = dashboards.enrich(lineage.impact_summary(located, impacted), boards)
-    out = dashboards.weighted_score(out.withColumn("severity", F.lit("high")))
-    return out.select(
-        "source_identifier", "models", "exposures", "dashboards", "critical_dashboards", "critical_gate", "weighted_score"
-    )
+    located = cut(lineage.find_sources(_requests(spark, d), nodes), "located")
+    seeds = located.where(F.col("node_id").isNotNull()).select("project", F.col("node_id").alias("seed"))
+    project = F.lit("tpc").alias("project")
+    order = F.col("o_orderkey")
+    features = derive.table(spark, d, "orders").where(order % 50 == 0).select(project, F.concat(F.lit("o"), order).alias("model"), F.concat(F.lit("f"), order).alias("feature"))
+    more_nodes, more_edges = dashboards.consumers(nodes, dashboards.dashboard_refs(cards(spark, d)).withColumn("project", project), features)
+    every = nodes.select("project", "node_id", "kind").unionByName(cut(more_nodes, "consumers"))
+    counted = lineage.impact_counts(seeds, every, edges.select("project", "src", "dst").unionByName(cut(more_edges, "reads")))
+    numbers = list(lineage.KINDS.values())
+    out = located.join(counted.withColumnRenamed("seed", "node_id"), ["project", "node_id"], "left").fillna(0, numbers)
+    third = F.length("source_identifier") % 3
+    out = out.withColumns({"critical_gate": F.col("critical_dashboards") > 0, "severity": F.when(third == 0, "high").when(third == 1, "medium").otherwise("low")})
+    return dashboards.weighted_score(out).select("source_identifier", *numbers, "critical_gate", "weighted_score")

@@ -52,7 +52,7 @@ def policy_labels(spark: SparkSession, d: str) -> DataFrame:
     return _decided(spark, d).select("event_id", F.array_join(merged, ",").alias("labels"))
 
 
-@query("SELECT event_id, 'ignore' AS action, 'kill switch active (DRIFT_KILL_SWITCH=1)' reason, 'kill-switch' labels FROM events")
+@query("SELECT event_id, 'ignore' AS action, 'kill switch active' reason, 'kill-switch' labels FROM events")
 def kill_switch(spark: SparkSession, d: str) -> DataFrame:
     out = _decided(spark, d, kill_switch=True)
     return out.select("event_id", "action", "reason", F.array_join("labels", ",").alias("labels"))
@@ -204,8 +204,8 @@ def audit_rows(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "WITH "
     + _EVENTS
-    + """SELECT event_id, 'drift/' || event_id branch, '[schema-drift] Add nullable column `k' || k || '` to `raw.t' || user_id || '`' title,
-    'schema-drift,severity:low' labels, CASE WHEN event_id % 4 = 0 THEN 'branch_exists' END skipped_reason FROM dv WHERE change_type = 'column_added_nullable'"""
+    + """SELECT event_id, 'drift/' || event_id branch, '[drift] Add nullable column `k' || k || '` to `raw.t' || user_id || '`' title,
+    'drift,severity:low' labels, CASE WHEN event_id % 4 = 0 THEN 'branch_exists' END skipped_reason FROM dv WHERE change_type = 'column_added_nullable'"""
 )
 def emit_once(spark: SparkSession, d: str) -> DataFrame:
     """Proposal headers, with the ones whose branch was emitted before marked."""

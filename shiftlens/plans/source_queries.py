@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from shiftlens.functions.durable import new_path
 from shiftlens.operators import cdc_changes, classify, diff, snapshots
 from shiftlens.plans import derive
+from shiftlens.plans import oracle_parts as o
 from shiftlens.plans.register import Registry
 from shiftlens.sources import catalogue, cdc, files, payload
 
@@ -33,15 +35,11 @@ ic AS (SELECT CASE p_size % 3 WHEN 0 THEN 'source_raw' WHEN 1 THEN 'other' ELSE
 )
 def column_catalogue(spark: SparkSession, d: str) -> DataFrame:
     constraints, usage = derive.information_constraints(spark, d)
-    keys = catalogue.primary_keys(constraints, _usage_per_table(usage), ["source_raw", "raw2"])
+    keys = catalogue.primary_keys(constraints, usage, ["source_raw", "raw2"])
     rows = catalogue.postgres_columns(derive.information_columns(spark, d), keys, ["source_raw", "raw2"])
     return rows.drop("source_kind", "source_identifier", "enum_values")
 
 
-def _usage_per_table(usage: DataFrame) -> DataFrame:
-    return usage
-
-
 @query(
     "WITH "
     + _INFO
@@ -291,56 +289,102 @@ def lake_schema(spark: SparkSession, d: str) -> DataFrame:
     return files.lake_columns(spark, d).select("table_identifier", "name", "data_type", "nullable", "ordinal_position")
 
 
-# --- manifests --------------------------------------------------------------
+def write_documents(docs: DataFrame, label: str, *folders: str) -> str:
+    """Each row's ``text`` as a file of its own; the folder."""
+    path = new_path(docs.sparkSession, label)
+    docs.select(*folders, "text").write.option("maxRecordsPerFile", 1).partitionBy(*folders).text(path)
+    return path
 
-_MANIFEST_SQL = """
-WITH n AS (SELECT 'tpc' || n_regionkey project, n_nationkey, n_name, n_regionkey FROM nation)
-SELECT project, 'source.geo.' || r_name node_id, 'source' kind, 'raw_' || r_name AS name, 'geo' "schema" FROM region JOIN (SELECT DISTINCT project, n_regionkey FROM n) ON r_regionkey = n_regionkey
-UNION ALL SELECT project, 'model.' || n_name, CASE WHEN n_nationkey % 2 = 0 THEN 'model' ELSE 'unknown' END, n_name, NULL FROM n
-UNION ALL SELECT DISTINCT project, 'exposure.board', 'exposure', 'exposure.board', NULL FROM n
-"""
 
+def _block(key: str) -> Column:
+    """Ten customers and what belongs to them make a document."""
+    return F.floor(F.col(key) / 10)
 
-def manifests(spark: SparkSession, d: str) -> DataFrame:
-    """One manifest document per region, with its nations as models."""
-    nation = derive.table(spark, d, "nation").join(
-        derive.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")
-    )
-    q = lambda *c: F.concat(F.lit('"'), *c, F.lit('"'))
-    kind = F.when(F.col("n_nationkey") % 2 == 0, '"resource_type":"model",').otherwise("")
-    node = F.concat(
-        q(F.lit("model."), "n_name"), F.lit(":{"), kind, F.lit('"name":'), q("n_name"),
-        F.lit(',"depends_on":{"nodes":['), q(F.lit("source.geo."), "r_name"), F.lit("]}}"),
-    )
-    per = nation.groupBy("r_regionkey", "r_name").agg(
-        F.array_join(F.array_sort(F.collect_list(node)), ",").alias("nodes"), F.min(F.col("n_name")).alias("first")
+
+@query(
+    o.changes("fst AS (SELECT tbl id, change_type ect, severity es FROM single QUALIFY row_number() OVER (PARTITION BY tbl ORDER BY n) = 1)")
+    + """SELECT 'raw.t' || o_orderkey scenario_id, ect expected_change_type, es expected_severity,
+    CAST(CASE WHEN tbl IS NOT NULL THEN row_number() OVER (PARTITION BY o_orderkey ORDER BY n) - 1 END AS INTEGER) AS position, kind, nm AS name, bty type_before, aty type_after
+    FROM orders LEFT JOIN fst ON id = 'raw.t' || o_orderkey LEFT JOIN raw ON tbl = 'raw.t' || o_orderkey"""
+)
+def scenario_files(spark: SparkSession, d: str) -> DataFrame:
+    """Scenarios of all orders, written as files of ten customers each and read back, change by change."""
+    expected, changes = derive.scenarios(spark, d)
+    change = F.struct("position", F.struct("table_identifier", "kind", "column_before", "column_after").alias("c"))
+    of_scenario = changes.groupBy("scenario_id").agg(F.transform(F.sort_array(F.collect_list(change)), lambda x: x["c"]).alias("raw_changes"))
+    block = derive.table(spark, d, "orders").select(F.concat(F.lit("raw.t"), "o_orderkey").alias("scenario_id"), _block("o_custkey").alias("block"))
+    rows = expected.join(of_scenario, "scenario_id", "left").join(block, "scenario_id")
+    scenario = F.struct("scenario_id", "expected_change_type", "expected_severity", F.coalesce("raw_changes", F.array()).alias("raw_changes"))
+    docs = rows.groupBy("block").agg(F.to_json(F.collect_list(scenario)).alias("text"))
+    found = files.scenario_changes(files.read_scenarios(spark, write_documents(docs, "scenarios")))
+    side = lambda s, f: F.col(f"column_{s}.{f}")
+    return found.select(
+        "scenario_id", "expected_change_type", "expected_severity", "position", "kind",
+        F.coalesce(side("before", "name"), side("after", "name")).alias("name"),
+        side("before", "data_type").alias("type_before"), side("after", "data_type").alias("type_after"),
     )
-    text = F.concat(
-        F.lit('{"sources":{'), q(F.lit("source.geo."), "r_name"), F.lit(':{"name":"raw_'), "r_name",
-        F.lit('","schema":"geo","columns":{"a":{},"b":{}}}},"nodes":{'), "nodes",
-        F.lit('},"exposures":{"exposure.board":{"depends_on":{"nodes":['), q(F.lit("model."), "first"), F.lit("]}}}}"),
+
+
+@query(
+    """SELECT CAST(o_orderkey AS VARCHAR) id, o_orderpriority AS name, CASE WHEN o_orderkey % 4 <> 0 THEN 'select * from analytics.c' || o_custkey END "sql"
+    FROM orders WHERE o_custkey // 10 % 7 <> 0"""
+)
+def card_files(spark: SparkSession, d: str) -> DataFrame:
+    """Cards of all orders, written as files of ten customers each and read back; every seventh document is no list."""
+    orders = derive.table(spark, d, "orders")
+    sql = F.when(F.col("o_orderkey") % 4 != 0, F.concat(F.lit("select * from analytics.c"), "o_custkey"))
+    native = F.struct(F.struct(sql.alias("query")).alias("native"))
+    card = F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("name"), native.alias("dataset_query"))
+    docs = orders.groupBy(_block("o_custkey").alias("block")).agg(F.to_json(F.collect_list(card)).alias("cards"))
+    text = F.when(F.col("block") % 7 == 0, F.concat(F.lit('{"error": '), "cards", F.lit("}"))).otherwise(F.col("cards"))
+    return files.read_cards(spark, write_documents(docs.select(text.alias("text")), "cards"))
+
+
+# --- manifests --------------------------------------------------------------
+
+
+def manifests(spark: SparkSession, d: str) -> DataFrame:
+    """One manifest file per ten customers: customers are sources, orders are models over them, an exposure reads the first."""
+    customer, orders = derive.table(spark, d, "customer"), derive.table(spark, d, "orders")
+    columns = F.create_map(F.lit("a"), F.create_map(), F.lit("b"), F.create_map())
+    name = F.concat(F.lit("raw_c"), "c_custkey")
+    source = F.struct(F.concat(F.lit("source.raw.c"), "c_custkey").alias("k"), F.struct(name.alias("name"), F.lit("raw").alias("schema"), columns.alias("columns")).alias("v"))
+    model = F.concat(F.lit("model.o"), "o_orderkey")
+    needs = lambda *ids: F.struct(F.array(*ids).alias("nodes")).alias("depends_on")
+    kind = F.when(F.col("o_orderkey") % 2 == 0, "model").alias("resource_type")
+    node = F.struct(model.alias("k"), F.struct(kind, F.concat(F.lit("o"), "o_orderkey").alias("name"), needs(F.concat(F.lit("source.raw.c"), "o_custkey"))).alias("v"))
+    sources = customer.groupBy(_block("c_custkey").alias("block")).agg(F.map_from_entries(F.collect_list(source)).alias("sources"))
+    first = F.concat(F.lit("model.o"), F.min("o_orderkey"))
+    models = orders.groupBy(_block("o_custkey").alias("block")).agg(
+        F.map_from_entries(F.collect_list(node)).alias("nodes"),
+        F.create_map(F.lit("exposure.board"), F.struct(F.struct(F.array(first).alias("nodes")).alias("depends_on"))).alias("exposures"),
     )
-    return per.select(F.concat(F.lit("tpc"), "r_regionkey").alias("project"), text.alias("text"))
+    docs = sources.join(models, "block", "full")
+    text = F.to_json(F.struct("sources", "nodes", "exposures")).alias("text")
+    path = write_documents(docs.select(F.concat(F.lit("p"), "block").alias("project"), text), "manifests", "project")
+    return files.read_manifests(spark, path)
 
 
-@query(_MANIFEST_SQL)
+@query(
+    """SELECT 'p' || (c_custkey // 10) project, 'source.raw.c' || c_custkey node_id, 'source' kind, 'raw_c' || c_custkey AS name, 'raw' "schema" FROM customer
+    UNION ALL SELECT 'p' || (o_custkey // 10), 'model.o' || o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'model' ELSE 'unknown' END, 'o' || o_orderkey, NULL FROM orders
+    UNION ALL SELECT DISTINCT 'p' || (o_custkey // 10), 'exposure.board', 'exposure', 'exposure.board', NULL FROM orders"""
+)
 def manifest_nodes(spark: SparkSession, d: str) -> DataFrame:
     nodes = files.lineage_nodes(files.manifest_entries(manifests(spark, d)))
     return nodes.select("project", "node_id", "kind", "name", "schema")
 
 
 @query(
-    """WITH n AS (SELECT 'tpc' || n_regionkey project, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey)
-    SELECT project, 'source.geo.' || r_name src, 'model.' || n_name dst FROM n
-    UNION ALL SELECT project, 'model.' || min(n_name), 'exposure.board' FROM n GROUP BY project"""
+    """SELECT 'p' || (o_custkey // 10) project, 'source.raw.c' || o_custkey src, 'model.o' || o_orderkey dst FROM orders
+    UNION ALL SELECT 'p' || (o_custkey // 10), 'model.o' || min(o_orderkey), 'exposure.board' FROM orders GROUP BY o_custkey // 10"""
 )
 def manifest_edges(spark: SparkSession, d: str) -> DataFrame:
     return files.lineage_edges(files.manifest_entries(manifests(spark, d))).select("project", "src", "dst")
 
 
 @query(
-    """WITH n AS (SELECT DISTINCT 'tpc' || n_regionkey project, r_name FROM nation JOIN region ON n_regionkey = r_regionkey)
-    SELECT project, 'source.geo.' || r_name node_id, CAST(p AS INTEGER) pos, c AS "column" FROM n, (VALUES (0, 'a'), (1, 'b')) v(p, c)"""
+    """SELECT 'p' || (c_custkey // 10) project, 'source.raw.c' || c_custkey node_id, CAST(p AS INTEGER) pos, c AS "column" FROM customer, (VALUES (0, 'a'), (1, 'b')) v(p, c)"""
 )
 def manifest_columns(spark: SparkSession, d: str) -> DataFrame:
     return files.source_columns(files.manifest_entries(manifests(spark, d)))

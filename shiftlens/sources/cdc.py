@@ -37,16 +37,28 @@ def decode(messages: DataFrame) -> DataFrame:
     """Keep messages that carry a record schema, as ``record_schema`` JSON and its ``fields``.
 
     A ``schema`` key decides when present, even when it holds no fields; tombstones and
-    payloads without fields are dropped.
+    payloads without fields are dropped. Outside a stream each distinct schema is read once.
     """
     wrapped = F.array_contains(F.json_object_keys("value"), "schema")
     schema = F.when(wrapped, F.get_json_object("value", "$.schema")).otherwise(F.col("value"))
-    return (
-        messages.where(F.col("value").isNotNull())
-        .withColumn("record_schema", schema)
-        .withColumn("fields", F.from_json("record_schema", f"struct<fields:array<{FIELD}>>")["fields"])
-        .where(F.size("fields") > 0)
-    )
+    found = messages.where(F.col("value").isNotNull()).withColumn("record_schema", schema)
+    if messages.isStreaming:  # a stream is read once, so its rows are parsed where they stand
+        return found.withColumn("fields", _fields(F.col("record_schema"))).where(F.size("fields") > 0)
+    return found.join(schema_registry(found), "record_schema").select(*found.columns, "fields")
+
+
+def _fields(record_schema: Column) -> Column:
+    return F.from_json(record_schema, f"struct<fields:array<{FIELD}>>")["fields"]
+
+
+def schema_registry(messages: DataFrame) -> DataFrame:
+    """(record_schema, fields): every distinct schema text that has fields, parsed once.
+
+    Texts are combined by each task before the shuffle: messages are very many, their schemas few. Spark broadcasts the
+    registry if its measured size allows, and splits hot schemas otherwise.
+    """
+    texts = messages.select("record_schema").distinct()
+    return texts.withColumn("fields", _fields(F.col("record_schema"))).where(F.size("fields") > 0)
 
 
 def _scalar_sql(avro: Column) -> Column:
@@ -82,17 +94,18 @@ def field_type(raw: Column) -> tuple[Column, Column]:
 
 
 def avro_columns(decoded: DataFrame, prefix: str = "") -> DataFrame:
-    """One column row per field of each decoded message; ordinals start at 0."""
-    rows = decoded.select(
-        "*", F.posexplode("fields").alias("ordinal_position", "__field")
-    )
+    """One column row per field of each decoded message; ordinals start at 0. Types are found once per distinct schema."""
     data_type, nullable = field_type(F.col("__field.type"))
-    return rows.select(
-        *[c for c in decoded.columns if c not in ("value", "record_schema", "fields")],
+    columns = schema_registry(decoded).select("record_schema", F.posexplode("fields").alias("ordinal_position", "__field")).select(
+        "record_schema", "ordinal_position", F.col("__field.name").alias("name"), data_type.alias("data_type"), F.coalesce(nullable, F.lit(False)).alias("nullable")
+    )
+    kept = [c for c in decoded.columns if c not in ("value", "record_schema", "fields")]
+    return decoded.select(*kept, "record_schema").join(columns, "record_schema").select(
+        *kept,
         topic_table(F.col("topic"), prefix).alias("table_identifier"),
-        F.col("__field.name").alias("name"),
-        data_type.alias("data_type"),
-        F.coalesce(nullable, F.lit(False)).alias("nullable"),
+        "name",
+        "data_type",
+        "nullable",
         F.lit(None).cast("string").alias("default"),
         F.lit(False).alias("is_primary_key"),
         "ordinal_position",
@@ -124,5 +137,5 @@ def current_schemas(decoded: DataFrame) -> DataFrame:
         decoded.groupBy("topic")
         .agg(newest.alias("__newest"))
         .select("topic", *[F.col(f"__newest.{c}").alias(c) for c in (*at, "record_schema")])
-        .withColumn("fields", F.from_json("record_schema", f"struct<fields:array<{FIELD}>>")["fields"])
+        .withColumn("fields", _fields(F.col("record_schema")))
     )

@@ -89,19 +89,27 @@ def scenario_changes(scenarios: DataFrame) -> DataFrame:
     ).select("scenario_id", "expected_change_type", "expected_severity", "position", "__change.*")
 
 
+# --- whole documents --------------------------------------------------------
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(text, partition columns of the folders): one row per file, read by Spark's own reader from any store it knows.
+
+    Files are dealt to tasks by size, so their number is not bounded by a driver or a task.
+    """
+    return spark.read.option("wholetext", "true").text(path).withColumnRenamed("value", "text")
+
+
 # --- dashboard cards --------------------------------------------------------
 
-_CARD = "id string, name string, dataset_query struct<native:struct<query:string>>"
+_CARDS = "array<struct<id:string,name:string,dataset_query:struct<native:struct<query:string>>>>"
 
 
 def read_cards(spark: SparkSession, path: str) -> DataFrame:
-    """Card export (JSON lines, or one array per file) -> (id, name, sql)."""
-    return (
-        spark.read.schema(_CARD)
-        .option("multiLine", "true")
-        .json(path)
-        .select("id", "name", F.col("dataset_query.native.query").alias("sql"))
-    )
+    """Card exports, one list of cards a file -> (id, name, sql). A document that is no list has no cards, nor have items that are no objects."""
+    lists = read_documents(spark, path).where(F.col("text").rlike(r"^\s*\["))
+    cards = lists.select(F.explode(F.from_json("text", _CARDS)).alias("c")).where(F.col("c").isNotNull())
+    return cards.select("c.id", "c.name", F.col("c.dataset_query.native.query").alias("sql"))
 
 
 # --- lineage manifest -------------------------------------------------------
@@ -113,6 +121,11 @@ _NODE = (
 _MANIFEST = f"struct<nodes:map<string,{_NODE}>,sources:map<string,{_NODE}>,exposures:map<string,{_NODE}>>"
 
 
+def read_manifests(spark: SparkSession, path: str) -> DataFrame:
+    """(project, text) of the manifest files under ``path``, one folder ``project=<name>`` each."""
+    return read_documents(spark, path).select(F.col("project").cast("string").alias("project"), "text")
+
+
 def manifest_entries(manifests: DataFrame) -> DataFrame:
     """(project, section, ord, node_id, entry) from (project, text) rows, in manifest order."""
     parsed = manifests.select("project", F.from_json("text", _MANIFEST).alias("m"))

@@ -72,26 +72,34 @@ class Codes:
         self.radius = int(np.quantile(apart, REACH, method="higher"))
 
 
+def _words(codes: np.ndarray) -> np.ndarray:
+    """Rows of bytes as rows of 64-bit words."""
+    return np.pad(codes, ((0, 0), (0, -codes.shape[1] % 8))).view(np.uint64)
+
+
 class Block:
-    """A block of the index: for each substring, rows by value."""
+    """A block of the index: for each substring, a bitmap of the rows of every value.
+
+    A probe asks for all values within a few bits of one, so the bitmaps of such balls are ORed once a block.
+    """
 
-    def __init__(self, codes: np.ndarray) -> None:
-        self.codes = codes
-        self.rows = np.argsort(codes, axis=0, kind="stable").T.copy()
-        self.first = np.stack([np.searchsorted(codes[r, j], np.arange(257)) for j, r in enumerate(self.rows)])
+    def __init__(self, codes: np.ndarray, radius: int) -> None:
+        self.radius, self.words = radius, _words(codes)
+        near = radius // max(codes.shape[1], 1) >= _DISTANCE
+        self.balls = np.empty((codes.shape[1], 256, -(-len(codes) // 8)), np.uint8)
+        for j, column in enumerate(codes.T):
+            rows = np.packbits(column[None, :] == np.arange(256, dtype=np.uint8)[:, None], axis=1)
+            for value in range(256):
+                self.balls[j, value] = np.bitwise_or.reduce(rows[near[value]], axis=0)
 
-    def within(self, code: np.ndarray, radius: int, least: int) -> np.ndarray:
+    def within(self, code: np.ndarray, least: int) -> np.ndarray:
         """Rows whose code differs in at most ``radius`` bits, or the ``least`` nearest codes if those are more."""
-        met = np.zeros(len(self.codes), bool)
-        for j, value in enumerate(code):
-            probes = np.flatnonzero(_DISTANCE[value] <= radius // len(code))
-            for a, b in zip(self.first[j, probes], self.first[j, probes + 1], strict=True):
-                met[self.rows[j, a:b]] = True
-        rows = np.flatnonzero(met)
-        rows = rows[np.bitwise_count(self.codes[rows] ^ code).sum(axis=1) <= radius]
-        if len(rows) >= min(least, len(self.codes)):
+        met = np.bitwise_or.reduce(self.balls[np.arange(len(code)), code], axis=0)
+        rows, own = np.flatnonzero(np.unpackbits(met, count=len(self.words))), _words(code[None, :])
+        rows = rows[np.bitwise_count(self.words[rows] ^ own).sum(axis=1, dtype=np.int64) <= self.radius]
+        if len(rows) >= min(least, len(self.words)):
             return rows
-        apart = np.bitwise_count(self.codes ^ code).sum(axis=1)
+        apart = np.bitwise_count(self.words ^ own).sum(axis=1, dtype=np.int64)
         return np.flatnonzero(apart <= np.partition(apart, min(least, len(apart)) - 1)[min(least, len(apart)) - 1])
 
 
@@ -101,9 +109,9 @@ def search_block(index: pd.DataFrame, queries: pd.DataFrame, model: Codes, k: in
     if len(index) and len(queries):
         ids, vectors = index["vec_id"].to_numpy(), np.stack(index["vector"].to_numpy()).astype(np.float64)
         wanted = np.stack(queries["vector"].to_numpy()).astype(np.float64)
-        block, codes = Block(model.of(vectors)), model.of(wanted)
+        block, codes = Block(model.of(vectors), model.radius), model.of(wanted)
         for query, vector, code in zip(queries["vec_id"].to_numpy(), wanted, codes, strict=True):
-            rows = block.within(code, model.radius, k + 1)
+            rows = block.within(code, k + 1)
             rows = rows[ids[rows] != query]
             score = vectors[rows] @ vector
             best = np.lexsort((ids[rows], -score))[:k]

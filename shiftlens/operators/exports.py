@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
-
-from shiftlens.functions.ranking import ordered_rank
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Schema addresses of the public OpenLineage specification.
 OL_RUN_EVENT = "https://openlineage.io/spec/1-0-5/OpenLineage.json#/definitions/RunEvent"
@@ -125,12 +123,14 @@ def run_events(
 
 
 def model_preview(models: DataFrame, first: int = PREVIEW) -> DataFrame:
-    """(event_id, preview): the first names, and how many more there are. Only ``first`` names are gathered."""
-    ranked = ordered_rank(models.select("event_id", "model"), ["event_id"], ["model"], "__k", "__size")
-    kept = ranked.where(F.col("__k") <= first)
-    names = kept.groupBy("event_id").agg(
-        F.array_join(F.array_sort(F.collect_list("model")), ", ").alias("__names"), F.max("__size").alias("__size")
-    )
+    """(event_id, preview): the first names, and how many more there are.
+
+    Each task sends on its first names of an event and one count, however many models the event has.
+    """
+    place = F.row_number().over(Window.partitionBy("event_id").orderBy("model"))
+    kept = models.select("event_id", "model").withColumn("__k", place).where(F.col("__k") <= first)
+    listed = kept.groupBy("event_id").agg(F.array_join(F.array_sort(F.collect_list("model")), ", ").alias("__names"))
+    names = listed.join(models.groupBy("event_id").agg(F.count(F.lit(1)).alias("__size")), "event_id")
     more = F.when(F.col("__size") > first, F.format_string(" (+%d more)", F.col("__size") - first)).otherwise("")
     return names.select("event_id", F.concat("__names", more).alias("preview"))
 

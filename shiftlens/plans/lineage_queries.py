@@ -217,6 +217,26 @@ def scope_resolution(spark: SparkSession, d: str) -> DataFrame:
     return cl.resolve_tables(t["scopes"], t["edges"]).select("node", "scope", "leg", "alias", "rel_node", "rel_scope")
 
 
+@query(
+    "WITH RECURSIVE "
+    + _COLS
+    + """, seeds AS (SELECT 'source.raw.cust' || ck seed, ck FROM cu),
+    nc AS (SELECT DISTINCT seed, dst n FROM seeds JOIN nedge ON src = seed UNION SELECT seed, dst FROM nc JOIN nedge ON src = n),
+    s AS (SELECT seed, count(*) models, bool_or(n IN (SELECT node FROM fan)) wide FROM nc GROUP BY 1)
+    SELECT 'raw.cust' || ck || '.a0' source_identifier, CAST(coalesce(models, 0) AS BIGINT) models, CAST(coalesce(models, 0) AS DOUBLE) blast_radius_score,
+        CASE WHEN wide THEN 'medium' ELSE 'high' END lineage_confidence, coalesce(wide, false) fan_out_conservative
+    FROM seeds LEFT JOIN s USING (seed)"""
+)
+def impact_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """Impact of every source, less certain where column lineage could not resolve a model below it."""
+    t, found = _lineage(spark, d)
+    customers = derive.table(spark, d, "customer")
+    requests = customers.select(F.lit("tpc").alias("project"), F.concat(F.lit("raw.cust"), "c_custkey", F.lit(".a0")).alias("source_identifier"))
+    located = cut(lineage.find_sources(requests, t["nodes"]), "located")
+    counted = lineage.impact_counts(located.select("project", F.col("node_id").alias("seed")), t["nodes"], t["edges"], cut(found.fan_out, "fan-out"))
+    return lineage.summary(located, counted).select("source_identifier", "models", "blast_radius_score", "lineage_confidence", "fan_out_conservative")
+
+
 _SEEDS = """
 seeds AS (SELECT 'source.raw.cust' || ck seed, 'a0' sc FROM cu UNION ALL SELECT 'source.raw.cust' || ck, 'a1' FROM cu),
 known AS (SELECT node, col FROM dec UNION SELECT node, col FROM mcol UNION SELECT src_node, src_col FROM cedge)

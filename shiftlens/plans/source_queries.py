@@ -283,7 +283,12 @@ def cdc_bootstrap(spark: SparkSession, d: str) -> DataFrame:
 # --- files ------------------------------------------------------------------
 
 
-@query()
+@query(
+    """SELECT table_name table_identifier, column_name AS name, CASE data_type WHEN 'DOUBLE' THEN 'double precision' WHEN 'VARCHAR' THEN 'text'
+        WHEN 'FLOAT[]' THEN 'list<element: float>' ELSE lower(data_type) END data_type, is_nullable = 'YES' nullable, CAST(ordinal_position - 1 AS INTEGER) ordinal_position
+    FROM information_schema.columns WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages',
+        'benchmark', 'labels', 'conversations')"""
+)
 def lake_schema(spark: SparkSession, d: str) -> DataFrame:
     """Catalogue rows of the given files, read from their footers."""
     return files.lake_columns(spark, d).select("table_identifier", "name", "data_type", "nullable", "ordinal_position")

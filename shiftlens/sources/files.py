@@ -102,13 +102,14 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 # --- dashboard cards --------------------------------------------------------
 
-_CARDS = "array<struct<id:string,name:string,dataset_query:struct<native:struct<query:string>>>>"
+_CARD = "struct<id:string,name:string,dataset_query:struct<native:struct<query:string>>>"
 
 
 def read_cards(spark: SparkSession, path: str) -> DataFrame:
     """Card exports, one list of cards a file -> (id, name, sql). A document that is no list has no cards, nor have items that are no objects."""
     lists = read_documents(spark, path).where(F.col("text").rlike(r"^\s*\["))
-    cards = lists.select(F.explode(F.from_json("text", _CARDS)).alias("c")).where(F.col("c").isNotNull())
+    items = lists.select(F.explode(F.from_json("text", "array<string>")).alias("item")).where(F.col("item").startswith("{"))
+    cards = items.select(F.from_json("item", _CARD).alias("c"))
     return cards.select("c.id", "c.name", F.col("c.dataset_query.native.query").alias("sql"))
 
 

@@ -178,12 +178,12 @@ def history_changes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def information_columns(spark: SparkSession, d: str) -> DataFrame:
-    """Catalogue view rows: one table per part brand, one column per part."""
+    """Catalogue view rows: one column per part, a table for the parts of one brand among each thousand keys."""
     p = table(spark, d, "part")
     key = F.col("p_partkey")
     return p.select(
         F.when(F.col("p_size") % 3 == 0, "source_raw").when(F.col("p_size") % 3 == 1, "other").otherwise("raw2").alias("table_schema"),
-        F.lower(F.regexp_replace("p_brand", "#", "_")).alias("table_name"),
+        F.concat(F.lower(F.regexp_replace("p_brand", "#", "_")), F.lit("_"), F.floor(key / 1000)).alias("table_name"),
         F.concat(F.lit("col_"), key).alias("column_name"),
         _pick(key % 5, ["INTEGER", "NUMBER", "VARCHAR", "TEXT", "TIMESTAMP_NTZ"]).alias("data_type"),
         _pick(key % 4, ["int4", "", "varchar", "text"]).alias("udt_name"),

@@ -17,7 +17,7 @@ query = registry.query
 # --- catalogues -------------------------------------------------------------
 
 _INFO = """
-ic AS (SELECT CASE p_size % 3 WHEN 0 THEN 'source_raw' WHEN 1 THEN 'other' ELSE 'raw2' END sch, lower(replace(p_brand, '#', '_')) tab,
+ic AS (SELECT CASE p_size % 3 WHEN 0 THEN 'source_raw' WHEN 1 THEN 'other' ELSE 'raw2' END sch, lower(replace(p_brand, '#', '_')) || '_' || (p_partkey // 1000) tab,
     'col_' || p_partkey col, (['INTEGER','NUMBER','VARCHAR','TEXT','TIMESTAMP_NTZ'])[p_partkey % 5 + 1] dt,
     (['int4','','varchar','text'])[p_partkey % 4 + 1] udt, CASE p_partkey % 3 WHEN 0 THEN 'YES' WHEN 1 THEN 'NO' ELSE 'yes' END isn,
     CASE WHEN p_partkey % 7 = 0 THEN p_type END df, p_partkey ord,

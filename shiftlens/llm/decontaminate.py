@@ -9,7 +9,8 @@ A retrieved pair is a hit if the passage holds at least ``OVERLAP`` of the item'
 question (all but its last sentence) and its answer (the last sentence, or the last third of a single one).
 
 An index holds at most ``ITEMS`` items and is broadcast; a larger benchmark is several indexes, chosen by a hash of the
-item, and the documents are read once for each.
+item, and the documents are read once for each. Item frequencies, lengths and the passages' length are those of the whole
+benchmark, so a score is the same in one index or many.
 
 Defined cases: items that are null or have no word are never hit; equal items are one; null or empty texts have no
 passage; words are runs of letters, digits and non-ASCII bytes, lower-cased in ASCII; of several hits of an item in one
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shiftlens.functions.durable import cut
 from shiftlens.llm.common import map_batches, slices, texts
 from shiftlens.llm.hashing import many_word_hashes, shingle_hashes, space_words
 
@@ -52,6 +54,24 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return " ".join(words[:cut]), " ".join(words[cut:])
 
 
+@dataclass
+class Statistics:
+    """What a score needs to know of the whole benchmark: items with words, their mean and largest length, and in how many items a term is."""
+
+    items: int
+    mean: float
+    longest: int
+    terms: np.ndarray  # sorted word hashes
+    df: np.ndarray
+
+    @staticmethod
+    def of(words: np.ndarray, sizes: np.ndarray) -> Statistics:
+        """Of the items whose words stand one after the other."""
+        pairs = np.unique(np.stack([words, np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)]), axis=1)
+        terms, df = np.unique(pairs[0], return_counts=True)
+        return Statistics(len(sizes), float(sizes.mean()) if len(sizes) else 1.0, int(max(sizes, default=1)), terms, df)
+
+
 @dataclass
 class Index:
     """BM25 impacts of one block of the benchmark."""
@@ -65,16 +85,18 @@ class Index:
     stride: int
 
     @staticmethod
-    def of(items: list[tuple[int, str]]) -> Index:
+    def of(items: list[tuple[int, str]], known: Statistics | None = None) -> Index:
+        """``known`` are the numbers of the whole benchmark, where ``items`` are a part of it."""
         items = sorted((x for x in items if len(many_word_hashes([lowered(x[1])], WORDS)[0])), key=lambda x: (len(x[1]), x))
         words, first = many_word_hashes([lowered(t) for _, t in items], WORDS) if items else (np.empty(0, np.uint64), np.array([0]))
         terms, term = np.unique(words, return_inverse=True)
         size = np.diff(first[: len(items) + 1]) if items else np.empty(0, int)
         count = np.zeros((len(terms), len(items)), np.float32)
         np.add.at(count, (term, np.repeat(np.arange(len(items)), size)), 1)
-        df = (count > 0).sum(axis=1)
-        idf = np.log1p((len(items) - df + 0.5) / (df + 0.5))
-        impact = idf[:, None] * count * (K1 + 1) / (count + K1 * (1 - B + B * size / max(1.0, size.mean() if len(size) else 1.0)))
+        known = known or Statistics.of(words, size)
+        df = known.df[np.searchsorted(known.terms, terms)]
+        idf = np.log1p((known.items - df + 0.5) / (df + 0.5))
+        impact = idf[:, None] * count * (K1 + 1) / (count + K1 * (1 - B + B * size / max(1.0, known.mean)))
         impact = (impact / np.maximum(impact.sum(axis=0), 1e-9)).astype(np.float32)
         order = range(0, len(items), BLOCK)
         block_max = np.stack([impact[:, a : a + BLOCK].max(axis=1) for a in order], axis=1) if items else np.empty((0, 0), np.float32)
@@ -85,7 +107,7 @@ class Index:
             whole = shingle_hashes(np.concatenate(parts), SHINGLE)
             cut = max(0, len(whole) - max(1, len(parts[1]))) if len(parts[1]) else len(whole)
             shingles.append((np.unique(whole[:cut]), np.unique(whole[cut:]), min(SHINGLE, n)))
-        return Index([i for i, _ in items], terms, impact, block_max, impact.max(axis=1) if items else np.empty(0, np.float32), shingles, int(max(size, default=1)))
+        return Index([i for i, _ in items], terms, impact, block_max, impact.max(axis=1) if items else np.empty(0, np.float32), shingles, known.longest)
 
     def rows_of(self, words: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.terms, words), len(self.terms) - 1)
@@ -127,16 +149,37 @@ class Index:
 
 
 def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"):
-    """Indexes of at most about ``ITEMS`` items each, one at a time: only one is in the driver."""
+    """Indexes of at most about ``ITEMS`` items each, one at a time: only one is in the driver.
+
+    Scores do not depend on how many there are: counts, lengths and frequencies are those of all items, and of the
+    frequencies the driver holds those of one index's terms.
+    """
     items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null").distinct()
     blocks = max(1, -(-items.count() // ITEMS))
+    items = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int"))
+    found = cut(map_batches(items.select("part", "text"), _item_terms, "part int, term long, size long"), "item-terms")
+    n, total, longest = found.filter("size > 0").agg(F.count("*"), F.sum("size"), F.max("size")).first()
+    often = cut(found.filter("size is null").groupBy("term").agg(F.count("*").alias("df")), "term-items")
     for k in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        index = Index.of([(r["item_id"], r["text"]) for r in part])
+        part = items.filter(F.col("part") == k).collect()
+        own = found.filter((F.col("part") == k) & F.col("size").isNull()).select("term").distinct().join(often, "term").collect()
+        terms = np.array([r["term"] for r in own], np.int64).view(np.uint64)
+        order = np.argsort(terms)
+        known = Statistics(n, (total or 0) / max(n, 1), longest or 1, terms[order], np.array([r["df"] for r in own], np.int64)[order])
+        index = Index.of([(r["item_id"], r["text"]) for r in part], known)
         if index.ids:
             yield index
 
 
+def _item_terms(batches):
+    """Distinct terms of every item, and its number of words in a row without a term."""
+    for batch in batches:
+        for part, text in zip(batch.column("part").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            words = many_word_hashes([lowered(text)], WORDS)[0]
+            terms = np.unique(words).view(np.int64).tolist()
+            yield [[part] * (len(terms) + 1), [*terms, None], [None] * len(terms) + [len(words)]]
+
+
 def _row_hits(index: Index, batch: pa.RecordBatch, column: str, threshold: float, overlap: float):
     for start, end in slices(batch, column):
         raw = [lowered(x or "") for x in batch.column(column).slice(start, end - start).to_pylist()]

@@ -107,6 +107,19 @@ def test_bounds_lose_no_item_above_the_threshold():
         assert {i for q, i in got if q == p} == set(np.flatnonzero(score >= 0.4).tolist())
 
 
+def test_scores_do_not_depend_on_the_number_of_indexes(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    text = lambda n: " ".join(f"t{x}" for x in rng.integers(0, 300, n)) + "."
+    items = [(i, f"{text(int(rng.integers(12, 60)))} {text(8)}") for i in range(60)] + [(90, "..."), (91, None), (5, "yes")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = [(d, " ".join([text(40), items[d][1], text(25), items[(d * 7) % 60][1]])) for d in range(25)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    one = sorted(map(tuple, decontaminate.contaminated(table, bench).collect()))
+    assert {(r[0], r[1]) for r in one} >= {(d, d) for d in range(25)}
+    monkeypatch.setattr(decontaminate, "ITEMS", 8)
+    assert sorted(map(tuple, decontaminate.contaminated(table, bench).collect())) == one
+
+
 def test_code_lengths_equal_a_plain_tree():
     texts = {"a": ["abab abba", "baab"], "b": ["cdcd dcdc", "abcd"]}
     rows = {k: dict(zip(*(x.tolist() for x in language.gram_counts(v)), strict=True)) for k, v in texts.items()}

@@ -37,6 +37,15 @@ def stored(spark: SparkSession, schema: T.StructType | str, path: str) -> DataFr
         return spark.createDataFrame([], schema)
 
 
+def append(incoming: DataFrame, path: str) -> None:
+    """Append snapshot headers to a Parquet store; writing the same ids again changes nothing.
+
+    For headers alone; ``store.SnapshotStore`` keeps headers and columns together.
+    """
+    held = stored(incoming.sparkSession, incoming.schema, path)
+    new_snapshots(incoming, held).write.mode("append").parquet(path)
+
+
 # --- lookups ----------------------------------------------------------------
 
 

@@ -70,13 +70,17 @@ def table_lookup(columns: DataFrame, table: str) -> DataFrame:
     return columns.where(F.col("table_identifier") == table)
 
 
-def column_lookup(columns: DataFrame, table: str, name: str) -> DataFrame:
-    """First column of that name in that table, per snapshot; none when absent."""
+def column_lookup(columns: DataFrame, table: str, name: str, position: str | None = None) -> DataFrame:
+    """First column of that name in that table, per snapshot; none when absent.
+
+    ``position`` orders repeated rows of one column (table, name, snapshot), of which the last one counts.
+    """
     hit = table_lookup(columns, table).where(F.col("name") == name)
     keys = ["source_identifier", "snapshot_id"]
-    rest = [c for c in columns.columns if c not in (*keys, "ordinal_position")]
-    first = F.min(F.struct("ordinal_position", *rest))
-    return hit.groupBy(*keys).agg(first.alias("__c")).select(*keys, "__c.*")
+    rest = [c for c in columns.columns if c not in (*keys, "ordinal_position", position)]
+    row = F.struct("ordinal_position", *rest)
+    found = F.min(row) if position is None else F.max_by(row, position)
+    return hit.groupBy(*keys).agg(found.alias("__c")).select(*keys, "__c.*")
 
 
 # --- documents --------------------------------------------------------------

@@ -192,16 +192,13 @@ def document_round_trip(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "WITH "
     + o.HISTORY
-    + """SELECT src source_identifier, src || '@' || strftime(d, '%Y-%m-%d') snapshot_id, nm AS name, any_value(CAST(substr(nm, 2) AS INTEGER)) ordinal_position,
-    min((['integer','bigint','numeric(10,2)','text'])[v + 1]) data_type FROM (SELECT *, 'k' || kk nm FROM he) WHERE tbl = 'raw.click' AND nm = 'k3' GROUP BY src, d, nm"""
+    + """SELECT src source_identifier, src || '@' || strftime(d, '%Y-%m-%d') snapshot_id, nm AS name, CAST(substr(nm, 2) AS INTEGER) ordinal_position, ty data_type, nl nullable
+    FROM hc WHERE tbl = 'raw.click' AND nm = 'k3'"""
 )
 def column_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """One column in every snapshot, out of all stored rows; repeated rows of a column are told apart by their fields."""
-    columns = derive.history_columns(spark, d).drop("position", "captured_at").select(
-        "source_identifier", "snapshot_id", "table_identifier", "ordinal_position", "name", "data_type"
-    )
-    found = snapshots.column_lookup(columns, "raw.click", "k3")
-    return found.select("source_identifier", "snapshot_id", "name", "ordinal_position", "data_type")
+    """One column in every snapshot, out of all stored rows; of a column's repeated rows the last one counts."""
+    found = snapshots.column_lookup(derive.history_columns(spark, d), "raw.click", "k3", "position")
+    return found.select("source_identifier", "snapshot_id", "name", "ordinal_position", "data_type", "nullable")
 
 
 @query(

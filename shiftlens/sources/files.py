@@ -55,7 +55,7 @@ def lake_columns(spark: SparkSession, folder: str, table: Column | None = None,
     """Catalogue rows of every Parquet file under ``folder``; footers are read on the executors.
 
     The listing is a DataFrame of paths, the file bytes are never loaded by Spark, and each
-    task opens only the footers of its own paths.
+    task opens only the footers of its own paths. The files of a folder named ``x.parquet`` are the table ``x``.
     """
     paths = (
         spark.read.format("binaryFile")
@@ -65,7 +65,8 @@ def lake_columns(spark: SparkSession, folder: str, table: Column | None = None,
         .select("path", "length")
     )
     if table is None:
-        table = F.regexp_extract("path", r"([^/]+?)(?:/[^/]+=[^/]+)*/?(?:part-[^/]*)?\.parquet$", 1)
+        folder_name = F.nullif(F.regexp_extract("path", r"^.*/([^/]+)\.parquet/", 1), F.lit(""))
+        table = F.coalesce(folder_name, F.regexp_extract("path", r"([^/]+?)(?:/[^/]+=[^/]+)*/?(?:part-[^/]*)?\.parquet$", 1))
     listed = paths.select(F.regexp_replace("path", "^file:/+", "file:///").alias("path"))
     listed = listed.withColumn("table_identifier", table)
     listed = listed.repartition(tasks) if tasks else listed.repartition("path")

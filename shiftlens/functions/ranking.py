@@ -41,9 +41,14 @@ def ordered_rank(
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_set("__spot")).alias("__marks"))
     )
-    placed = df.join(marks, keys, "left").withColumn(
-        "__piece", F.expr("coalesce(size(filter(__marks, m -> m <= __spot)), 0)")
-    )
+    # how many marks are not above a row, by halving
+    piece = """aggregate(
+        sequence(1, cast(ceil(log2(size(__marks) + 1)) as int)), named_struct('lo', 0, 'hi', size(__marks)),
+        (a, i) -> if(a.lo >= a.hi, a, if(get(__marks, cast((a.lo + a.hi) div 2 as int)) <= __spot,
+            named_struct('lo', cast((a.lo + a.hi) div 2 as int) + 1, 'hi', a.hi),
+            named_struct('lo', a.lo, 'hi', cast((a.lo + a.hi) div 2 as int)))),
+        a -> a.lo)"""
+    placed = df.join(marks, keys, "left").withColumn("__piece", F.coalesce(F.expr(piece), F.lit(0)))
     by_piece = (
         placed.where(F.col("__marks").isNotNull())
         .groupBy(*keys, "__piece")

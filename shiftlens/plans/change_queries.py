@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shiftlens.functions import types as ty
-from shiftlens.functions.durable import new_path
+from shiftlens.functions.durable import cut, new_path
 from shiftlens.operators import classify, diff, snapshots, store
 from shiftlens.operators.metrics import event_counters
 from shiftlens.plans import derive
@@ -74,7 +74,8 @@ def ordered_changes(spark: SparkSession, d: str) -> DataFrame:
     ordered = diff.change_order(derive.pair_changes(spark, d)).select(
         "source_identifier", "table_identifier", F.coalesce("name", F.lit("")).alias("name"), "kind", "change_order"
     )
-    return ordered_rank(ordered, ["source_identifier"], ["change_order"], "change_seq").drop("change_order")
+    # ranking reads its rows several times
+    return ordered_rank(cut(ordered, "ordered"), ["source_identifier"], ["change_order"], "change_seq").drop("change_order")
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from shiftlens.functions import durable
 from shiftlens.operators import column_lineage, lineage, snapshots
-from shiftlens.plans import source_queries
+from shiftlens.plans import change_queries, source_queries
 
 
 def test_last_of_repeated_rows_is_looked_up(spark):
@@ -60,3 +60,8 @@ def test_rounds_of_reach_do_not_move_the_links(spark):
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
     assert graph.links.count() == 2000 and graph.names().count() == 2001
+
+
+def test_changes_are_computed_once_before_they_are_ranked(spark):
+    plan = change_queries.ordered_changes(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan and "l_orderkey" not in plan

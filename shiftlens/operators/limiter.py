@@ -1,19 +1,20 @@
-"""Trailing-window rate limit, exact, on a bounded number of rows for each window of time.
+"""Trailing-window rate limit, exact, on a bounded number of rows for each task.
 
 An event is let through while fewer than N events let through before it lie within the last W
 seconds (an event exactly W old still counts). What a window holds depends on the one before, so
 the fold over time is a chain; it takes at most N steps a window, because each step jumps to the
-next event let through. Two things keep it from reading every event:
+next event let through. Three things keep a task from reading every event:
 
-* time is cut into cells, ``PIECES`` a window. A cell holds at most N events let through, and nothing let
-  through in it expires in it, so its first N + 1 rows (kept per task before the shuffle) are all it
-  can need, unless a place in the window falls free inside the cell, after the last row kept;
-* such cells are found by the fold itself. All of them, of all scopes, are cut ``PIECES`` times finer and folded
-  again. The earliest one of a scope is exact one level later and a cell of one microsecond never
-  needs more, so the rounds end; without crowded cells the first round is the last.
+* of the rows of one microsecond only the first N + 1 are kept (per task before the shuffle);
+* stretches between empty windows are independent and folded apart;
+* a stretch is cut into chunks of whole windows, about ``pieces * ROWS`` rows each. Round k folds chunk k of every
+  stretch, beginning with the last N times let through before it, so each round is exact and nothing is folded twice.
+
+A window with more rows than that is a chunk of its own. Nothing let through in it expires in it, so all the times at
+which a place falls free in it are known from the round before: the first N rows after each of them are all it can
+need, and tasks pick them before the fold. Rounds are as many as the longest stretch has chunks: in proportion to its rows, and
+at most one a window.
 
-A fold reads at most (N + 1) * PIECES rows a window, and as many more for each cell cut finer, sorted and in
-batches; its memory is one batch. Stretches between empty windows are independent and folded apart.
 Whether any other event meets a full window is then an equi-join with at most 2N rows per bucket.
 
 Rows with equal scope, time and id are one event.
@@ -26,12 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from shiftlens.functions.durable import cut
+from shiftlens.functions.durable import cut, new_path
 
-PIECES = 256
+PIECES, ROWS = 256, 4096  # a fold reads about so many times so many rows
 _MICROS = 1_000_000
 _NEVER = -(2**62)
 
@@ -42,36 +43,19 @@ class Slots:
     def __init__(self, n: int, width: int, taken: list[int] | None = None) -> None:
         self.width = width
         self.taken = deque(taken or [], maxlen=n)
-        self.before = (0, _NEVER, -1)  # time of the row before, to what time rows after it may be missing, its level
 
     def free(self) -> int:
         """A row is let through if its time is above this one."""
         return self.taken[0] + self.width if len(self.taken) == self.taken.maxlen else _NEVER
 
-    def _doubt(self, row: tuple[int, int, int]) -> list[tuple[int, int]]:
-        return [(row[0], row[2])] if row[1] > self.free() else []
-
-    def walk(self, times: np.ndarray, missing: np.ndarray | None = None, levels: np.ndarray | None = None) -> tuple[list[int], list[tuple[int, int]]]:
-        """Places let through, and the rows (time, level) after which one that was left out may have been.
-
-        ``missing`` is, for each row, the time up to which rows after it may have been left out.
-        """
-        passed, doubts, at = [], [], 0
-        while True:
-            i = max(at, int(np.searchsorted(times, self.free(), "right")))
-            if i >= len(times):
-                break
-            if missing is not None:
-                doubts += self._doubt((int(times[i - 1]), int(missing[i - 1]), int(levels[i - 1])) if i else self.before)
+    def walk(self, times: np.ndarray) -> list[int]:
+        """Places let through."""
+        passed, at = [], 0
+        while (i := max(at, int(np.searchsorted(times, self.free(), "right")))) < len(times):
             passed.append(i)
             self.taken.append(int(times[i]))
             at = i + 1
-        if missing is not None and len(times):
-            self.before = (int(times[-1]), int(missing[-1]), int(levels[-1]))
-        return passed, doubts
-
-    def end(self) -> list[tuple[int, int]]:
-        return self._doubt(self.before)
+        return passed
 
 
 def _widths(width: int, pieces: int) -> list[int]:
@@ -82,30 +66,17 @@ def _widths(width: int, pieces: int) -> list[int]:
     return out
 
 
-def _width_of(level: Column, widths: list[int]) -> Column:
-    return F.get(F.array(*[F.lit(w).cast("long") for w in widths]), level)
-
-
-def _first(rows: DataFrame, n: int, level: int, width: int) -> DataFrame:
-    """First n + 1 rows of every cell; the last of them carries the level, as more may follow."""
-    cell = F.floor(F.col("t") / F.lit(width))
+def _first(rows: DataFrame, n: int, start: int, width: int) -> DataFrame:
+    """First n + 1 rows of every cell; cells are counted from ``start``."""
+    cell = F.floor((F.col("t") - start) / F.lit(width))
     place = F.dense_rank().over(Window.partitionBy("scope", "__cell").orderBy("t", "id"))
     kept = rows.withColumn("__cell", cell).withColumn("__n", place).where(F.col("__n") <= n + 1)
-    return kept.select("scope", "t", "id", F.when(F.col("__n") == n + 1, F.lit(level)).alias("level"))
+    return kept.groupBy("scope", "__cell", "t", "id").agg(F.lit(False).alias("earlier")).drop("__cell")
 
 
-def _chain(n: int, width: int, widths: list[int], schema: T.StructType):
+def _chain(n: int, width: int, schema: T.StructType):
     """Fold of rows sorted by (scope, stretch, earlier first, time, id), batch by batch."""
     arrow = to_arrow_schema(schema)
-    step = np.array(widths, np.int64)
-
-    def found(scope, times, ids, levels) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([scope] * len(times), arrow.field(0).type), pa.array(times, pa.int64()), ids, pa.array(levels, pa.int32())], schema=arrow
-        )
-
-    def in_doubt(scope, doubts) -> pa.RecordBatch:
-        return found(scope, [t for t, _ in doubts], pa.nulls(len(doubts), arrow.field(2).type), [k for _, k in doubts])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, slots = None, Slots(n, width)
@@ -113,61 +84,58 @@ def _chain(n: int, width: int, widths: list[int], schema: T.StructType):
             scopes, stretches = batch.column("scope").to_pylist(), batch.column("stretch").to_numpy()
             times = batch.column("t").to_numpy()
             earlier = batch.column("earlier").to_numpy(zero_copy_only=False).astype(bool)
-            level = batch.column("level").fill_null(-1).to_numpy()
-            cell = step[np.maximum(level, 0)]
-            missing = np.where(level < 0, _NEVER, (times // cell + 1) * cell - 1)
             turn = [0, *(i for i in range(1, len(scopes)) if stretches[i] != stretches[i - 1] or scopes[i] != scopes[i - 1]), len(scopes)]
+            passed = []
             for a, b in zip(turn, turn[1:]):
                 if a == b:
                     continue
                 if key != (scopes[a], stretches[a]):
-                    if key and (doubts := slots.end()):
-                        yield in_doubt(key[0], doubts)
                     key, slots = (scopes[a], stretches[a]), Slots(n, width)
                 old = int(earlier[a:b].sum())
                 slots.taken.extend(times[a : a + old].tolist())
-                passed, doubts = slots.walk(times[a + old : b], missing[a + old : b], level[a + old : b])
-                if passed:
-                    at = np.array(passed) + a + old
-                    yield found(key[0], times[at], batch.column("id").take(pa.array(at)), pa.nulls(len(at), pa.int32()))
-                if doubts:
-                    yield in_doubt(key[0], doubts)
-        if key and (doubts := slots.end()):
-            yield in_doubt(key[0], doubts)
+                passed += [i + a + old for i in slots.walk(times[a + old : b])]
+            if passed:
+                yield batch.select(schema.names).take(pa.array(passed)).cast(arrow)
 
     return run
 
 
-def _folded(kept: DataFrame, prior: DataFrame | None, n: int, width: int, widths: list[int]) -> DataFrame:
-    """(scope, t, id, level): rows let through, and with a level the rows whose cell has to be cut finer."""
-    id_type = kept.schema["id"].dataType
-    rows = kept.withColumn("earlier", F.lit(False))
-    if prior is not None:
-        recent = Window.partitionBy("scope").orderBy(F.desc("t"))
-        newest = prior.withColumn("__n", F.row_number().over(recent)).where(F.col("__n") <= n)
-        nothing = [F.lit(None).cast(id_type).alias("id"), F.lit(None).cast("int").alias("level")]
-        rows = rows.unionByName(newest.select("scope", "t", *nothing, F.lit(True).alias("earlier")))
-    rows = rows.withColumn("bucket", F.floor(F.col("t") / width))
+def _folded(rows: DataFrame, before: DataFrame, n: int, width: int) -> DataFrame:
+    """(scope, stretch, t, id) let through of one chunk of each stretch, after the times (scope, stretch, t) ``before`` it."""
+    names = ["scope", "stretch", "t", "id"]
+    old = before.select("scope", "stretch", "t", F.lit(None).cast(rows.schema["id"].dataType).alias("id"), F.lit(True).alias("earlier"))
+    ready = rows.select(*names, F.lit(False).alias("earlier")).unionByName(old)
+    ready = ready.repartition("scope", "stretch").sortWithinPartitions("scope", "stretch", F.desc("earlier"), "t", "id")
+    schema = T.StructType([T.StructField(c, rows.schema[c].dataType) for c in names])
+    return ready.mapInArrow(_chain(n, width, schema), schema)
+
+
+def _newest(times: DataFrame, n: int, *keys: str) -> DataFrame:
+    """The n newest rows of each key."""
+    return times.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("t")))).where(F.col("__n") <= n).drop("__n")
+
+
+def _needed(rows: DataFrame, before: DataFrame, n: int, width: int) -> DataFrame:
+    """Rows of single windows that may be let through: the first n after each time at which a place falls free."""
+    taken = before.groupBy("scope", "stretch").agg(F.collect_list("t").alias("__taken"))
+    free = F.expr(f"coalesce(size(filter(__taken, x -> x + {width} < t)), 0)")
+    place = F.row_number().over(Window.partitionBy("scope", "stretch", "__free").orderBy("t", "id"))
+    met = rows.join(taken, ["scope", "stretch"], "left").withColumn("__free", free)
+    return met.withColumn("__n", place).where(F.col("__n") <= n).select(*rows.columns)
+
+
+def _chunks(rows: DataFrame, width: int, most: int) -> DataFrame:
+    """(scope, bucket, stretch, chunk, crowded), a row for each window of time that has rows."""
+    windows = rows.groupBy("scope", "bucket").agg(F.count(F.lit(1)).alias("n"))
     by_time = Window.partitionBy("scope").orderBy("bucket")
-    gap = F.when(F.col("bucket") - F.lag("bucket").over(by_time) > 1, 1).otherwise(0)
-    stretches = rows.select("scope", "bucket").distinct().withColumn("gap", gap)
-    stretches = stretches.select("scope", "bucket", F.sum("gap").over(by_time).alias("stretch"))
-    placed = rows.join(stretches, ["scope", "bucket"]).select("scope", "stretch", "t", "id", "level", "earlier")
-    ready = placed.repartition("scope", "stretch").sortWithinPartitions("scope", "stretch", F.desc("earlier"), "t", "id")
-    schema = T.StructType([*kept.select("scope", "t", "id").schema.fields, T.StructField("level", T.IntegerType())])
-    return ready.mapInArrow(_chain(n, width, widths, schema), schema)
-
-
-def _finer(kept: DataFrame, rows: DataFrame, cells: DataFrame, n: int, widths: list[int], levels: list[int]) -> DataFrame:
-    """Kept rows with the named cells cut into cells of the next level."""
-    at = kept.withColumn("cell", F.floor(F.col("t") / _width_of(F.col("level"), widths)))
-    known = at.join(cells.withColumn("__met", F.lit(True)), ["scope", "level", "cell"], "left")
-    out = known.select("scope", "t", "id", F.when(F.col("__met").isNull(), F.col("level")).alias("level"))
-    for level in levels:
-        here = cells.where(F.col("level") == level).select("scope", F.col("cell").alias("__at"))
-        inside = rows.withColumn("__at", F.floor(F.col("t") / F.lit(widths[level]))).join(here, ["scope", "__at"], "left_semi")
-        out = out.unionByName(_first(inside.select("scope", "t", "id"), n, level + 1, widths[level + 1]))
-    return out.groupBy("scope", "t", "id").agg(F.max("level").alias("level"))
+    windows = windows.withColumn("gap", F.when(F.col("bucket") - F.lag("bucket").over(by_time) > 1, 1).otherwise(0))
+    windows = windows.withColumn("stretch", F.sum("gap").over(by_time)).withColumn("crowded", F.col("n") > most)
+    inside = Window.partitionBy("scope", "stretch").orderBy("bucket")
+    above = F.floor((F.sum("n").over(inside) - F.col("n")) / most)
+    windows = windows.withColumn("above", above)
+    turns = (F.col("above") != F.lag("above").over(inside)) | F.col("crowded") | F.lag("crowded").over(inside)
+    windows = windows.withColumn("turn", F.when(F.row_number().over(inside) == 1, 0).when(turns, 1).otherwise(0))
+    return windows.select("scope", "bucket", "stretch", F.sum("turn").over(inside).alias("chunk"), "crowded")
 
 
 def admit(candidates: DataFrame, n: int, width: int, prior: DataFrame | None = None, pieces: int = PIECES) -> DataFrame:
@@ -175,19 +143,30 @@ def admit(candidates: DataFrame, n: int, width: int, prior: DataFrame | None = N
 
     ``prior`` holds (scope, t) let through before the first candidate.
     """
-    rows, widths = candidates.select("scope", "t", "id"), _widths(width, pieces)
-    kept = cut(_first(rows, n, 0, widths[0]).groupBy("scope", "t", "id").agg(F.max("level").alias("level")), "first-rows")
-    stored = False
-    while True:
-        found = cut(_folded(kept, prior, n, width, widths), "folded")
-        doubts = found.where(F.col("level").isNotNull())
-        cells = doubts.select("scope", "level", F.floor(F.col("t") / _width_of(F.col("level"), widths)).alias("cell")).distinct()
-        levels = sorted(r["level"] for r in doubts.select("level").distinct().collect())
-        if not levels:
-            return found.select("scope", "t", "id")
-        if not stored:
-            rows, stored = cut(rows, "candidates"), True
-        kept = cut(_finer(kept, rows, cells, n, widths, levels), "finer-rows")
+    spark = candidates.sparkSession
+    rows = _first(candidates.select("scope", "t", "id"), n, 0, _widths(width, pieces)[-1])
+    if prior is not None:
+        newest = _newest(prior.select("scope", "t"), n, "scope")
+        rows = rows.unionByName(newest.withColumns({"id": F.lit(None).cast(rows.schema["id"].dataType), "earlier": F.lit(True)}))
+    rows = cut(rows.withColumn("bucket", F.floor(F.col("t") / width)), "candidates")
+    chunks = cut(_chunks(rows, width, pieces * ROWS), "chunks")
+    rounds = chunks.groupBy("chunk").agg(F.bool_or("crowded").alias("crowded")).orderBy("chunk").collect()
+    placed = rows.join(chunks, ["scope", "bucket"])
+    before = prior_times = placed.where("earlier").select("scope", "stretch", "t")
+    rows = placed.where(~F.col("earlier")).select("scope", "stretch", "t", "id", "chunk", "crowded")
+    if len(rounds) > 1:
+        path = new_path(spark, "chunks")
+        rows.repartitionByRange("chunk", "t").write.partitionBy("chunk").parquet(path)
+        rows = spark.read.schema(rows.schema).parquet(path)
+    found, path = rows.select("scope", "stretch", "t", "id").limit(0), new_path(spark, "let-through")
+    for r in rounds:
+        here = rows.where(F.col("chunk") == r["chunk"])
+        if r["crowded"]:
+            here = here.where(~F.col("crowded")).unionByName(_needed(here.where("crowded"), before, n, width))
+        _folded(here, before, n, width).write.mode("append").parquet(path)
+        found = spark.read.schema(found.schema).parquet(path)
+        before = _newest(prior_times.unionByName(found.select("scope", "stretch", "t")), n, "scope", "stretch")
+    return found.select("scope", "t", "id")
 
 
 def rate_limit(

@@ -25,7 +25,7 @@ def judge_cell(slots: Slots, times: np.ndarray, takes: np.ndarray) -> np.ndarray
     """Which of the rows, sorted by (time, id), meet a full window; the ones that take a place are let through."""
     n, earlier = slots.taken.maxlen, np.array(slots.taken, np.int64)
     takers = np.flatnonzero(takes)
-    passed, _ = slots.walk(times[takers])
+    passed = slots.walk(times[takers])
     let = np.zeros(len(times), np.int64)
     let[takers[passed]] = 1
     all_times = np.concatenate([earlier, times[takers[passed]]])

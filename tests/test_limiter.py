@@ -105,3 +105,34 @@ def test_repeated_events_and_no_events(spark):
     judged, _ = rate_limit(df, "takes", scope="scope_name", max_events=2, window_seconds=60)
     assert sorted((r.event_id, r.rate_limited) for r in judged.collect()) == [(1, False)] * 4 + [(2, False), (3, True)]
     assert rate_limit(df.limit(0), "takes")[0].count() == 0
+
+
+@pytest.mark.parametrize("seed,limit,rows_a_piece", [(1, 3, 1), (2, 1, 4), (3, 7, 40)])
+def test_chunks_of_a_stretch_are_folded_once_each(spark, monkeypatch, seed, limit, rows_a_piece):
+    """Dense and thin windows in turn: windows above the limit of a chunk, and chunks of many windows; no round is repeated."""
+    rng = random.Random(seed)
+    rows, t = [], 0
+    for i in range(3000):
+        t += rng.choice([10, 200, 5_000, 40_000] if i // 600 % 2 else [3_000_000, 9_000_000])
+        rows.append((f"s{rng.randrange(2)}", t, i, rng.random() < 0.9))
+    df = spark.createDataFrame(rows, "scope_name string, us long, event_id long, takes boolean").selectExpr(
+        "scope_name", "timestamp_micros(us) detected_at", "event_id", "takes"
+    )
+    monkeypatch.setattr(limiter, "ROWS", rows_a_piece)
+    folds, folded = [], limiter._folded
+    monkeypatch.setattr(limiter, "_folded", lambda *a: folds.append(1) or folded(*a))
+    judged, _ = rate_limit(df, "takes", scope="scope_name", max_events=limit, window_seconds=60, pieces=8)
+    assert {r.event_id: r.rate_limited for r in judged.collect()} == _fold(rows, limit, 60_000_000)
+    windows = {(r[0], r[1] // 60_000_000) for r in rows}
+    assert 1 < len(folds) <= max(sum(w[0] == s for w in windows) for s in ("s0", "s1"))
+
+
+def test_a_saturated_limit_takes_rounds_by_rows_only(spark, monkeypatch):
+    """A full window every minute, every place falling free among other rows: one chunk is one fold."""
+    df = spark.range(20_000).selectExpr("timestamp_micros(id * 137001) detected_at", "id event_id", "true takes")
+    folds, folded = [], limiter._folded
+    monkeypatch.setattr(limiter, "_folded", lambda *a: folds.append(1) or folded(*a))
+    judged, _ = rate_limit(df, "takes", max_events=5, window_seconds=60, pieces=8)
+    rows = [("global", i * 137001, i, True) for i in range(20_000)]
+    assert {r.event_id: r.rate_limited for r in judged.collect()} == _fold(rows, 5, 60_000_000)
+    assert len(folds) == 1

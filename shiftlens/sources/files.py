@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from shiftlens.schemas import SCENARIO
 
@@ -80,6 +80,11 @@ def read_scenarios(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCENARIO).option("multiLine", "true").json(path)
 
 
+def scenarios_of(documents: DataFrame) -> DataFrame:
+    """The scenarios of the lists in ``text``, a row each."""
+    return documents.select(F.explode(F.from_json("text", T.ArrayType(SCENARIO))).alias("s")).select("s.*")
+
+
 def scenario_changes(scenarios: DataFrame) -> DataFrame:
     """One raw change per row, numbered as in the scenario."""
     return scenarios.select(
@@ -101,14 +106,29 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("wholetext", "true").text(path).withColumnRenamed("value", "text")
 
 
+def write_bundles(docs: DataFrame, path: str) -> None:
+    """Documents (text, and columns that name them) as lines of a few files: a file each costs more than all work on a small document."""
+    docs.write.json(path)
+
+
+def read_bundles(spark: SparkSession, path: str, *names: str) -> DataFrame:
+    """(text, names): the documents of :func:`write_bundles`, as :func:`read_documents` gives those of a file each."""
+    return spark.read.schema(", ".join(f"`{c}` string" for c in ("text", *names))).json(path)
+
+
 # --- dashboard cards --------------------------------------------------------
 
 _CARD = "struct<id:string,name:string,dataset_query:struct<native:struct<query:string>>>"
 
 
 def read_cards(spark: SparkSession, path: str) -> DataFrame:
-    """Card exports, one list of cards a file -> (id, name, sql). A document that is no list has no cards, nor have items that are no objects."""
-    lists = read_documents(spark, path).where(F.col("text").rlike(r"^\s*\["))
+    """Card exports, one list of cards a file -> (id, name, sql)."""
+    return cards_of(read_documents(spark, path))
+
+
+def cards_of(documents: DataFrame) -> DataFrame:
+    """(id, name, sql) of the cards in ``text``. A document that is no list has no cards, nor have items that are no objects."""
+    lists = documents.where(F.col("text").rlike(r"^\s*\["))
     items = lists.select(F.explode(F.from_json("text", "array<string>")).alias("item")).where(F.col("item").startswith("{"))
     cards = items.select(F.from_json("item", _CARD).alias("c"))
     return cards.select("c.id", "c.name", F.col("c.dataset_query.native.query").alias("sql"))
@@ -130,17 +150,15 @@ def read_manifests(spark: SparkSession, path: str) -> DataFrame:
 
 def manifest_entries(manifests: DataFrame) -> DataFrame:
     """(project, section, ord, node_id, entry) from (project, text) rows, in manifest order."""
-    parsed = manifests.select("project", F.from_json("text", _MANIFEST).alias("m"))
-    parts = [
-        parsed.select(
-            "project", F.lit(s).alias("section"), F.posexplode(F.map_entries(f"m.{s}")).alias("ord", "__kv")
+    def section(name: str) -> Column:
+        return F.transform(
+            F.map_entries(f"m.{name}"),
+            lambda kv, i: F.struct(F.lit(name).alias("section"), i.alias("ord"), kv["key"].alias("node_id"), kv["value"].alias("entry")),
         )
-        for s in ("nodes", "sources", "exposures")
-    ]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return rows.select(
-        "project", "section", "ord", F.col("__kv.key").alias("node_id"), F.col("__kv.value").alias("entry")
-    )
+
+    parsed = manifests.select("project", F.from_json("text", _MANIFEST).alias("m"))
+    sections = F.flatten(F.array_compact(F.array(*[section(s) for s in ("nodes", "sources", "exposures")])))
+    return parsed.select("project", F.explode(sections).alias("__e")).select("project", "__e.*")
 
 
 def lineage_nodes(entries: DataFrame) -> DataFrame:

@@ -173,14 +173,17 @@ def classify_batch(
 # --- after classification ---------------------------------------------------
 
 
+def event_order() -> Column:
+    """The smallest is the most severe event, and among those the one emitted first."""
+    return F.struct((-severity_rank(F.col("severity"))).alias("r"), "emission", "identifier", "change_type", "severity")
+
+
 def top_event(events: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Most severe event per key; ties go to the one emitted first.
 
     ``min`` of (negated rank, emission) combines map-side, so a hot key costs one row per task.
     """
-    best = F.min(
-        F.struct((-severity_rank(F.col("severity"))).alias("r"), "emission", "identifier", "change_type", "severity")
-    )
+    best = F.min(event_order())
     return events.groupBy(*keys).agg(best.alias("__b")).select(
         *keys, "__b.identifier", "__b.change_type", "__b.severity"
     )

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shiftlens.operators.classify import classify_batch, top_event
+from shiftlens.operators.classify import classify_batch, event_order, top_event
 
 # Residues of the hashed id that are held out, label of "no prediction".
 HELD_OUT = (7, 8, 9)
@@ -51,21 +51,55 @@ def _first_hit(scenarios: DataFrame, changes: DataFrame, severity: Column) -> Da
     return _predict(scenarios, first.withColumn("predicted_change_type", F.lit("unknown")))
 
 
-def value_test_baseline(scenarios: DataFrame, changes: DataFrame) -> DataFrame:
-    """Value tests see a missing or changed column but cannot name the change."""
+def _value_severity() -> Column:
     kind = F.col("kind")
-    return _first_hit(scenarios, changes, F.when(kind == "removed", "high").when(kind == "modified", "medium"))
+    return F.when(kind == "removed", "high").when(kind == "modified", "medium")
 
 
-def model_test_baseline(scenarios: DataFrame, changes: DataFrame) -> DataFrame:
-    """Model tests see a missing column, a tightened one, or a changed type name."""
+def _model_severity() -> Column:
     kind, b, a = F.col("kind"), F.col("column_before"), F.col("column_after")
     plain = lambda c: F.substring_index(c["data_type"], "(", 1)
-    severity = F.when(kind == "removed", "high").when(
+    return F.when(kind == "removed", "high").when(
         kind == "modified",
         F.when(b["nullable"] & ~a["nullable"], "medium").when(plain(b) != plain(a), "high"),
     )
-    return _first_hit(scenarios, changes, severity)
+
+
+def value_test_baseline(scenarios: DataFrame, changes: DataFrame) -> DataFrame:
+    """Value tests see a missing or changed column but cannot name the change."""
+    return _first_hit(scenarios, changes, _value_severity())
+
+
+def model_test_baseline(scenarios: DataFrame, changes: DataFrame) -> DataFrame:
+    """Model tests see a missing column, a tightened one, or a changed type name."""
+    return _first_hit(scenarios, changes, _model_severity())
+
+
+def all_methods(scenarios: DataFrame, changes: DataFrame, **rank_options: int) -> DataFrame:
+    """``rule``, ``value_test`` and ``model_test`` of every scenario, as the three functions give them, in one grouping by scenario."""
+    events = classify_batch(changes, ["scenario_id", "table_identifier"], ["position"], **rank_options)
+
+    def hit(name: str, severity: Column) -> Column:
+        return F.when(severity.isNotNull() & F.col("position").isNotNull(), F.struct("position", severity.alias("s"))).alias(name)
+
+    expected = scenarios.select("scenario_id", F.struct("expected_change_type", "expected_severity").alias("e"))
+    rows = (
+        expected.unionByName(events.select("scenario_id", event_order().alias("rule")), allowMissingColumns=True)
+        .unionByName(changes.select("scenario_id", hit("value", _value_severity()), hit("model", _model_severity())), allowMissingColumns=True)
+    )
+    found = rows.groupBy("scenario_id").agg(F.collect_list("e").alias("e"), *[F.min(c).alias(c) for c in ("rule", "value", "model")])
+
+    def method(name: str, change_type: Column, severity: Column) -> Column:
+        return F.struct(F.lit(name).alias("method"), change_type.alias("predicted_change_type"), severity.alias("predicted_severity"))
+
+    unnamed = lambda c: F.when(F.col(c).isNotNull(), F.lit("unknown"))
+    methods = F.array(
+        method("rule", F.col("rule.change_type"), F.col("rule.severity")),
+        method("value_test", unnamed("value"), F.col("value.s")),
+        method("model_test", unnamed("model"), F.col("model.s")),
+    )
+    each = found.withColumn("e", F.explode("e")).select("scenario_id", "e.*", F.explode(methods).alias("m"))
+    return each.select("scenario_id", "expected_change_type", "expected_severity", "m.predicted_change_type", "m.predicted_severity", "m.method")
 
 
 # --- scores -----------------------------------------------------------------

@@ -37,14 +37,7 @@ _RESULTS = o.changes(
 
 def _results(spark: SparkSession, d: str) -> DataFrame:
     expected, changes = derive.scenarios(spark, d)
-    expected, changes = cut(expected, "expected"), cut(changes, "scenario-changes")
-    methods = {
-        "rule": evaluate.rule_method(expected, changes),
-        "value_test": evaluate.value_test_baseline(expected, changes),
-        "model_test": evaluate.model_test_baseline(expected, changes),
-    }
-    rows = [df.withColumn("method", F.lit(name)) for name, df in methods.items()]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+    return evaluate.all_methods(expected, changes)
 
 
 @query(f"SELECT doc_id, {_HELD.format('CAST(doc_id AS VARCHAR)')} held_out FROM documents")

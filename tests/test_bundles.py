@@ -2,7 +2,8 @@
 
 import os
 
-from shiftlens.plans import source_queries as q
+from shiftlens.operators import evaluate
+from shiftlens.plans import derive, source_queries as q
 from shiftlens.sources import files
 
 
@@ -21,3 +22,18 @@ def test_entries_of_a_manifest_without_a_section(spark):
     rows = files.manifest_entries(spark.createDataFrame([("p", text), ("q", "{}")], "project string, text string"))
     assert sorted((r.project, r.section, r.ord, r.node_id) for r in rows.collect()) == [("p", "exposures", 0, "e"), ("p", "nodes", 0, "b"), ("p", "nodes", 1, "a")]
     assert sorted((r.src, r.dst, r.pos) for r in files.lineage_edges(rows).collect()) == [("b", "a", 0), ("s", "a", 1)]
+
+
+def test_all_methods_are_the_three_methods_and_the_diff_runs_once(spark, monkeypatch):
+    runs, inner = [], derive.cut
+    monkeypatch.setattr(derive, "cut", lambda *a: runs.append(1) or inner(*a))
+    expected, changes = derive.scenarios(spark, "/root/testdata/sf0.001")
+    assert len(runs) == 1 and all("scenario-changes" in f for f in changes.inputFiles())
+    expected = expected.unionByName(expected.limit(3)).unionByName(spark.sql("select 'other' scenario_id, null expected_change_type, 'low' expected_severity"))
+    expected = inner(expected.unionByName(expected.limit(0)))
+    separate = [
+        f(expected, changes).selectExpr("*", f"'{name}' method")
+        for name, f in (("rule", evaluate.rule_method), ("value_test", evaluate.value_test_baseline), ("model_test", evaluate.model_test_baseline))
+    ]
+    want = sorted((tuple(r) for df in separate for r in df.collect()), key=str)
+    assert sorted(map(tuple, evaluate.all_methods(expected, changes).collect()), key=str) == want

@@ -56,6 +56,24 @@ def bucketed(df: DataFrame, key: str, label: str, last: Callable[[DataFrame], Da
     return spark.table(name)
 
 
+#: Partitions of :func:`spread`: so many times the session's, but not more than a map task writes without sorting its rows first
+#: (``spark.shuffle.sort.bypassMergeThreshold``).
+FINER, UNSORTED = 8, 200
+
+
+DEAL = "__deal"
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of one key together, in more and so smaller partitions than the session's, for wide rows that a task must sort.
+
+    Adds ``DEAL``, a hash of the keys. An aggregate by it and the keys needs no other exchange, so nothing is sorted
+    before this one; as its first column it also makes that sort one of numbers. A key may be constant.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.withColumn(DEAL, F.xxhash64(*keys)).repartition(max(parts, min(FINER * parts, UNSORTED)), DEAL)
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Checkpoint a narrow control table (one row per scope, stretch, ...) in the same folder."""
     shared_dir(df.sparkSession)

@@ -2,7 +2,8 @@
 
 Every row is emitted for its own step and for the step after it, then grouped by
 (source, step, table, name). A group holds the two versions of one column, so no key is
-hot however large a source, table or snapshot is, and copies are collapsed before the shuffle.
+hot however large a source, table or snapshot is. Specs are wide and their maximum needs sorted rows, so rows are
+dealt to many small partitions first and sorted once, there.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from shiftlens.functions.durable import DEAL, spread
 from shiftlens.schemas import SPEC_FIELDS, spec_struct
 
 # Order of change kinds within one step; column kinds are then ordered per table.
@@ -45,9 +47,10 @@ def _steps_of(df: DataFrame, sequenced: DataFrame) -> DataFrame:
 
 def table_presence(sided: DataFrame) -> DataFrame:
     """(step, table, in_prev, in_curr) from sided table rows."""
-    return sided.groupBy(*STEP, "table_identifier").agg(
+    key = [*STEP, "table_identifier"]
+    return spread(sided.select(*key, "is_curr"), *key).groupBy(DEAL, *key).agg(
         F.bool_or(~F.col("is_curr")).alias("in_prev"), F.bool_or("is_curr").alias("in_curr")
-    )
+    ).drop(DEAL)
 
 
 def table_changes(presence: DataFrame) -> DataFrame:
@@ -59,10 +62,11 @@ def table_changes(presence: DataFrame) -> DataFrame:
 def paired_columns(sided: DataFrame, position: str | None = None) -> DataFrame:
     """(step, table, name, column_before, column_after) for every column key of a step."""
     at = F.col(position) if position else F.col("ordinal_position")
-    return sided.groupBy(*STEP, "table_identifier", "name").agg(
+    key = [*STEP, "table_identifier", "name"]
+    return spread(sided, *key).groupBy(DEAL, *key).agg(
         _latest_of(~F.col("is_curr"), at).alias("column_before"),
         _latest_of(F.col("is_curr"), at).alias("column_after"),
-    )
+    ).drop(DEAL)
 
 
 def column_changes(paired: DataFrame, tables: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shiftlens.llm.common import fresh, map_batches
+from shiftlens.llm.common import fresh, map_batches, runs
 
 ORDER = 3
 TRAIN_DOCS = 1500  # about so many documents of each language are learned from
@@ -196,7 +196,10 @@ def identified(docs: DataFrame, model: Model, text_col: str = "text", name: str
 
     @F.pandas_udf("lang_pred string, score double, bits_per_byte double")
     def language(text: pd.Series) -> pd.DataFrame:
-        out = frozen.value.predict(text.tolist()) if len(text) else ([], [], [])
+        texts, out = text.tolist(), ([], [], [])
+        for start, stop in runs(map(len, texts)):  # a batch may hold 10,000 texts
+            for column, found in zip(out, frozen.value.predict(texts[start:stop]), strict=True):
+                column += found
         return pd.DataFrame(dict(zip(("lang_pred", "score", "bits_per_byte"), out, strict=True)))
 
     return docs.withColumn(name, language(letters(F.coalesce(F.col(text_col), F.lit("")))))

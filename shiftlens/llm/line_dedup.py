@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftlens.functions.durable import cut
-from shiftlens.llm.common import fresh, map_batches, texts
+from shiftlens.llm.common import fresh, map_batches, pieces, texts
 from shiftlens.llm.hashing import mix, run_names, span_hashes
 
 WINDOW = 2
@@ -69,7 +69,7 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """One row per chunk of several lines: name, ``doc_id``, ``version`` of its text, ``first`` and ``end`` line."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             parts = []
             for doc, version, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "version", "text")), strict=True):
                 first, end, _, (n0, n1) = chunks_of(text.encode(), shorter=True)
@@ -93,7 +93,7 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = _versions(docs, id_col, text_col).join(needed, ["doc_id", "version"]).dropDuplicates(["doc_id", "version"])
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             out: list[list] = [[] for _ in range(8)]
             for doc, version, text, parts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "version", "text", "parts")), strict=True):
                 raw = text.encode()
@@ -119,7 +119,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return pd.Series([without_lines(t, p) for t, p in zip(texts, found, strict=True)], dtype=object)
 
     same = (F.col(id_col).cast("long") == F.col(doc)) & (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col(version))
-    marked = docs.join(gone, same, "left").withColumn(left, F.when(F.col(parts).isNotNull(), without(text_col, parts)).otherwise(F.col(text_col)))
+    changed = without(F.when(F.col(parts).isNotNull(), F.col(text_col)), parts)  # a function is called for every row; other texts need not go there
+    marked = docs.join(gone, same, "left").withColumn(left, F.when(F.col(parts).isNotNull(), changed).otherwise(F.col(text_col)))
     kept = marked.filter(F.col(parts).isNull() | (F.col(left) != ""))
     return kept.select(*(F.col(left).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
 
@@ -139,7 +140,7 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """Every row of ``docs`` as ``doc_id``, ``text`` (null stays null), ``n_lines``, ``n_removed``."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             out: list[list] = [[] for _ in range(4)]
             for doc, text, null, parts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "is_null", "parts")), strict=True):
                 gone = len(lines_of(parts))

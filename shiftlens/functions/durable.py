@@ -44,6 +44,19 @@ def counted(df: DataFrame, label: str, **measures: Column) -> tuple[DataFrame, d
     return out, {k: v or 0 for k, v in seen.get.items()}
 
 
+#: Bytes of rows that a file of :func:`packed` gets.
+FILE_BYTES = 4 << 20
+
+
+def packed(df: DataFrame, label: str, most: int | None, **measures: Column) -> tuple[DataFrame, dict[str, int]]:
+    """:func:`counted` in few files: no more than ``most`` bytes, a bound of the table's size (none: not known), need.
+
+    A file of a few rows costs far more than its rows; on a local store each one also forks processes beside the executor.
+    Only the last stage has fewer tasks, in proportion to the bound; exchanges before it keep theirs.
+    """
+    return counted(df if most is None else df.coalesce(1 + most // FILE_BYTES), label, **measures)
+
+
 def bucketed(df: DataFrame, key: str, label: str, last: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """A table in the shared folder, stored in buckets of ``key``: joins and groupings by it do not move its rows again.
 

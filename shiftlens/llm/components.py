@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftlens.functions.durable import cut
+from shiftlens.functions.durable import packed
+
+PAIR_BYTES = 48
 
 
 def _large(pairs: DataFrame) -> DataFrame:
@@ -22,15 +24,15 @@ def _small(pairs: DataFrame) -> DataFrame:
     return rest.union(low.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``node``, ``root`` (smallest node) for every node of the links ``u``, ``v``.
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """``node``, ``root`` (smallest node) for every node of the links ``u``, ``v``, of which there are ``rows`` at most (none: not known).
 
     Alternating large and small stars end when every node has one smaller neighbour, itself a root. A star
-    is joined on a hub only with one row, so hubs of any size are split by the join.
+    is joined on a hub only with one row, so hubs of any size are split by the join. Stars are never more than the links.
     """
-    pairs = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "links")
+    pairs, seen = packed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "links", None if rows is None else rows * PAIR_BYTES)
     while True:
-        pairs = cut(_small(_large(pairs)), "stars")
+        pairs, seen = packed(_small(_large(pairs)), "stars", seen["rows"] * PAIR_BYTES)
         twice = pairs.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").select("u")
         inner = pairs.join(pairs.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u")
         if twice.union(inner).isEmpty():

@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shiftlens.functions.durable import cut
+from shiftlens.functions.durable import counted, packed
 from shiftlens.llm.common import fresh, map_batches, slices, texts
-from shiftlens.llm.components import components
+from shiftlens.llm.components import PAIR_BYTES, components
 from shiftlens.llm.hashing import many_word_hashes, mix, shingle_hashes
 
 BANDS, ROWS = 32, 4  # a pair of similarity 0.85 shares no band with probability 5e-11, one of 0.8 with 6e-8
@@ -33,6 +33,7 @@ SAMPLES = BANDS * ROWS
 SKETCHED, BITS = 1024, 1024
 SIGMAS = 6  # where sets are larger than their samples, a candidate goes only if it is so many deviations off
 MARKS = [f"s{i}" for i in range(BITS // 64)]
+ROW_BYTES = 8 * len(MARKS) + 64  # of a class or member with its sketch
 ROUNDS_BELOW = 0.5  # pivot rounds go on while each at least halves the pairs that are left
 _A = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 _B = mix(np.arange(1001, SAMPLES + 1001, dtype=np.uint64)).astype(np.uint32)
@@ -150,36 +151,40 @@ def _confirm(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.filter(100 * F.col("common") >= per_cent * (F.size("a") + F.size("b") - F.col("common"))).select("u", "v")
 
 
-def _with_roots(members: DataFrame, links: DataFrame | None) -> DataFrame:
+def _with_roots(members: DataFrame, links: DataFrame | None, n_links: int) -> DataFrame:
     if links is None:
         return members.withColumn("root", F.col("set_key"))
-    roots = components(links).withColumnRenamed("node", "set_key")
+    roots = components(links, n_links).withColumnRenamed("node", "set_key")
     return members.join(roots, "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
 
 
-def class_links(sketched: DataFrame, docs: DataFrame, threshold: float, size: int, id_col: str, text_col: str) -> DataFrame:
-    """Confirmed links ``u``, ``v`` between set classes, enough to give every group of similar sets."""
+def class_links(sketched: DataFrame, rows: int, docs: DataFrame, threshold: float, size: int, id_col: str, text_col: str) -> tuple[DataFrame | None, int]:
+    """Confirmed links ``u``, ``v`` between set classes, enough to give every group of similar sets, and their number. ``rows``: of ``sketched``."""
     marks = ["n_shingles", *MARKS]
     classes = sketched.filter("n_shingles > 0").groupBy("set_key").agg(
         F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), *(F.first(c).alias(c) for c in marks))
-    classes = cut(classes, "classes")
+    classes, seen = packed(classes, "classes", rows * (ROW_BYTES + 8 * BANDS))
     banded = classes.select("set_key", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-    buckets = cut(banded.join(shared, "band"), "buckets")
+    buckets, seen = packed(banded.join(shared, "band"), "buckets", seen["rows"] * BANDS * 48)
     # A class that agrees with many others in many bands is near the middle of its group: the best pivot.
-    weight = cut(buckets.groupBy("set_key").agg(F.sum("n").alias("weight")).join(classes.drop("bands"), "set_key"), "weights")
-    sets = cut(shingle_sets(docs, weight.select("doc_id", "set_key"), size, id_col, text_col), "sets")
+    weight = buckets.groupBy("set_key").agg(F.sum("n").alias("weight")).join(classes.drop("bands"), "set_key")
+    weight, held = packed(weight, "weights", seen["rows"] * ROW_BYTES, shingles=F.sum("n_shingles"))
+    sets, _ = packed(shingle_sets(docs, weight.select("doc_id", "set_key"), size, id_col, text_col), "sets", 8 * held["shingles"] + 48 * held["rows"])
     members = buckets.select("band", "set_key").join(weight.drop("doc_id"), "set_key")
-    members, links, before = cut(members, "members"), None, None
+    members, seen = packed(members, "members", seen["rows"] * ROW_BYTES)
+    links, n_links, before = None, 0, None
     while True:
-        rooted = _with_roots(members, links)
+        rooted = _with_roots(members, links, n_links)
         by_root = rooted.groupBy("band", "root").agg(F.count("*").alias("n"), F.max("weight").alias("top"))
         groups = by_root.groupBy("band").agg(
             F.count("*").alias("roots"), F.sum("n").alias("all"), F.max_by("root", F.struct("n", "root")).alias("big"), F.max("n").alias("most"))
-        open_ = cut(rooted.join(groups.filter("roots > 1").select("band", "big", (F.col("all") - F.col("most")).alias("few"), "all"), "band"), "open")
+        open_ = rooted.join(groups.filter("roots > 1").select("band", "big", (F.col("all") - F.col("most")).alias("few"), "all"), "band")
+        open_, seen = packed(open_, "open", seen["rows"] * (ROW_BYTES + 64))
+        opened = seen["rows"]
         left = open_.agg(F.coalesce(F.sum(F.when(F.col("root") != F.col("big"), F.col("all"))), F.lit(0)).alias("n")).first()["n"]
         if not left:
-            return links
+            return links, n_links
         last = before is not None and left > ROUNDS_BELOW * before
         before = left
         if last:  # every pair that could still join two groups
@@ -188,24 +193,28 @@ def class_links(sketched: DataFrame, docs: DataFrame, threshold: float, size: in
         else:
             pivot = open_.groupBy("band").agg(F.max(F.struct("weight", "set_key", *marks)).alias("p"))
             pairs = open_.join(pivot, "band").select("*", F.col("p.set_key").alias("v"), *(F.col(f"p.{c}").alias(f"v_{c}") for c in marks))
-            members = cut(open_.join(pivot.select("band", F.col("p.set_key").alias("set_key")), ["band", "set_key"], "left_anti").select(*members.columns), "members")
+            rest = open_.join(pivot.select("band", F.col("p.set_key").alias("set_key")), ["band", "set_key"], "left_anti").select(*members.columns)
+            members, seen = packed(rest, "members", seen["rows"] * ROW_BYTES)
             pairs = pairs.filter(F.col("set_key") != F.col("v")).filter(_not_ruled_out("", "v_", threshold))
         tried = pairs.select(F.least("set_key", "v").alias("u"), F.greatest("set_key", "v").alias("v")).distinct()
         found = _confirm(tried, sets, threshold)
-        links = cut(found if links is None else links.union(found), "links")
+        # a pivot is paired with each row of its bucket once, the rest with all of it
+        most = n_links + (left if last else opened)
+        links, made = packed(found if links is None else links.union(found), "links", most * PAIR_BYTES)
+        n_links = made["rows"]
         if last:
-            return links
+            return links, n_links
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` for every row of ``docs``."""
-    sketched = cut(sketches(docs, size, id_col, text_col), "sketches")
-    links = class_links(sketched, docs, threshold, size, id_col, text_col)
+    sketched, seen = counted(sketches(docs, size, id_col, text_col), "sketches")
+    links, n_links = class_links(sketched, seen["rows"], docs, threshold, size, id_col, text_col)
     named = sketched.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
     if links is None:
         named = named.select("set_key", F.col("doc_id").alias("component_id"))
     else:
-        rooted = _with_roots(named, links)
+        rooted = _with_roots(named, links, n_links)
         low = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
         named = rooted.join(low, "root").select("set_key", "component_id")
     out = sketched.select("doc_id", "text_hash", "n_shingles", "set_key").join(named, "set_key", "left")

@@ -67,3 +67,24 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     found = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert {found[i] for i in range(21)} == {0} and {found[i] for i in range(100, 130)} == {100}
+
+
+def test_small_tables_are_a_few_files_however_many_partitions(spark):
+    import glob
+
+    from shiftlens.functions import durable
+
+    rows = [(i, " ".join(f"w{i // 4}x{j}" for j in range(60 + i % 4))) for i in range(200)]
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(held, ("40", "false"), strict=True):
+            spark.conf.set(k, v)
+        before = set(glob.glob(f"{durable.shared_dir(spark)}/shiftlens-*".removeprefix("file:")))
+        got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 0.85).collect()
+        made = set(glob.glob(f"{durable.shared_dir(spark)}/shiftlens-*".removeprefix("file:"))) - before
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert sorted(tuple(r)[:4] for r in got) == brute(rows, 85)
+    files = {path: len(glob.glob(f"{path}/part-*")) for path in made if "sketches" not in path}
+    assert len(files) > 8 and max(files.values()) <= 2

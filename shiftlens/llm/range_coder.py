@@ -34,6 +34,8 @@ _U = np.uint64
 
 
 _MASK = SLOTS - 1
+# What a guess's entry gains, at its confidence and 16 times whether it was right: a wrong guess halves it, a right one adds 1 up to 15.
+_STEP = np.array([(c >> 1) - c for c in range(16)] + [int(c < 15) for c in range(16)], np.int32)
 
 
 class _Order:
@@ -45,19 +47,29 @@ class _Order:
 
     def look(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Guessed ids and shares of 4096."""
-        self.at = self.row + (context & _MASK)
-        self.entry = self.slot[self.at]
+        self.at = context & _MASK
+        self.at += self.row
+        self.entry = self.slot.take(self.at)
         self.guess, self.conf = self.entry >> 4, self.entry & 15
         self.share_at = self.share_row + self.conf
-        self.now = self.share[self.share_at]
+        self.now = self.share.take(self.share_at)
         return self.guess, self.now
 
     def learn(self, ids: np.ndarray, shifted: np.ndarray) -> None:
-        right = self.guess == ids
-        self.share[self.share_at] = self.now + ((right * np.int32(3900) + np.int32(16) - self.now) >> RATE)
+        right = (self.guess == ids).astype(np.int32)
+        target = right * np.int32(3900)
+        target += np.int32(16)
+        target -= self.now
+        target >>= RATE
+        target += self.now
+        self.share[self.share_at] = target
         # a wrong guess without confidence gives way; else confidence grows by one or halves
-        step = np.where(right, np.int32(1) - (self.conf >> 3 & self.conf >> 2 & self.conf >> 1 & self.conf & 1), (self.conf >> 1) - self.conf)
-        self.slot[self.at] = np.where(right | (self.conf > 0), self.entry + step, shifted)
+        right <<= 4
+        right |= self.conf
+        entry = _STEP.take(right)
+        entry += self.entry
+        np.copyto(entry, shifted, where=right == 0)
+        self.slot[self.at] = entry
 
     def keep(self, lanes: int) -> None:
         self.row, self.share_row = self.row[:lanes], self.share_row[:lanes]
@@ -96,8 +108,14 @@ class _Models:
 def _interval(ids, one, one_weight, two, two_weight, base, cum, freq) -> tuple[np.ndarray, np.ndarray]:
     """Start and size of the ids in the mixture."""
     at = ids.astype(np.int64)
-    start = base * cum[at] + one_weight * (one < ids) + two_weight * (two < ids)
-    return start, base * freq[at] + one_weight * (one == ids) + two_weight * (two == ids)
+    start, size = cum.take(at), freq.take(at)
+    start *= base
+    size *= base
+    start += one_weight * (one < ids)
+    start += two_weight * (two < ids)
+    size += one_weight * (one == ids)
+    size += two_weight * (two == ids)
+    return start, size
 
 
 def _frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,19 +158,24 @@ def _encode_blocks(symbol: np.ndarray, freq: np.ndarray, cum: np.ndarray, blocks
     out, used = np.zeros((blocks, 2 * BLOCK + 8), "<u2"), np.zeros(blocks, np.int64)
     flat, row = out.reshape(-1), np.arange(blocks, dtype=np.int64) * out.shape[1]
 
-    def emit(low: np.ndarray, range_: np.ndarray, n: int) -> None:
-        while True:
-            same = (low ^ (low + range_)) < _TOP
-            near = ~same & (range_ < _BOT)
-            at = np.flatnonzero(same | near)
-            if not len(at):
+    def emit(low: np.ndarray, range_: np.ndarray) -> None:
+        far = (low ^ (low + range_)) >= _TOP
+        at = np.flatnonzero(~far | (range_ < _BOT))
+        if not len(at):
+            return
+        lo, ra, far, end = low[at], range_[at], far[at], row[at]
+        place, lanes = end + used[at], at
+        while True:  # only lanes that gave a word can have another
+            if far.any():
+                ra = np.where(far, (~lo + _U(1)) & (_BOT - _U(1)), ra)
+            flat[place] = lo >> _U(48)
+            place, lo, ra = place + 1, lo << _U(16), ra << _U(16)
+            far = (lo ^ (lo + ra)) >= _TOP
+            more = ~far | (ra < _BOT)
+            low[lanes], range_[lanes], used[lanes] = lo, ra, place - end
+            if not more.any():
                 return
-            tight = np.flatnonzero(near)
-            range_[tight] = (~low[tight] + _U(1)) & (_BOT - _U(1))
-            part = low[at]
-            flat[row[:n][at] + used[at]] = part >> _U(48)
-            used[at] += 1
-            low[at], range_[at] = part << _U(16), range_[at] << _U(16)
+            lanes, lo, ra, far, place, end = lanes[more], lo[more], ra[more], far[more], place[more], end[more]
 
     n = blocks
     for step in range(BLOCK):
@@ -166,7 +189,7 @@ def _encode_blocks(symbol: np.ndarray, freq: np.ndarray, cum: np.ndarray, blocks
         ra >>= _U(MIX_BITS)
         lo += ra * start.astype(_U)
         ra *= size.astype(_U)
-        emit(lo, ra, n)
+        emit(lo, ra)
         models.learn(ids)
     for k in range(4):
         flat[row + used] = (low >> _U(48 - 16 * k)).astype(np.uint16)
@@ -225,24 +248,30 @@ def _decode_blocks(words: np.ndarray, lengths: np.ndarray, freq: np.ndarray, tot
         value = np.minimum((co - lo) // ra, _U(most)).astype(np.int32)
         start_one, size_one = _interval(one, *mixture, cum, freq)
         start_two, size_two = _interval(two, *mixture, cum, freq)
-        on_one = (value >= start_one) & (value - start_one < size_one)
-        on_two = (value >= start_two) & (value - start_two < size_two)
+        past_one, past_two = value - start_one, value - start_two
+        on_one, on_two = (past_one >= 0) & (past_one < size_one), (past_two >= 0) & (past_two < size_two)
         # elsewhere the point lies past the whole weight of an order's id or before it
-        plain = (value - one_weight * (value > start_one) - two_weight * (value > start_two)) // base
-        ids = np.where(on_one, one, np.where(on_two, two, of[np.clip(plain, 0, last_point)]))
+        ids = np.where(on_one, one, two)
+        rest = np.flatnonzero(~(on_one | on_two))
+        plain = value[rest] - one_weight[rest] * (past_one[rest] > 0) - two_weight[rest] * (past_two[rest] > 0)
+        ids[rest] = of.take(np.minimum(plain // base[rest], last_point))
         grid[step, :n] = ids
         start, size = _interval(ids, *mixture, cum, freq)
         lo += ra * start.astype(_U)
         ra *= size.astype(_U)
-        while True:
-            near = (lo ^ (lo + ra)) >= _TOP
-            at = np.flatnonzero(~near | (ra < _BOT))
-            if not len(at):
-                break
-            tight = at[near[at]]
-            ra[tight] = (~lo[tight] + _U(1)) & (_BOT - _U(1))
-            co[at] = (co[at] << _U(16)) | words[place[at]]
-            place[at] += 1
-            lo[at], ra[at] = lo[at] << _U(16), ra[at] << _U(16)
+        far = (lo ^ (lo + ra)) >= _TOP
+        at = np.flatnonzero(~far | (ra < _BOT))
+        far = far[at]
+        while len(at):  # only lanes that took a word can need another
+            part, left, point = lo[at], ra[at], place[at]
+            if far.any():
+                left = np.where(far, (~part + _U(1)) & (_BOT - _U(1)), left)
+            co[at] = (co[at] << _U(16)) | words[point]
+            place[at] = point + 1
+            part, left = part << _U(16), left << _U(16)
+            lo[at], ra[at] = part, left
+            far = (part ^ (part + left)) >= _TOP
+            more = ~far | (left < _BOT)
+            at, far = at[more], far[more]
         models.learn(ids)
     return grid

@@ -35,12 +35,12 @@ from pyspark.sql import functions as F
 from shiftlens.functions.durable import new_path
 from shiftlens.llm import range_coder
 from shiftlens.llm.common import map_batches, slices, texts
-from shiftlens.llm.hashing import span_hashes
+from shiftlens.llm.hashing import mix, span_hashes
 
 MAGIC = b"TIDF0001"
 FILE_IDS = 4_000_000
 END = 2
-CACHED = 1_000_000  # words that a worker remembers
+CACHED = 1_500_000  # words that a worker remembers
 LONGEST = 1024  # bytes of a remembered word
 FILES = "part int, seq int, n_docs long, n_ids long, file binary"
 
@@ -70,6 +70,36 @@ def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(int(reached[-1]) if len(reached) else 0) + np.repeat(first - (reached - count), count)
 
 
+def _plain(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Whether words surely begin and end with no white space, but for one leading space, told as by :func:`word_starts`."""
+    at = starts + ((data[starts] == 0x20) & (stops - starts > 1))
+    lead, last = data[at], data[stops - 1]
+    begins = np.where(lead < 0x80, (_CLASS[lead] != 0) & (_CLASS[lead] != 4), ~np.isin(lead, (0xC2, 0xE1, 0xE2, 0xE3)))
+    wide = (data[np.maximum(stops - 2, 0)] != 0xC2) & ~np.isin(data[np.maximum(stops - 3, 0)], (0xE1, 0xE2, 0xE3))
+    return begins & np.where(last < 0x80, (_CLASS[last] != 0) & (_CLASS[last] != 4), wide)
+
+
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # the first n bytes of eight
+_ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+
+
+def word_names(raw: bytes, data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64 bits that name words. Two words of one length up to 8 bytes never share a name; up to 16 bytes are taken as two numbers, longer ones byte by byte."""
+    eight = np.frombuffer(raw + bytes(24 - len(raw) % 8), "<u8")
+
+    def number(at, n):
+        shift = (at & 7).astype(np.uint64) << np.uint64(3)
+        low, high = eight[at >> 3] >> shift, (eight[(at >> 3) + 1] << np.uint64(1)) << (np.uint64(63) - shift)
+        return (low | high) & _KEEP[n]
+
+    names = mix(number(starts, np.minimum(size, 8)) ^ (size.astype(np.uint64) * _ODD[0]))
+    more = np.flatnonzero((size > 8) & (size <= 16))
+    names[more] = mix(names[more] + number(starts[more] + 8, size[more] - 8) * _ODD[1])
+    long = np.flatnonzero(size > 16)
+    names[long] = span_hashes(data, starts[long], starts[long] + size[long])
+    return names
+
+
 class Words:
     """Ids of texts, word by word, with the tokenizers library."""
 
@@ -90,58 +120,104 @@ class Words:
         self.forget()
 
     def forget(self) -> None:
-        self.names, self.pool = np.empty(0, np.uint64), np.empty(0, "<u4")
-        self.first, self.count, self.size = (np.empty(0, np.int64) for _ in range(3))  # place and number of ids, bytes
+        self.bits, self.table = 17, np.full(1 << 17, -1, np.int32)  # number of a word at the place its name gives or behind it; -1 is free
+        self.words = self.held = 0
+        self.names, self.pool = np.empty(1 << 16, np.uint64), np.empty(1 << 18, "<u4")
+        self.first, self.count, self.size = (np.empty(1 << 16, kind) for kind in (np.int64, np.int32, np.int32))  # place and number of ids, bytes
+        self.again = np.zeros(1 << 16, bool)  # whether it was met again
+
+    def _room(self, words: int, ids: int) -> None:
+        """Space behind what is held."""
+        while self.words + words > len(self.names):
+            for what in ("names", "first", "count", "size", "again"):
+                old = getattr(self, what)
+                setattr(self, what, np.concatenate((old, np.zeros(len(old), old.dtype))))
+        while self.held + ids > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros(len(self.pool), "<u4")))
+
+    def _shrink(self) -> None:
+        """Only words that were met again stay; none, if those are most."""
+        stay = np.flatnonzero(self.again[: self.words])
+        names, count, size = self.names[stay], self.count[stay], self.size[stay]
+        ids = self.pool[_ranges(self.first[stay], count)]
+        self.forget()
+        if len(stay) <= CACHED // 2:
+            self._add(names, ids, count, size)
 
     def _ids(self, words: list[bytes]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
         return [np.array(x.ids, "<u4") for x in found]
 
-    def _encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode_words(self, raw: bytes, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words and the number of each.
 
-        Words that end in plain characters go to the library together, each after a line break: that is a match of its own
+        Words with no white space at their ends go to the library together, each after a line break: that is a match of its own
         before a word or before its leading space.
         """
-        plain = [bool(_CLASS[w[-1]] not in (0, 4)) and (_CLASS[w[0]] not in (0, 4) or w[0] == 0x20 and len(w) > 1 and _CLASS[w[1]] not in (0, 4)) for w in words]
-        together = [i for i, p in enumerate(plain) if p]
-        alone = [i for i, p in enumerate(plain) if not p]
-        count, order, parts = np.zeros(len(words), np.int64), [], [np.empty(0, "<u4")]
+        plain = _plain(data, starts, stops)
+        together, alone = np.flatnonzero(plain), [np.flatnonzero(~plain)]
+        count, order, parts = np.zeros(len(starts), np.int64), [], [np.empty(0, "<u4")]
         for at in range(0, len(together), 4096):
             some = together[at : at + 4096]
-            ids = self._ids([b"".join(b"\n" + words[i] for i in some)])[0]
-            ends = np.cumsum([len(words[i]) + 1 for i in some])
+            size = stops[some] - starts[some] + 1
+            ends = np.cumsum(size)
+            text = data[_ranges(starts[some] - 1, size)]
+            text[ends - size] = 0x0A
+            ids = self._ids([text.tobytes()])[0]
             reached = np.cumsum(self.bytes_of[ids])
             breaks = np.searchsorted(reached, np.concatenate(([0], ends[:-1])) + 1)
             cuts = np.searchsorted(reached, ends)
             if cuts[-1] != len(ids) - 1 or (reached[cuts] != ends).any() or (self.bytes_of[ids[breaks]] != 1).any():
-                alone += some  # a token over two words
+                alone.append(some)  # a token over two words
                 continue
             count[some] = cuts - breaks
             parts.append(np.delete(ids, breaks))
-            order += some
-        for i, ids in zip(alone, self._ids([words[i] for i in alone]), strict=True):
+            order.append(some)
+        alone = np.concatenate(alone)
+        for i, ids in zip(alone.tolist(), self._ids([raw[a:b] for a, b in zip(starts[alone].tolist(), stops[alone].tolist(), strict=True)]), strict=True):
             count[i] = len(ids)
             parts.append(ids)
-        order = np.array(order + alone, np.int64)
+        order = np.concatenate((*order, alone))
         # back into the order of the words
-        ids, first = np.concatenate(parts), np.zeros(len(words), np.int64)
+        ids, first = np.concatenate(parts), np.zeros(len(starts), np.int64)
         first[order] = np.cumsum(count[order]) - count[order]
         return ids[_ranges(first, count)], count
 
-    def _learn(self, names: np.ndarray, words: list[bytes]) -> None:
-        ids, count = self._encode_words(words)
-        first = len(self.pool) + np.cumsum(count) - count
-        order = np.argsort(both := np.concatenate((self.names, names)), kind="stable")
-        self.names, self.pool = both[order], np.concatenate((self.pool, ids))
-        self.first, self.count = np.concatenate((self.first, first))[order], np.concatenate((self.count, count))[order]
-        self.size = np.concatenate((self.size, np.fromiter(map(len, words), np.int64, len(words))))[order]
+    def _add(self, names: np.ndarray, ids: np.ndarray, count: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Numbers of words that are not held yet, of different names."""
+        self._room(len(names), len(ids))
+        number = np.arange(self.words, self.words + len(names))
+        self.names[number], self.count[number], self.size[number], self.again[number] = names, count, size, False
+        self.first[number] = self.held + np.cumsum(count) - count
+        self.pool[self.held : self.held + len(ids)] = ids
+        self.words, self.held = self.words + len(names), self.held + len(ids)
+        if 2 * self.words > len(self.table):  # half of it stays free
+            self.bits = int(2 * self.words).bit_length()
+            self.table = np.full(1 << self.bits, -1, np.int32)
+            self._place(np.arange(self.words))
+        else:
+            self._place(number)
+        return number
+
+    def _place(self, left: np.ndarray) -> None:
+        """Words, by number, into the table: at the first free place from their own."""
+        slot = (self.names[left] >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(left):
+            free = self.table[slot] < 0
+            self.table[slot[free]] = left[free]
+            out = self.table[slot] != left
+            left, slot = left[out], (slot[out] + 1) & (len(self.table) - 1)
 
     def _known(self, names: np.ndarray) -> np.ndarray:
-        if not len(self.names):
-            return np.full(len(names), -1)
-        at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
-        return np.where(self.names[at] == names, at, -1)
+        """Numbers of the words held under these names, else -1."""
+        slot = (names >> np.uint64(64 - self.bits)).astype(np.int64)
+        found = self.table[slot]
+        other = np.flatnonzero((found >= 0) & (self.names[found] != names))
+        while len(other):
+            slot[other] = (slot[other] + 1) & (len(self.table) - 1)
+            found[other] = at = self.table[slot[other]]
+            other = other[(at >= 0) & (self.names[at] != names[other])]
+        return found
 
     def encode(self, texts: list[bytes], tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by ``tail``, one after the other, and the number of each."""
@@ -156,26 +232,32 @@ class Words:
         mark[begins] = True
         starts = np.flatnonzero(mark[: len(data)])
         stops = np.append(starts[1:], len(data))[: len(starts)]
-        if len(self.names) > CACHED:
-            self.forget()
+        size = stops - starts
         first, count = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
-        short = np.flatnonzero(stops - starts <= LONGEST)
-        names, one, which = np.unique(span_hashes(data, starts[short], stops[short]), return_index=True, return_inverse=True)
-        new = np.flatnonzero(self._known(names) < 0)
+        short = np.flatnonzero(size <= LONGEST)
+        names = word_names(raw, data, starts[short], size[short])
+        if self.words > CACHED:
+            self._shrink()
+        at = self._known(names)
+        new = np.flatnonzero(at < 0)
         if len(new):
-            self._learn(names[new], [raw[starts[i] : stops[i]] for i in short[one[new]].tolist()])
-        at = self._known(names)[which]
+            fresh, one, which = np.unique(names[new], return_index=True, return_inverse=True)
+            one = short[new[one]]
+            at[new] = self._add(fresh, *self._encode_words(raw, data, starts[one], stops[one]), size[one])[which]
+        self.again[at[:0] if len(new) == len(at) else np.delete(at, new)] = True
         first[short], count[short] = self.first[at], self.count[at]
         clash = np.zeros(len(starts), bool)
-        clash[short] = self.size[at] != (stops - starts)[short]
-        alone = np.flatnonzero(clash | (stops - starts > LONGEST))
-        extra, count[alone] = self._encode_words([raw[starts[i] : stops[i]] for i in alone.tolist()])
-        first[alone] = len(self.pool) + np.cumsum(count[alone]) - count[alone]
-        pool = np.concatenate((self.pool, extra, tail)) if len(alone) or len(tail) else self.pool
+        clash[short] = self.size[at] != size[short]
+        alone = np.flatnonzero(clash | (size > LONGEST))
+        extra, count[alone] = self._encode_words(raw, data, starts[alone], stops[alone])
+        first[alone] = self.held + np.cumsum(count[alone]) - count[alone]
+        # behind the words' ids, until the next call
+        self._room(0, len(extra) + len(tail))
+        self.pool[self.held : self.held + len(extra) + len(tail)] = np.concatenate((extra, tail))
         after = np.searchsorted(starts, ends)  # the tail's place among the words
-        first, count = np.insert(first, after, len(pool) - len(tail)), np.insert(count, after, len(tail))
+        first, count = np.insert(first, after, self.held + len(extra)), np.insert(count, after, len(tail))
         upto = np.cumsum(count)[after + np.arange(len(texts))]
-        return pool[_ranges(first, count)], np.diff(upto, prepend=0)
+        return self.pool[_ranges(first, count)], np.diff(upto, prepend=0)
 
     def encode_whole(self, texts: list[bytes], tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``encode`` of texts in which the strings of added tokens are their ids."""
@@ -282,7 +364,8 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
                     yield [[part] * len(some), [seq] * len(some), some, edge[:-1], [raw[4 * a : 4 * b] for a, b in zip(edge[:-1], edge[1:], strict=True)]]
 
     rows = map_batches(files.select("part", "seq", "file"), run, "part int, seq int, doc_id long, in_file long, ids binary")
-    both = rows.join(placed, (F.col("part") == F.col("p")) & (F.col("seq") == F.col("s")))
+    # one row of a few bytes for each file of millions of ids: sent to the ids, which then move nowhere
+    both = rows.join(F.broadcast(placed), (F.col("part") == F.col("p")) & (F.col("seq") == F.col("s")))
     return both.select("doc_id", (F.col("base") + F.col("in_file")).alias("start"), "ids")
 
 

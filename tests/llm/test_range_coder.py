@@ -96,3 +96,50 @@ def test_added_tokens_are_their_ids_as_in_the_untouched_library(spark):
     assert want[0][2] == 50256
     assert [(d, n, c) for d, _, n, c in got] == [(d, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for d, x in enumerate(want)]
     assert [start for _, start, _, _ in got] == [sum(map(len, want[:d])) for d in range(len(texts))]
+
+
+def counting_words():
+    """Words that note what goes to the library."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json")) as f:
+        words = token_output.Words(f.read())
+    asked, ask = [], words._ids
+    words._ids = lambda some: asked.extend(some) or ask(some)
+    return words, asked
+
+
+def test_words_with_accents_go_to_the_library_together():
+    words, asked = counting_words()
+    texts = [" ".join(f"été{i} caf{i}é naïveté".encode().decode() for i in range(k, k + 300)).encode() for k in (0, 300)]
+    words.encode(texts, np.array([2], "<u4"))
+    assert len(asked) < 20
+
+
+def test_words_met_again_outlive_a_full_table(monkeypatch):
+    monkeypatch.setattr(token_output, "CACHED", 500)
+    words, asked = counting_words()
+    tail, often = np.array([2], "<u4"), b"often seen words stay"
+    want = words.encode([often], tail)[0].tolist()
+    for k in range(30):
+        ids, _ = words.encode([often, " ".join(f"w{k}x{i}" for i in range(200)).encode()], tail)
+        assert ids[: len(want)].tolist() == want
+    assert not any(b"often" in x for x in asked[1:]) and words.words < 1500
+
+
+def test_a_text_of_more_words_than_the_table_first_holds():
+    words, _ = counting_words()
+    text = " ".join(f"q{i:x}" for i in range(150_000))
+    ids, _ = words.encode([text.encode()], np.array([], "<u4"))
+    assert ids.tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+    assert (words._known(words.names[: words.words]) == np.arange(words.words)).all()
+
+
+def test_ids_read_back_move_nowhere(spark, odd):
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = token_output.read_files(spark, token_output.write_files(odd))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert "Exchange hashpartitioning" not in plan[: plan.index("MapInArrow")]

@@ -38,84 +38,98 @@ _MASK = SLOTS - 1
 _STEP = np.array([(c >> 1) - c for c in range(16)] + [int(c < 15) for c in range(16)], np.int32)
 
 
-class _Order:
-    """What one order remembers, for all lanes: a slot holds an id and, in the low four bits, its confidence."""
+class _Models:
+    """What both orders remember, for all lanes: a slot holds an id and, in the low four bits, its confidence.
 
-    def __init__(self, lanes: int) -> None:
-        self.slot, self.share = np.zeros(lanes * SLOTS, np.int32), np.full(lanes * 16, 1024, np.int32)
-        self.row, self.share_row = np.arange(lanes) * SLOTS, np.arange(lanes) * 16
+    Arrays hold order 1's lanes, then order 2's, so that one operation does both.
+    """
 
-    def look(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Guessed ids and shares of 4096."""
-        self.at = context & _MASK
+    def __init__(self, lanes: int) -> None:
+        self.slot, self.share = np.zeros(2 * lanes * SLOTS, np.int32), np.full(2 * lanes * 16, 1024, np.int32)
+        self.row, self.share_row = np.arange(2 * lanes) * SLOTS, np.arange(2 * lanes) * 16
+        self.hash, self.context, self.lanes = np.zeros(lanes, np.int64), np.zeros(2 * lanes, np.int64), lanes
+
+    def look(self) -> None:
+        """Guessed ids and their weights, and order 0's factor; a lane's add up to 2**28."""
+        n = self.lanes
+        self.at = self.context & _MASK
         self.at += self.row
         self.entry = self.slot.take(self.at)
         self.guess, self.conf = self.entry >> 4, self.entry & 15
         self.share_at = self.share_row + self.conf
         self.now = self.share.take(self.share_at)
-        return self.guess, self.now
-
-    def learn(self, ids: np.ndarray, shifted: np.ndarray) -> None:
-        right = (self.guess == ids).astype(np.int32)
-        target = right * np.int32(3900)
+        self.weight = np.empty(2 * n, np.int32)
+        one, two = self.weight[:n], self.weight[n:]
+        rest = np.int32(1 << MIX_BITS) - (self.now[n:] << (MIX_BITS - 12))
+        np.multiply(rest >> 12, self.now[:n], out=one)
+        rest -= one
+        self.base = rest >> BASE_BITS
+        np.subtract(np.int32(1 << MIX_BITS), one, out=two)
+        two -= self.base << BASE_BITS
+
+    def interval(self, ids: np.ndarray, cum: np.ndarray, freq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of the ids in the mixture; they are what is learned next."""
+        n = self.lanes
+        self.ids = np.concatenate((ids, ids))
+        past = self.guess - self.ids
+        self.right = (past == 0).astype(np.int32)
+        start, size = cum.take(ids), freq.take(ids)
+        start *= self.base
+        size *= self.base
+        past >>= 31
+        past &= self.weight  # of guesses below the id
+        start += past[:n]
+        start += past[n:]
+        same = self.right * self.weight
+        size += same[:n]
+        size += same[n:]
+        return start, size
+
+    def guesses(self, cum: np.ndarray, freq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of the guessed ids in the mixture."""
+        n = self.lanes
+        base = np.concatenate((self.base, self.base))
+        start, size = cum.take(self.guess), freq.take(self.guess)
+        start *= base
+        size *= base
+        size += self.weight
+        other = np.concatenate((self.weight[n:], self.weight[:n]))
+        past = np.concatenate((self.guess[n:], self.guess[:n]))
+        past -= self.guess
+        size += other * (past == 0)
+        past >>= 31
+        past &= other
+        start += past
+        return start, size
+
+    def learn(self) -> None:
+        target = self.right * np.int32(3900)
         target += np.int32(16)
         target -= self.now
         target >>= RATE
         target += self.now
         self.share[self.share_at] = target
         # a wrong guess without confidence gives way; else confidence grows by one or halves
-        right <<= 4
-        right |= self.conf
-        entry = _STEP.take(right)
+        step = self.right << 4
+        step |= self.conf
+        entry = _STEP.take(step)
         entry += self.entry
-        np.copyto(entry, shifted, where=right == 0)
+        np.copyto(entry, self.ids << 4, where=step == 0)
         self.slot[self.at] = entry
-
-    def keep(self, lanes: int) -> None:
-        self.row, self.share_row = self.row[:lanes], self.share_row[:lanes]
-
-
-class _Models:
-    """Both orders of all lanes."""
-
-    def __init__(self, lanes: int) -> None:
-        self.orders = _Order(lanes), _Order(lanes)
-        self.hash, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-
-    def look(self) -> tuple[np.ndarray, ...]:
-        """Order 1's and order 2's ids and weights, and order 0's factor; they add up to 2**28."""
-        one, share_one = self.orders[0].look(self.hash)
-        two, share_two = self.orders[1].look(self.hash ^ self.before)
-        rest = np.int32(1 << MIX_BITS) - (share_two << (MIX_BITS - 12))
-        one_weight = (rest >> 12) * share_one
-        base = (rest - one_weight) >> BASE_BITS
-        return one, one_weight, two, np.int32(1 << MIX_BITS) - one_weight - (base << BASE_BITS), base
-
-    def learn(self, ids: np.ndarray) -> None:
-        shifted = ids << 4
-        for order in self.orders:
-            order.learn(ids, shifted)
-        self.before = (self.hash * 5) >> 2
-        self.hash = (ids.astype(np.int64) * 40503) >> 5
+        n = self.lanes
+        before = self.hash * 5
+        before >>= 2
+        self.hash = self.ids[:n] * np.int64(40503)
+        self.hash >>= 5
+        self.context[:n] = self.hash
+        np.bitwise_xor(self.hash, before, out=self.context[n:])
 
     def keep(self, lanes: int) -> None:
         """Only the first lanes go on."""
-        for order in self.orders:
-            order.keep(lanes)
-        self.hash, self.before = self.hash[:lanes], self.before[:lanes]
-
-
-def _interval(ids, one, one_weight, two, two_weight, base, cum, freq) -> tuple[np.ndarray, np.ndarray]:
-    """Start and size of the ids in the mixture."""
-    at = ids.astype(np.int64)
-    start, size = cum.take(at), freq.take(at)
-    start *= base
-    size *= base
-    start += one_weight * (one < ids)
-    start += two_weight * (two < ids)
-    size += one_weight * (one == ids)
-    size += two_weight * (two == ids)
-    return start, size
+        for what in ("row", "share_row", "context"):
+            held = getattr(self, what)
+            setattr(self, what, np.concatenate((held[:lanes], held[self.lanes : self.lanes + lanes])))
+        self.hash, self.lanes = self.hash[:lanes], lanes
 
 
 def _frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,12 +199,13 @@ def _encode_blocks(symbol: np.ndarray, freq: np.ndarray, cum: np.ndarray, blocks
             n -= 1
             models.keep(n)
         ids, lo, ra = grid[step, :n], low[:n], range_[:n]
-        start, size = _interval(ids, *models.look(), cum, freq)
+        models.look()
+        start, size = models.interval(ids, cum, freq)
         ra >>= _U(MIX_BITS)
         lo += ra * start.astype(_U)
         ra *= size.astype(_U)
         emit(lo, ra)
-        models.learn(ids)
+        models.learn()
     for k in range(4):
         flat[row + used] = (low >> _U(48 - 16 * k)).astype(np.uint16)
         used += 1
@@ -243,20 +258,22 @@ def _decode_blocks(words: np.ndarray, lengths: np.ndarray, freq: np.ndarray, tot
             n -= 1
             models.keep(n)
         lo, ra, co = low[:n], range_[:n], code[:n]
-        mixture = one, one_weight, two, two_weight, base = models.look()
+        models.look()
         ra >>= _U(MIX_BITS)
         value = np.minimum((co - lo) // ra, _U(most)).astype(np.int32)
-        start_one, size_one = _interval(one, *mixture, cum, freq)
-        start_two, size_two = _interval(two, *mixture, cum, freq)
-        past_one, past_two = value - start_one, value - start_two
-        on_one, on_two = (past_one >= 0) & (past_one < size_one), (past_two >= 0) & (past_two < size_two)
+        start, size = models.guesses(cum, freq)
+        past = np.concatenate((value, value))
+        past -= start
+        on = past >= 0
+        on &= past < size
+        ids = np.where(on[:n], models.guess[:n], models.guess[n:])
         # elsewhere the point lies past the whole weight of an order's id or before it
-        ids = np.where(on_one, one, two)
-        rest = np.flatnonzero(~(on_one | on_two))
-        plain = value[rest] - one_weight[rest] * (past_one[rest] > 0) - two_weight[rest] * (past_two[rest] > 0)
-        ids[rest] = of.take(np.minimum(plain // base[rest], last_point))
+        rest = np.flatnonzero(~(on[:n] | on[n:]))
+        two = rest + n
+        plain = value[rest] - models.weight[rest] * (past[rest] > 0) - models.weight[two] * (past[two] > 0)
+        ids[rest] = of.take(np.minimum(plain // models.base[rest], last_point))
         grid[step, :n] = ids
-        start, size = _interval(ids, *mixture, cum, freq)
+        start, size = models.interval(ids, cum, freq)
         lo += ra * start.astype(_U)
         ra *= size.astype(_U)
         far = (lo ^ (lo + ra)) >= _TOP
@@ -273,5 +290,5 @@ def _decode_blocks(words: np.ndarray, lengths: np.ndarray, freq: np.ndarray, tot
             far = (part ^ (part + left)) >= _TOP
             more = ~far | (left < _BOT)
             at, far = at[more], far[more]
-        models.learn(ids)
+        models.learn()
     return grid
